@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard_join import join_components
 from .packing import pack
 from .pii import find_pii
+from .toxicity import score_toxicity
 from .warc import read_packages, write_packages
 
 
@@ -31,6 +32,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -40,7 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op6_jaccard_join, op10_pii]
+    found = [op1_packing, op2_warc, op4_toxicity, op6_jaccard_join, op10_pii]
     return {f.__name__: f for f in found}
 
 
