@@ -47,6 +47,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])  # all ASCII but letters and digits
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240607)
@@ -79,7 +80,7 @@ class Words:
 
     hashes, starts, ends (bytes in `data`), first (index of each row's first word, and the total at the end)."""
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, parting: np.ndarray = _SPACE):
         column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         values = column.buffers()[2]
@@ -88,7 +89,7 @@ class Words:
         self.data, self.offsets = raw[lo:hi], offsets - lo
         data = _LOWER[self.data] if lower else self.data
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~parting[data]
         starts = word.copy()
         starts[1:] &= ~word[:-1]
         edge = self.offsets[(self.offsets > 0) & (self.offsets < n)]

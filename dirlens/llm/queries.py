@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_contaminated
 from .jaccard_join import join_components
+from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import find_pii
 from .toxicity import score_toxicity
@@ -32,10 +34,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -45,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op4_toxicity, op6_jaccard_join, op10_pii]
+    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op10_pii]
     return {f.__name__: f for f in found}
 
 
@@ -60,5 +70,24 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1
 """
 
 
+#: For documents of distinct, filled doc_ids.
+_OP5_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+t AS (SELECT doc_id, pos, line, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM l),
+k AS (
+  SELECT doc_id, pos, array_to_string(t, ' ') AS key, 2 AS least FROM t WHERE len(t) >= 3
+  UNION ALL
+  SELECT doc_id, pos, concat_ws('|', len(t), i, array_to_string(t[1:3 + (i * (len(t) - 3)) // 3], ' '), array_to_string(t[4 + ((i + 1) * (len(t) - 3)) // 3:], ' ')), 3
+  FROM t, range(3) AS r(i) WHERE len(t) >= 9),
+n AS (SELECT key, least, min(doc_id) AS first_id FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= least),
+bad AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN n USING (key, least) WHERE k.doc_id > n.first_id),
+kept AS (SELECT t.doc_id, string_agg(line, chr(10) ORDER BY t.pos) AS text, count(*) AS n FROM t LEFT JOIN bad ON t.doc_id = bad.doc_id AND t.pos = bad.pos WHERE bad.pos IS NULL GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       coalesce(len(lines), 0)::INTEGER AS n_lines, (coalesce(len(lines), 0) - coalesce(kept.n, 0))::INTEGER AS n_dropped
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2_SQL}
+    return {"op2_warc": _OP2_SQL, "op5_line_dedup": _OP5_SQL}
