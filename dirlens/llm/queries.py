@@ -11,6 +11,7 @@ from .jaccard_join import join_components
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import find_pii
+from .suffix_dedup import find_repeats
 from .toxicity import score_toxicity
 from .warc import read_packages, write_packages
 
@@ -50,12 +51,16 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op10_pii]
+    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op8_suffix_dedup, op10_pii]
     return {f.__name__: f for f in found}
 
 
