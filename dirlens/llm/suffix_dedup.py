@@ -9,6 +9,9 @@
 3. Neighbours are joined with both texts, once per diagonal, and extended left and right word by word to the whole match.
 Spans of a document that touch are merged. Words are as in the Jaccard join.
 
+The orders beside a head go by hashes of HEAD words, not by single words. So where many documents hold a passage of
+nearly MIN_WORDS words and a few of them share some words beside it as well, these few may not become neighbours.
+
 Nulls: a null text has no words; a null doc_id is carried through. Rows with equal doc_id and text are one document,
 and so don't repeat each other. A passage that repeats within one document alone is left alone. Where a
 short period fills a stretch of text, only the stretch's two ends are compared with other documents. Very long texts are
