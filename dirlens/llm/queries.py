@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import find_contaminated
 from .jaccard_join import join_components
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
 from .packing import pack
 from .pii import find_pii
 from .suffix_dedup import find_repeats
@@ -51,6 +52,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op8_suffix_dedup, op10_pii]
+    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op10_pii]
     return {f.__name__: f for f in found}
 
 
