@@ -2,8 +2,9 @@
 
 Each document is cut into overlapping passages that hold any item whole. An item's score for a passage is BM25 over the
 passage's distinct words, as a share of the score the item gets from its own words, so one threshold suits all items.
-1. Postings hold impact shares; words most items have are set apart as long as they can't reach the threshold by
-   themselves, so only passages whose other words' upper bounds can make up the rest are searched at all.
+1. Postings hold impact shares. Items are cut into at most GROUPS runs; a word's largest share in each run bounds what
+   any item of it can get, so all passages are held against all runs in one array operation, and only those that some
+   run could lift to the threshold are searched.
 2. Block-max WAND retrieves every item at or above the threshold for these passages; nothing is cut at a top k.
 3. A hit stands if the passage holds enough of the item's question (word trigrams) and of its answer (word pairs).
 
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 from .common import Words, pieces, rolling
 
-K1, B, SHARD_POSTINGS, BLOCK = 1.2, 0.75, 1_000_000, 32
-THRESHOLD, QUESTION, ANSWER, SET_APART = 0.5, 0.5, 0.5, 0.3
+K1, B, SHARD_POSTINGS, BLOCK = 1.2, 0.75, 40_000, 32
+GROUPS, RUN = 512, 2
+THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
 
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -67,8 +69,7 @@ class Index:
     bound: np.ndarray
     block_start: np.ndarray
     block_max: np.ndarray
-    apart: np.ndarray
-    apart_most: float
+    run_bound: np.ndarray
     question: list[tuple[np.ndarray, int]]
     answer: list[tuple[np.ndarray, int]]
     longest: int
@@ -133,8 +134,8 @@ class Index:
         return out[0], out[1]
 
 
-def build_index(items: list[tuple[int, str]], idf: dict[int, float], mean_length: float, df: dict[int, int], threshold: float) -> Index:
-    """The index of one shard; idf, df and the mean length are those of the whole benchmark."""
+def build_index(items: list[tuple[int, str]], idf: dict[int, float], mean_length: float) -> Index:
+    """The index of one shard; idf and the mean length are those of the whole benchmark."""
     words = plain_words(pa.array([t for _, t in items], pa.string()))
     rows: list[tuple[int, int, float]] = []
     longest, question, answer = 1, [], []
@@ -155,15 +156,10 @@ def build_index(items: list[tuple[int, str]], idf: dict[int, float], mean_length
     block_start = np.concatenate([[0], np.cumsum(blocks)])
     edges = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(start[:-1], start[1:], strict=True)])
     item_of = np.array([r[1] for r in rows], np.int64)
-    apart, most, sums = np.zeros(len(terms), bool), 0.0, np.zeros(len(items))
-    for t in sorted(range(len(terms)), key=lambda t: (-df[int(terms[t])], t)):
-        own = slice(start[t], start[t + 1])
-        after = (sums[item_of[own]] + share[own]).max()
-        if after > SET_APART * threshold:
-            break
-        sums[item_of[own]] += share[own]
-        apart[t], most = True, max(most, after)
-    return Index([i for i, _ in items], terms, start, item_of, share, bound, block_start, np.maximum.reduceat(share, edges), apart, float(most), question, answer, longest)
+    groups = min(GROUPS, -(-len(items) // RUN))
+    run_bound = np.zeros((len(terms), groups), np.float32)
+    np.maximum.at(run_bound, (np.repeat(np.arange(len(terms)), np.diff(start)), item_of * groups // len(items)), share.astype(np.float32))
+    return Index([i for i, _ in items], terms, start, item_of, share, bound, block_start, np.maximum.reduceat(share, edges), run_bound, question, answer, longest)
 
 
 def find_in_texts(index: Index, column: pa.Array, threshold: float) -> list[list[tuple[int, float, float, float]]]:
@@ -171,21 +167,25 @@ def find_in_texts(index: Index, column: pa.Array, threshold: float) -> list[list
     words = plain_words(column)
     out: list[list] = [[] for _ in range(len(column))]
     term = index.lookup(words.hashes)
-    strong = np.flatnonzero((term >= 0) & ~index.apart[term])
-    if not len(strong):
+    known = np.flatnonzero(term >= 0)
+    if not len(known):
         return out
     half = max(32, index.longest)
-    doc = np.searchsorted(words.first, strong, side="right") - 1
-    place = (strong - words.first[doc]) // half
-    passage = doc * (1 << 32) + place
-    passage = np.concatenate([passage, passage[place > 0] - 1])
-    key = _distinct(passage, np.concatenate([term[strong], term[strong[place > 0]]]))
-    ids, inverse = np.unique(key[0], return_inverse=True)
-    reach = np.bincount(inverse, weights=index.bound[key[1]])
+    # passages are numbered over all texts; each but a text's last overlaps the next by half
+    first = np.concatenate([[0], np.cumsum(-(-words.counts() // half))])
+    doc = np.searchsorted(words.first, known, side="right") - 1
+    place = (known - words.first[doc]) // half
+    own = first[doc] + place
+    again = place > 0
+    n = len(index.terms)
+    key = np.unique(np.concatenate([own, own[again] - 1]) * n + np.concatenate([term[known], term[known[again]]]))
+    passage, key = key // n, key % n
+    start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+    reach = np.add.reduceat(index.run_bound[key], start, axis=0).max(axis=1)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p in ids[reach + index.apart_most >= threshold - 1e-9].tolist():
-        d, place = p >> 32, p & 0xFFFFFFFF
-        a = int(words.first[d]) + place * half
+    for p in passage[start[reach >= threshold - 1e-4]].tolist():
+        d = int(np.searchsorted(first, p, side="right")) - 1
+        a = int(words.first[d]) + (p - int(first[d])) * half
         b = min(a + 2 * half, int(words.first[d + 1]))
         own = np.unique(term[a:b])
         for item, score in index.wand(own[own >= 0], threshold):
@@ -204,7 +204,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "item_id") -> Iterator[Index]:
+def indexes(benchmark: DataFrame, id_col: str = "item_id") -> Iterator[Index]:
     """The shards' indexes, one after the other."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
 
@@ -233,7 +233,7 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "i
             here = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).select("item_id", "text").mapInArrow(count, "term long, n long").select("term").distinct()
             kept = frequency.join(here, "term").collect()
         df = {r.term % (1 << 64): r.df for r in kept}
-        yield build_index([(r.item_id, r.text) for r in own], {h: math.log(1 + (n - f + 0.5) / (f + 0.5)) for h, f in df.items()}, total / n, df, threshold)
+        yield build_index([(r.item_id, r.text) for r in own], {h: math.log(1 + (n - f + 0.5) / (f + 0.5)) for h, f in df.items()}, total / n)
     sized.unpersist()
 
 
@@ -242,7 +242,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     spark, schema = docs.sparkSession, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in indexes(benchmark, threshold):
+    for index in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (all columns) in which no item was found; no shuffle."""
-    for index in indexes(benchmark, threshold):
+    for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -87,7 +87,7 @@ def test_wand_finds_all(monkeypatch):
     bags = [set(t.split()) for _, t in items]
     df = Counter(w for b in bags for w in b)
     keyed = {word_hash(w): n for w, n in df.items()}
-    index = D.build_index(items, {h: math.log(1 + 60 / n) for h, n in keyed.items()}, 8, keyed, 0.5)
+    index = D.build_index(items, {h: math.log(1 + 60 / n) for h, n in keyed.items()}, 8)
     for _ in range(50):
         q = rng.sample(sorted(df), rng.randint(1, 12))
         terms = np.unique(index.lookup(np.array([word_hash(w) for w in q], np.uint64)))
@@ -102,6 +102,6 @@ def test_wand_finds_all(monkeypatch):
 def test_whole_item_is_found_in_a_long_text():
     items = [(1, "alpha beta gamma delta epsilon zeta. eta theta iota")]
     df = {word_hash(w): 1 for w in "alpha beta gamma delta epsilon zeta eta theta iota".split()}
-    index = D.build_index(items, dict.fromkeys(df, 1.0), 9, df, 0.5)
+    index = D.build_index(items, dict.fromkeys(df, 1.0), 9)
     texts = ["x " * k + items[0][1] + " y" * 50 for k in range(0, 100, 7)]
     assert all(h for h in D.find_in_texts(index, pa.array(texts), 0.5))
