@@ -1,9 +1,19 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins, collected from the modules beside this one."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("tree_queries",)
+
+
+def _all():
+    return [importlib.import_module(f"dirlens.plans.{m}") for m in MODULES]
 
 
 def queries():
-    return {}
+    return {name: f for m in _all() for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _all() for name, (_, sql) in m.QUERIES.items() if sql}
