@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tree_queries", "usage_queries")
+MODULES = ("tree_queries", "usage_queries", "event_queries")
 
 
 def _all():
