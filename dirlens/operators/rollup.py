@@ -1,6 +1,6 @@
 """Directory rollups: aggregate where the files are, then once more over each directory's ancestors.
 
-Leaf groups, not files, are exploded to ancestors; ages are two levels until the very end. The root and mounts get a
+Leaf groups, not files, are exploded to ancestors; ages and histograms are four small keys until the very end. The root and mounts get a
 row of every leaf group, which partial aggregation takes in; nothing is collected per key."""
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dirlens.functions import ages, filetypes, paths
 
 HIST = [f"{k}{i}" for k in "am" for i in range(9)]
 KEYS = ["gid", "uid", "ft"]
+#: What a file's times decide: levels for cumulative ages, buckets for histograms. Few combinations occur.
+CLASSES = ["a_level", "m_level", "a_bucket", "m_bucket"]
 
 
 def infill_dirs(stats: DataFrame) -> DataFrame:
@@ -32,22 +34,18 @@ def enriched(entries: DataFrame, ref_time: int) -> DataFrame:
 
 
 def _measured(rows: DataFrame, ref_time: int) -> DataFrame:
-    """Levels and one-hot buckets of rows with atime and mtime."""
-    out = rows.withColumn("a_level", ages.level(F.col("atime"), ref_time)).withColumn("m_level", ages.level(F.col("mtime"), ref_time))
-    for k, c in (("a", "atime"), ("m", "mtime")):
-        b = ages.bucket(F.col(c), ref_time)
-        out = out.withColumns({f"{k}{i}": F.when(b == i, F.col("n")).otherwise(F.lit(0)).cast("long") for i in range(9)})
-    return out
+    """Levels and buckets of rows with atime and mtime; times that aren't positive become null."""
+    told = {f"{k}_{what}": f(F.col(c), ref_time) for k, c in (("a", "atime"), ("m", "mtime")) for what, f in (("level", ages.level), ("bucket", ages.bucket))}
+    return rows.withColumns(told).withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in ("atime", "mtime")})
 
 
-def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("atime").alias("atime"), F.max("mtime").alias("mtime"), *[F.sum(h).alias(h) for h in HIST])
+def _summed(rows: DataFrame, keys: list[str], more: list[Column] = ()) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("atime").alias("atime"), F.max("mtime").alias("mtime"), *more)
 
 
 def _plain(entries: DataFrame, ref_time: int) -> DataFrame:
     rows = entries.where("NOT (nlink > 1 AND inode <> 0)").withColumn("n", F.lit(1).cast("long")).withColumn("mtime", F.greatest(F.lit(0), "mtime"))
-    rows = _measured(rows, ref_time).withColumn("atime", F.when(F.col("atime") > 0, F.col("atime"))).withColumn("mtime", F.when(F.col("mtime") > 0, F.col("mtime")))
-    leaf = _summed(rows, ["dir", *KEYS, "a_level", "m_level"])
+    leaf = _summed(_measured(rows, ref_time), ["dir", *KEYS, *CLASSES])
     return leaf.withColumn("dir", F.explode(paths.ancestors(F.col("dir"))))
 
 
@@ -66,12 +64,11 @@ def dguta(stats: DataFrame, ref_time: int) -> DataFrame:
     """Per directory, gid, uid, type and age: count, size, oldest access, latest change, and 9 + 9 histogram counts."""
     entries = enriched(infill_dirs(stats), ref_time)
     linked = _measured(hardlink_entries(entries).withColumn("n", F.lit(1).cast("long")), ref_time)
-    linked = linked.withColumn("atime", F.when(F.col("atime") > 0, F.col("atime"))).withColumn("mtime", F.when(F.col("mtime") > 0, F.col("mtime")))
-    keys = ["dir", *KEYS, "a_level", "m_level"]
-    both = _plain(entries, ref_time).unionByName(_summed(linked, keys))
-    levels = _summed(both, keys)
+    keys = ["dir", *KEYS, *CLASSES]
+    levels = _summed(_plain(entries, ref_time).unionByName(_summed(linked, keys)), keys)
     aged = levels.withColumn("age", F.explode(ages.codes(F.col("a_level"), F.col("m_level"))))
-    out = _summed(aged, ["dir", *KEYS, "age"])
+    hist = [F.sum(F.when(F.col(f"{k}_bucket") == i, F.col("n")).otherwise(F.lit(0).cast("long"))).alias(f"{k}{i}") for k in "am" for i in range(9)]
+    out = _summed(aged, ["dir", *KEYS, "age"], hist)
     return out.select("dir", *KEYS, "age", F.col("n").alias("count"), "size", F.coalesce("atime", F.lit(0)).alias("atime"), F.coalesce("mtime", F.lit(0)).alias("mtime"), *HIST)
 
 
