@@ -8,7 +8,7 @@ from dirlens.functions import ages, filetypes, formats, paths
 from dirlens.operators import rollup, tree
 
 from . import views
-from .sql import FILES, REF, anc, age_ok, bucket, ft, mask_names, temp, temp_dir, up, with_blocks
+from .sql import _HISTS, FILES, REF, anc, age_ok, bucket, ft, mask_names, temp, temp_dir, up, with_blocks
 
 C = F.col
 BASE = "/asia/"
@@ -82,7 +82,7 @@ QUERIES = {
     "by_group_user": (lambda s, d: rollup.by_group_user(views.stats(s, d)), with_blocks("SELECT gid, uid, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM stats GROUP BY 1, 2")),
     "by_user_group_dir": (lambda s, d: rollup.by_user_group_dir(views.stats(s, d)), with_blocks(f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3")),
     "directory_rollup": (lambda s, d: rollup.directory_rollup(_named(s, d), C("dir"), ["entry_type"], [F.max("size").alias("largest"), F.count_distinct("uid").alias("users")]), with_blocks(f"SELECT dir, entry_type, CAST(max(size) AS BIGINT) AS largest, count(DISTINCT uid) AS users FROM (SELECT entry_type, size, uid, unnest({anc('dir')}) AS dir FROM named) GROUP BY 1, 2")),
-    "dguta": (lambda s, d: cube(s, d).withColumn("ft", C("ft").cast("long")), with_blocks("SELECT * REPLACE (CAST(ft AS BIGINT) AS ft) FROM cube")),
+    "dguta": (lambda s, d: _by_depth(cube(s, d)), with_blocks(f"SELECT CAST(length(dir) - length(replace(dir, '/', '')) - 1 AS INTEGER) AS depth, gid, CAST(ft AS BIGINT) AS ft, age, count(*) AS cells, count(DISTINCT dir) AS dirs, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime, {_HISTS} FROM cube GROUP BY 1, 2, 3, 4")),
     "dguta_hardlinks": (lambda s, d: rollup.hardlink_entries(rollup.enriched(_entries(s, d), REF)), with_blocks("SELECT d AS dir, inode, gid, uid, CAST(ft AS INTEGER) AS ft, size, atime, mtime FROM links")),
     "dir_summary": (lambda s, d: flat(summary(s, d)), with_blocks(f"SELECT * REPLACE ({FLAT.replace(' AS uids', ' AS uids').replace(' AS gids', ' AS gids')}) FROM summary")),
     "guta_filter": (lambda s, d: rollup.guta_filter(cube(s, d), gids=[1, 2, 3], uids=list(range(0, 97, 2)), mask=32 | 4096, age=3).select("dir", "gid", "uid", "ft", "count", "size"), with_blocks("SELECT dir, gid, uid, CAST(ft AS INTEGER) AS ft, count, size FROM cube WHERE gid IN (1, 2, 3) AND uid % 2 = 0 AND ft & 4128 > 0 AND age = 3")),
@@ -126,6 +126,12 @@ def _placed(df, order):
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("place", "dir", "count", "size")
 
 
+def _by_depth(c):
+    """The whole cube, summed up by depth: a cell of it for each directory, gid, uid, type and age."""
+    sums = [F.sum(x).alias(x) for x in ("count", "size", *rollup.HIST)]
+    return c.groupBy(paths.depth(C("dir")).alias("depth"), "gid", C("ft").cast("long").alias("ft"), "age").agg(F.count("*").alias("cells"), F.count_distinct("dir").alias("dirs"), F.min("atime").alias("atime"), F.max("mtime").alias("mtime"), *sums)
+
+
 def _db_info(c):
     parent = paths.parent_dir(C("dir"))
     return c.agg(F.count_distinct("dir").alias("dirs"), F.count("*").alias("dgutas"), F.count_distinct(parent).alias("parents"), F.count_distinct(F.when(C("dir") != "/", C("dir"))).alias("children"))
