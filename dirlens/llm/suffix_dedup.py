@@ -1,20 +1,20 @@
-"""Passages of at least MIN_WORDS words that repeat across documents, by sparse suffix arrays.
+"""Passages of at least MIN_WORDS words that repeat across documents, by sparse suffixes.
 
-1. Suffixes are kept only where a minimiser stands: of each MIN_WORDS - HEAD + 1 neighbouring word positions the one
-   with the least hash of its HEAD words. Where MIN_WORDS words repeat, a minimiser and its HEAD words repeat too.
-2. Suffixes are sorted by hashes of what they begin with, over all partitions by range, so that a passage which a
-   third of all documents hold is spread like any other. Each is compared with its neighbours of other documents;
-   the ends of partitions meet in a list of two short runs per partition. A second order, by what stands before,
-   finds the longest matches to the left as the first does to the right.
-3. Neighbours are joined with both texts, once per diagonal, and extended left and right word by word to the whole match.
-Spans of a document that touch are merged. Words are as in the Jaccard join.
+A word belongs to a repeated passage if a window of MIN_WORDS words around it stands in another document too.
 
-The orders beside a head go by hashes of HEAD words, not by single words. So where many documents hold a passage of
-nearly MIN_WORDS words and a few of them share some words beside it as well, these few may not become neighbours.
+1. Each window goes with a minimiser: of its word positions the first one with the least hash of the HEAD words there.
+   Equal windows have it at the same place. A suffix is a minimiser with its head and its reach, the words of all
+   windows that go with it (up to MIN_WORDS - HEAD beside the head on each side).
+2. Only suffixes whose head stands in several documents are kept. Where a reach stands in several, all its windows do.
+   Every other reach of a head with several is taken apart into its windows, and these are counted, one place for
+   each different reach. Counts are least and greatest rows, with partial sums before the shuffle, so that a passage
+   which a third of all documents hold is spread like any other.
+3. What was found goes back to the documents as a bit per window, and neighbouring windows are merged to spans.
+Spans of a document that touch are merged. Words are as in the Jaccard join. Every two documents that share a window
+meet in it, whatever others hold its head, and however often it repeats.
 
 Nulls: a null text has no words; a null doc_id is carried through. Rows with equal doc_id and text are one document,
-and so don't repeat each other. A passage that repeats within one document alone is left alone. Where a
-short period fills a stretch of text, only the stretch's two ends are compared with other documents. Very long texts are
+and so don't repeat each other. A passage that repeats within one document alone is left alone. Very long texts are
 treated whole. An empty table gives no rows. Other columns are not read.
 """
 
@@ -24,15 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, rolling, signed, stored
+from .common import Words, _power, mix, pieces, rolling, signed, stored
 
 MIN_WORDS, HEAD, MAP_BITS = 50, 25, 24
-_SUFFIX = "head long, after long, before long, row long, pos int"
-_MET = "kind int, part int, seq int, head long, row long, pos int, row2 long, pos2 int"
+_SUFFIX = "head long, reach long, row long, pos int"
+_SPAN = "row long, doc_id long, start long, end long, n_words long"
 
 
 def minimisers(heads: np.ndarray, width: int) -> np.ndarray:
@@ -53,84 +52,41 @@ def _texts(docs: DataFrame) -> DataFrame:
     return own.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
+def _least(heads: np.ndarray, width: int) -> np.ndarray:
+    """For each `width` neighbours the position of the first least value."""
+    return np.lib.stride_tricks.sliding_window_view(heads, width).argmin(axis=1) + np.arange(len(heads) - width + 1)
+
+
 def suffixes(texts: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
-    """(head, after, before, row, pos): hashes of the words a suffix begins with and of those beside, and its place."""
+    """(head, reach, row, pos): hashes of a suffix's head and of all words of its windows, and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             words = Words(batch.column(2))
+            n = len(words.hashes)
             every, rows = rolling(words.hashes, head), batch.column(0).to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * _power("up", n), dtype=np.uint64)])
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
                 if b - a < min_words:
                     continue
                 own = every[a : b - head + 1]
-                at = minimisers(own, min_words - head + 1)
-                after = np.minimum(at + head, len(own) - 1)
-                for c, x in zip(out, (signed(own[at]), signed(own[after]), signed(own[np.maximum(at - head, 0)]), np.full(len(at), rows[i]), at.astype(np.int32)), strict=True):
+                least = _least(own, min_words - head + 1)
+                first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                end = np.append(first[1:], len(least)) - 1 + min_words
+                at = least[first]
+                shape = mix(((at - first) * min_words + end - first).astype(np.uint64))
+                reach = mix((total[a + end] - total[a + first]) * _power("down", n + 1)[a + first] + shape)
+                for c, x in zip(out, (signed(own[at]), signed(reach), np.full(len(at), rows[i]), at.astype(np.int32)), strict=True):
                     c.append(x)
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()], strict=True)], ["head", "after", "before", "row", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()], strict=True)], ["head", "reach", "row", "pos"])
 
     return texts.mapInArrow(run, _SUFFIX)
 
 
-class _Neighbours:
-    """Takes suffixes in order; tells of pairs with equal heads and different rows."""
-
-    def __init__(self, near: int):
-        self.near, self.head, self.waiting, self.pairs = near, None, [], []
-        self.lead: list[tuple[int, int, int]] = []
-        self.leading = True
-
-    def take(self, head: int, row: int, pos: int) -> None:
-        if self.leading:
-            self.leading = not self.lead or (head == self.lead[0][0] and self.lead[-1][1] == self.lead[0][1])
-            if self.leading and (not self.lead or head == self.lead[0][0]):
-                self.lead.append((head, row, pos))
-        if head != self.head:
-            self.head, self.waiting = head, [(row, pos)]
-        elif row == self.waiting[0][0]:
-            # of a chain of overlapping places in one document the ends are enough
-            if len(self.waiting) > 1 and pos - self.waiting[-1][1] < self.near and self.waiting[-1][1] - self.waiting[-2][1] < self.near:
-                self.waiting[-1] = (row, pos)
-            else:
-                self.waiting.append((row, pos))
-        else:
-            self.pairs += [(*w, row, pos) for w in self.waiting]
-            self.waiting = [(row, pos)]
-
-
-def _neighbours(sorted_suffixes: DataFrame, head: int) -> DataFrame:
-    """kind 0: a pair of neighbours; 1 and 2: the suffixes at the beginning and end of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, part = _Neighbours(head), TaskContext.get().partitionId()
-
-        def told(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.int32(), pa.int64(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _MET.split(", ")])
-
-        for batch in batches:
-            heads = batch.column(0).to_numpy()
-            same = heads[1:] == heads[:-1]
-            wanted = np.append(True, same) | np.append(same, True)  # those with an equal neighbour, and the ends
-            if len(wanted):
-                wanted[-1] = True
-            at = np.flatnonzero(wanted)
-            for h, r, p in zip(heads[at].tolist(), batch.column(1).to_numpy()[at].tolist(), batch.column(2).to_numpy()[at].tolist(), strict=True):
-                state.take(h, r, p)
-            yield told([(0, part, 0, 0, a, p, b, q) for a, p, b, q in state.pairs])
-            state.pairs = []
-        ends = [(1, part, i, h, r, p, None, None) for i, (h, r, p) in enumerate(state.lead)]
-        yield told(ends + [(2, part, i, state.head, r, p, None, None) for i, (r, p) in enumerate(state.waiting)])
-
-    return sorted_suffixes.mapInArrow(run, _MET)
-
-
-def _wanted_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, doc_id, text) of the rows, each once; a bitmap of fixed size keeps most others from being shuffled."""
+def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (row, ...), one of each, with doc_id and text; a bitmap of fixed size keeps most others from being shuffled."""
     bit = F.pmod("row", F.lit(1 << MAP_BITS))
     words = rows.groupBy(F.floor(bit / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(row, 32) AS int))")).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (MAP_BITS - 5), np.uint32)
@@ -142,59 +98,77 @@ def _wanted_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
             at = batch.column(0).to_numpy() % (1 << MAP_BITS)
             yield batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
 
-    some = texts.mapInArrow(run, "row long, doc_id long, text string")
-    return stored(some.join(rows, "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
+    return texts.mapInArrow(run, "row long, doc_id long, text string").join(rows, "row")
 
 
-def _extended(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc_id, start, end, first_word, last_word) of whole matches around (row, row2, shift, places)."""
-    a = texts.select("row", F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    b = texts.select(F.col("row").alias("row2"), F.col("doc_id").alias("id2"), F.col("text").alias("t2"))
-    met = pairs.join(a, "row").join(b, "row2").select("row", "id", "t", "row2", "id2", "t2", "shift", "places")
-    schema = "row long, doc_id long, start long, end long, first_word long, last_word long"
+def _windows(texts: DataFrame, reaches: DataFrame, min_words: int, head: int) -> DataFrame:
+    """(key, reach, off, row, several) of each window of the reaches (reach, row, pos, several): its hash, and how far
+    before the minimiser it begins."""
+    placed = reaches.groupBy("row").agg(F.collect_list(F.struct("pos", "reach", "several")).alias("at"))
+    met = _with_texts(texts, stored(placed)).select("row", "text", F.col("at.pos").alias("pos"), F.col("at.reach").alias("reach"), F.col("at.several").alias("several"))
+    schema = "key long, reach long, off int, row long, several int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(iter([whole]), "t"):
-                x, y = Words(batch.column(2)), Words(batch.column(5))
-                chars = [np.cumsum((w.data & 0xC0) != 0x80) for w in (x, y)]
-                rows = []
-                for i, (r, d, r2, d2, shift, places) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 6, 7)), strict=True)):
-                    ha, hb = x.hashes[x.first[i] : x.first[i + 1]], y.hashes[y.first[i] : y.first[i + 1]]
-                    lo, hi = max(0, shift), min(len(ha), len(hb) + shift)
-                    equal = np.concatenate([[False], ha[lo:hi] == hb[lo - shift : hi - shift], [False]])
-                    begins, ends = np.flatnonzero(equal[1:] & ~equal[:-1]), np.flatnonzero(~equal[1:] & equal[:-1])
-                    k = np.unique(np.searchsorted(begins, np.array(places) - lo, side="right") - 1)
-                    for s, e in zip((begins[k] + lo).tolist(), (ends[k] + lo).tolist(), strict=True):
-                        if e - s >= min_words:
-                            for row, doc, w, c, u, v in ((r, d, x, chars[0], s, e), (r2, d2, y, chars[1], s - shift, e - shift)):
-                                first, last = w.first[i] + u, w.first[i] + v - 1
-                                base = c[w.offsets[i] - 1] if w.offsets[i] else 0
-                                rows.append((row, doc, int(c[w.starts[first]] - 1 - base), int(c[w.ends[last] - 1] - base), u, v))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in schema.split(", ")])
+        for batch in pieces(batches, "text"):
+            words = Words(batch.column(1))
+            every, keys = rolling(words.hashes, head), rolling(words.hashes, min_words)
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i, row in enumerate(batch.column(0).to_pylist()):
+                a, b = words.first[i], words.first[i + 1]
+                pos, reach, several = (np.asarray(batch.column(k)[i].values) for k in (2, 3, 4))
+                order = np.argsort(pos)
+                pos = pos[order]
+                least = _least(every[a : b - head + 1], min_words - head + 1)
+                k = np.minimum(np.searchsorted(pos, least), len(pos) - 1)
+                s = np.flatnonzero(pos[k] == least)
+                k = order[k[s]]
+                for c, x in zip(out, (signed(keys[a + s]), reach[k], least[s] - s, np.full(len(s), row), several[k]), strict=True):
+                    c.append(x)
+            cols = [np.concatenate(c) for c in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()], strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     return met.mapInArrow(run, schema)
 
 
+def _spans(texts: DataFrame, found: DataFrame, min_words: int, head: int) -> DataFrame:
+    """Merged spans of the windows in found (row, pos, bits): bit o stands for the window that begins o words before pos."""
+    placed = found.groupBy("row").agg(F.collect_list(F.struct("pos", "bits")).alias("at"))
+    met = _with_texts(texts, stored(placed)).select("row", "doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.bits").alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words, rows = Words(batch.column(2)), []
+            every, chars = rolling(words.hashes, head), np.cumsum((words.data & 0xC0) != 0x80)
+            for i, (row, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                a, b = words.first[i], words.first[i + 1]
+                least = _least(every[a : b - head + 1], min_words - head + 1)
+                bits = np.zeros(b - a, np.int64)
+                bits[np.asarray(batch.column(3)[i].values)] = np.asarray(batch.column(4)[i].values)
+                s = np.flatnonzero((bits[least] >> (least - np.arange(len(least)))) & 1)
+                cut = np.flatnonzero(np.diff(s) > min_words)
+                base = chars[words.offsets[i] - 1] if words.offsets[i] else 0
+                for u, v in zip(s[np.append(0, cut + 1)].tolist(), (s[np.append(cut, len(s) - 1)] + min_words).tolist(), strict=True):
+                    rows.append((row, doc, int(chars[words.starts[a + u]] - 1 - base), int(chars[words.ends[a + v - 1] - 1] - base), v - u))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _SPAN.split(", ")])
+
+    return met.mapInArrow(run, _SPAN)
+
+
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
     """(doc_id, start, end, n_words): each document's spans, in code points, that stand in other documents too."""
-    spark, texts = docs.sparkSession, _texts(docs)
-    kept = stored(suffixes(texts, min_words, head))
-    pairs = None
-    for beside in ("after", "before"):
-        order = kept.select("head", beside, "row", "pos").repartitionByRange("head", beside, "row", "pos").sortWithinPartitions("head", beside, "row", "pos")
-        met = stored(_neighbours(order.select("head", "row", "pos"), head))
-        state = _Neighbours(head)
-        for r in met.where("kind > 0").orderBy("part", "kind", "seq").collect():  # two short runs per partition
-            state.take(r.head, r.row, r.pos)
-        own = met.where("kind = 0").select("row", "pos", "row2", "pos2").union(spark.createDataFrame(state.pairs, "row long, pos int, row2 long, pos2 int"))
-        pairs = own if pairs is None else pairs.union(own)
-    pairs = pairs.groupBy("row", "row2", (F.col("pos") - F.col("pos2")).alias("shift")).agg(F.collect_set("pos").alias("places"))
-    pairs = stored(pairs)
-    found = stored(_extended(pairs, _wanted_texts(texts, pairs.select("row").union(pairs.select("row2")).distinct()), min_words))
-    by = Window.partitionBy("row").orderBy("first_word", "last_word")
-    found = found.distinct().withColumn("reach", F.max("last_word").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    found = found.withColumn("run", F.sum(F.when(F.col("first_word") <= F.col("reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = found.groupBy("row", "doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("first_word")).alias("n_words"))
-    return merged.select("doc_id", "start", "end", "n_words")
+    if min_words - head > 62:
+        raise ValueError("at most 62 words beside a head")
+    texts = _texts(docs)
+    every = stored(suffixes(texts, min_words, head))
+    shared = every.groupBy("head").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
+    kept = stored(every.join(shared.select("head"), "head", "left_semi"))
+
+    reaches = stored(kept.groupBy("head", "reach").agg(F.min(F.struct("row", "pos")).alias("at"), F.max("row").alias("most")).select("head", "reach", "at.row", "at.pos", F.expr("int(most > at.row)").alias("several")))
+    mixed = reaches.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    windows = stored(_windows(texts, reaches.join(mixed, "head", "left_semi").drop("head"), min_words, head))
+    met = windows.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.max("several").alias("several")).where("least < most OR several = 1").select("key")
+    parts = windows.where("several = 0").join(met, "key", "left_semi").groupBy("reach").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
+    bits = stored(parts.union(reaches.where("several = 1").select("reach", F.lit(-1).cast("long").alias("bits"))))
+    found = stored(kept.join(bits, "reach").select("row", "pos", "bits"))
+    return _spans(texts, found, min_words, head).distinct().drop("row")

@@ -61,6 +61,21 @@ def test_equals_brute_force(spark, seed):
     assert len(got) == len(want) and sum(g == w for g, w in zip(got, want, strict=True)) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("core", [25, 32, 45, 49])
+def test_matches_around_a_core_that_many_documents_hold(spark, core):
+    rng = random.Random(core)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, rows = words(core), []
+    for pair in range(60):
+        k = rng.randint(50 - core, 73 - core)
+        left = rng.randint(0, k)
+        beside = words(left), words(k - left)
+        rows += [(2 * pair + i, " ".join(words(30) + beside[0] + common + beside[1] + words(30))) for i in range(2)]
+    rows += [(900, "tick tock " * 40 + "end"), (901, "tock " + "tick tock " * 200), (902, " ".join(words(30)) + " tick tock" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted([tuple(r) for r in find_repeats(docs).collect()], key=str) == brute(rows, 50)
+
+
 def test_no_rows(spark):
     assert find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
