@@ -1,12 +1,14 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
 1. Words of the whole corpus are counted; the FREQUENT most frequent are classes of their own, all others fall into
-   BUCKETS classes by hash. log p(word) is log p(class) plus, in a bucket, minus the log of its number of distinct words.
-2. Documents are written once as class ids, a byte or two a word.
+   BUCKETS classes by hash. log p(word) is log p(class) plus, in a bucket, the log of the word's counted share in it,
+   so every word of the corpus has a probability of its own.
+2. Documents are written once as class ids, a byte or two a word. Counts of up to KNOWN words are looked up while
+   that is done; rarer words are written beside the ids and joined with the table of counts.
 3. The network: each of the SIDE words to the left and right looks up a row for its place, the rows add up to a hidden
    layer (tanh), a softmax over classes follows. Every task trains on its own documents, on another slice of the
-   positions in each round, and the weights are averaged, by position counts, in a tree of tasks; so what is learnt
-   from grows with the corpus, and the driver sees a bounded number of weight vectors.
+   positions in each of the ROUNDS, all slices in turn, and the weights are averaged, by position counts, in a tree of
+   tasks; so all positions are learnt from, and the driver sees a bounded number of weight vectors.
 4. All documents are scored: the sum of their words' conditional log-probabilities, and its mean.
 
 Nulls: a null or empty text has 0 words, log_prob 0 and a null mean; a null doc_id is carried through. Repeated rows
@@ -20,13 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, pieces, signed, stored
 
 FREQUENT, BUCKETS, SIDE, HIDDEN = 96, 32, 2, 32
-ROUNDS, SLICES, BATCH, LEAST_STEPS, RATE = 2, 8, 2048, 60, 0.01
+KNOWN = 1 << 16
+ROUNDS, SLICES, BATCH, LEAST_STEPS, RATE = 8, 8, 2048, 60, 0.01
 FAN_IN = 64
 
 
@@ -51,15 +55,20 @@ class Vocabulary:
         return np.where(self.frequent[at] == hashes, at, rest)
 
 
-def vocabulary(texts: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS) -> Vocabulary:
-    """Counts over all documents (doc_id, text)."""
+def counted(texts: DataFrame) -> DataFrame:
+    """(word, n): hashes and counts of the words of all documents (doc_id, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8 << 20):
             words, n = np.unique(Words(batch.column(1)).hashes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n)], ["word", "n"])
 
-    counts = stored(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return stored(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(texts: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS, counts: DataFrame | None = None) -> Vocabulary:
+    """Classes by the counts over all documents (doc_id, text)."""
+    counts = counted(texts) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -74,6 +83,24 @@ def vocabulary(texts: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKET
     return out
 
 
+def known_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log counts of at most `most` words, all that are counted as often as some least count."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    least, words = None, 0
+    for x in levels:
+        words += x.words
+        if words > most:
+            break
+        least = x.level
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    got = counts.where(level >= least).toPandas()
+    hashes = got["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.log(got["n"].to_numpy(np.float64)[order])
+
+
 class Network:
     """logits = tanh(sum over places of place[s][id]) @ out + bias; the id after the last class stands for an edge."""
 
@@ -92,12 +119,13 @@ class Network:
             at += n
         return out
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(words, 2 * side) ids of the words around each word of its document; `first` as in Words."""
-        out = np.full((len(ids), 2 * self.side), self.classes, np.int64)
-        doc = np.searchsorted(first, np.arange(len(ids)), side="right") - 1
+    def contexts(self, ids: np.ndarray, first: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
+        """(words, 2 * side) ids of the words around each word (or those of `pick`) of its document; `first` as in Words."""
+        pick = np.arange(len(ids)) if pick is None else pick
+        out = np.full((len(pick), 2 * self.side), self.classes, np.int64)
+        doc = np.searchsorted(first, pick, side="right") - 1
         for s, step in enumerate([*range(-self.side, 0), *range(1, self.side + 1)]):
-            at = np.arange(len(ids)) + step
+            at = pick + step
             ok = (at >= first[doc]) & (at < first[doc + 1])
             out[ok, s] = ids[at[ok]]
         return out
@@ -158,18 +186,34 @@ class Trainer:
         self.net.flat -= RATE * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
 
 
-def _encoded(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+def _encoded(texts: DataFrame, vocab: Vocabulary, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, ids, key, inside, rare): a document's classes, a number of its own, the logs of the shares that its words
+    have in their buckets summed up as far as counts are known, and the words whose log counts are still to be added."""
     kind = np.uint8 if vocab.size < 256 else np.uint16
-    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    shared = texts.sparkSession.sparkContext.broadcast((vocab, *known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (vocab, hashes, logs), key = shared.value, TaskContext.get().partitionId() << 40
+        total = np.log(vocab.count)
         for batch in pieces(batches, "text"):
             words = Words(batch.column(1))
-            ids = shared.value.ids(words.hashes).astype(kind)
-            own = [ids[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "ids"])
-
-    return stored(texts.mapInArrow(run, "doc_id long, ids binary"))
+            ids = vocab.ids(words.hashes)
+            rest = np.flatnonzero(ids >= len(vocab.frequent))
+            inside, own = np.zeros(len(ids)), words.hashes[rest]
+            inside[rest] -= total[ids[rest]]
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                found = hashes[at] == own
+                inside[rest[found]] += logs[at[found]]
+                rest, own = rest[~found], own[~found]
+            sums = np.append(0.0, np.cumsum(inside))[words.first]
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, words.first), pa.int32()), pa.array(signed(own)))
+            ids, n = ids.astype(kind), batch.num_rows
+            coded = [ids[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.array(np.arange(key, key + n)), pa.array(np.diff(sums)), rare], ["doc_id", "ids", "key", "inside", "rare"])
+            key += n
+
+    return stored(texts.mapInArrow(run, "doc_id long, ids binary, key long, inside double, rare array<long>"))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -206,8 +250,8 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Networ
             own.flat = shared.value.flat.copy()
             trainer, first, held = Trainer(own), [], [np.zeros((0, 2 * own.side), np.int64), np.zeros(0, np.int64)]
             for _, ids, at in _decoded(batches, vocab.size):
-                pick = np.flatnonzero(np.arange(len(ids)) % SLICES == r % SLICES)
-                ctx = own.contexts(ids, at)[pick]
+                pick = np.flatnonzero((np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))) % SLICES == r % SLICES)
+                ctx = own.contexts(ids, at, pick)
                 held = [np.concatenate([held[0], ctx]), np.concatenate([held[1], ids[pick]])]
                 while len(held[1]) >= BATCH:
                     if len(first) < LEAST_STEPS:
@@ -224,7 +268,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Networ
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["n", "weights"])
 
-        got = stored(encoded.mapInArrow(run, _WEIGHTS))
+        got = stored(encoded.select("doc_id", "ids").mapInArrow(run, _WEIGHTS))
         while (k := got.count()) > FAN_IN:
             got = stored(got.repartition(-(-k // FAN_IN)).mapInArrow(_summed, _WEIGHTS))
         rows = got.collect()
@@ -238,17 +282,20 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Networ
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    vocab = vocabulary(texts)
-    encoded = _encoded(texts, vocab)
-    shared = docs.sparkSession.sparkContext.broadcast((train(encoded, vocab, rounds), np.log(vocab.distinct)))
+    counts = counted(texts)
+    vocab = vocabulary(texts, counts=counts)
+    encoded = _encoded(texts, vocab, known_words(counts, KNOWN))
+    shared = docs.sparkSession.sparkContext.broadcast(train(encoded, vocab, rounds))
+    schema = "doc_id long, key long, n_words long, log_prob double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, inside = shared.value
+        net = shared.value
         for batch, ids, first in _decoded(batches, net.classes):
-            got = np.concatenate([[0.0], np.cumsum(net.log_probs(net.contexts(ids, first), ids) - inside[ids])])
-            n = np.diff(first)
-            total = got[first[1:]] - got[first[:-1]]
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.where(n == 0, 0.0, total)), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+            got = np.append(0.0, np.cumsum(net.log_probs(net.contexts(ids, first), ids)))[first]
+            total = np.diff(got) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.array(total)], [x.split()[0] for x in schema.split(", ")])
+
+    rare = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word").groupBy("key").agg(F.sum(F.log("n")).alias("more"))
+    scored = encoded.select("doc_id", "ids", "key", "inside").mapInArrow(run, schema).join(stored(rare), "key", "left")
+    total = F.least(F.col("log_prob") + F.coalesce("more", F.lit(0.0)), F.lit(0.0))
+    return scored.select("doc_id", "n_words", total.alias("log_prob"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_prob"))

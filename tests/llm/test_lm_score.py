@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from dirlens.llm import lm_score as L
+from dirlens.llm.common import word_hash
 
 
 def _net(classes=7, hidden=5):
@@ -67,3 +68,22 @@ def test_vocabulary_counts(spark):
     df = spark.createDataFrame([(1, "a a A b\tc"), (2, None), (3, "b d")], "doc_id long, text string")
     v = L.vocabulary(df.fillna({"text": ""}), 2, 4)
     assert sorted(v.count[:2]) == [2, 3] and v.count[2:].round().sum() >= 2 and v.distinct.sum() >= 4
+
+
+@pytest.mark.parametrize("known", [0, 1 << 16])
+def test_each_word_has_its_own_probability(spark, monkeypatch, known):
+    monkeypatch.setattr(L, "KNOWN", known, raising=False)
+    words = [f"word{i}" for i in range(400)]
+    bucket = lambda w: word_hash(w) % L.BUCKETS
+    rng = random.Random(3)
+    docs = [" ".join(rng.choices(words[:100], k=400) + rng.choices(words[100:], k=100)) for _ in range(40)]
+    common = "often"
+    garbles = [g for g in (f"garble{i}" for i in range(500)) if bucket(g) == bucket(common)][:2]
+    docs += [" ".join([*words[100:110], w, *words[110:120]]) for w in [common] * 20 + garbles]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_prob for r in L.score_documents(df, 1).collect()}
+    assert got[60] == pytest.approx(got[61]) and got[40] - got[60] == pytest.approx(np.log(20), abs=1e-6)
+
+
+def test_all_positions_are_trained_on():
+    assert {r % L.SLICES for r in range(L.ROUNDS)} == set(range(L.SLICES))
