@@ -138,7 +138,7 @@ def _stream_minutes(s, d):
     e = _event_stream(s, d)
     flag = lambda k, n: F.when(C("event_type") == k, n)
     own = e.where("event_type <> 'error'").select(F.concat(F.lit("r"), C("user_id") % 3).alias("run"), C("ts").cast("timestamp").alias("ts"), flag("view", 1).alias("opens"), flag("click", 2).alias("reads"), F.lit(0).alias("closes"), flag("signup", 3).alias("stats"), flag("purchase", 1).alias("writes"))
-    return streams.run_to_files(streams.log_minutes(own), files.scratch(s), files.scratch(s)).groupBy("run").agg(F.count("*").alias("minutes"), F.sum("events").alias("events"))
+    return streams.run_log_minutes(own, files.scratch(s), files.scratch(s)).groupBy("run").agg(F.count("*").alias("minutes"), F.sum("events").alias("events"))
 
 
 def _stream_sessions(s, d):
@@ -214,7 +214,7 @@ QUERIES = {
     "export_usage_csv": (_usage_csv, with_blocks('SELECT CAST(gid AS VARCHAR) AS "Group", basedir AS "Path", CAST(usage_size AS VARCHAR) AS "Space", CAST(quota_size AS VARCHAR) AS "SQuota" FROM group_usage WHERE age = 0')),
     "write_dguta": (_dguta_table, with_blocks("SELECT regexp_extract(dir, '^(/[^/]+/)', 1) AS mount_path, count(*) AS n, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size FROM cube WHERE age = 0 AND dir <> '/' GROUP BY 1")),
     "write_basedirs": (_basedirs_table, with_blocks("SELECT age, count(*) AS n, CAST(sum(usage_size) AS BIGINT) AS size FROM group_usage GROUP BY 1")),
-    "stream_log_minutes": (_stream_minutes, None),
+    "stream_log_minutes": (_stream_minutes, with_blocks("SELECT run, count(DISTINCT floor(time / 60)) AS minutes, count(*) AS events FROM numbered WHERE event_type <> 'error' GROUP BY 1")),
     "stream_ui_sessions": (_stream_sessions, with_blocks('SELECT "user", session, groups, users, disktree FROM ui_s')),
     "stream_history": (_stream_history, None),
     "stream_ingest_stats": (_stream_ingest, with_blocks(f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({S.anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3")),

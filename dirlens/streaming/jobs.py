@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,11 +58,23 @@ def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     return stream.sparkSession.table(name)
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """All that is there now, appended to a Parquet table."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """All that is there now: partial(rows) of each batch, late rows too, in a Parquet table; a batch that is repeated
+    replaces its own part. What has the same key in several batches is still to be merged."""
+    schema = partial(stream).schema
+    stream.sparkSession.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")
+
+    def batch(rows: DataFrame, i: int) -> None:
+        partial(rows).write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return stream.sparkSession.read.schema(schema).parquet(path)
+
+
+def run_log_minutes(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Every minute of all events that are there now, whatever their order."""
+    return run_to_table(stream, log_minutes, path, checkpoint).groupBy("run", "minute").agg(F.sum("calls").alias("calls"), F.sum("events").alias("events"))
 
 
-__all__ = ["append_history", "ingest", "log_minutes", "run_to_files", "run_to_memory", "ui_sessions", "usage"]
+__all__ = ["append_history", "ingest", "log_minutes", "run_log_minutes", "run_to_memory", "run_to_table", "ui_sessions", "usage"]

@@ -1,3 +1,4 @@
+import datetime
 import gzip
 
 import pytest
@@ -67,3 +68,16 @@ def test_history_stream_appends_only_later_points(spark, sf, tmp_path):
         n = h.where(limit).count()
         assert spark.read.parquet(out).count() == n
     assert n == h.count()
+
+
+def test_log_minutes_tells_every_minute_of_unordered_files(spark, tmp_path):
+    flags = {c: 1 for c in ("opens", "reads", "closes", "stats", "writes")}
+    for i, hour in enumerate([9, 1, 5, 0, 7, 3, 8, 2, 6]):
+        rows = [(f"r{k % 2}", datetime.datetime(2024, 1, 1, hour, k % 40), *flags.values()) for k in range(60)]
+        spark.createDataFrame(rows, f"run string, ts timestamp, {', '.join(f'{c} int' for c in flags)}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    got = jobs.run_log_minutes(stream, str(tmp_path / "out"), str(tmp_path / "at"))
+    events.createOrReplaceTempView("minute_events")
+    want = spark.sql("SELECT run, date_trunc('MINUTE', ts) AS minute, sum(opens + reads + closes + stats + writes) AS calls, count(*) AS events FROM minute_events GROUP BY 1, 2")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
