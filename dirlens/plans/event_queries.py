@@ -145,7 +145,7 @@ def _stream_sessions(s, d):
     e = _event_stream(s, d)
     state = F.when(C("event_type") == "click", '{"byUser":true}').when(C("event_type") == "purchase", '{"just":"disktree"}').otherwise("{}")
     own = e.select(F.concat(F.lit("u"), "user_id").alias("user"), F.concat(F.lit("s"), F.dayofmonth("ts")).alias("session"), state.alias("state"), F.lit(0).alias("time"))
-    return streams.run_to_memory(streams.ui_sessions(own).drop("start", "end"), "sessions_" + files.scratch(s)[-32:], "complete", files.scratch(s))
+    return streams.run_ui_sessions(own, files.scratch(s), files.scratch(s)).drop("start", "end")
 
 
 def _stream_history(s, d):

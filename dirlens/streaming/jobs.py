@@ -51,13 +51,6 @@ def ingest(stream: DataFrame, build, path: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, as a table of the session; for small answers."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def run_to_table(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
     """All that is there now: partial(rows) of each batch, late rows too, in a Parquet table; a batch that is repeated
     replaces its own part. What has the same key in several batches is still to be merged."""
@@ -77,4 +70,10 @@ def run_log_minutes(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return run_to_table(stream, log_minutes, path, checkpoint).groupBy("run", "minute").agg(F.sum("calls").alias("calls"), F.sum("events").alias("events"))
 
 
-__all__ = ["append_history", "ingest", "log_minutes", "run_log_minutes", "run_to_memory", "run_to_table", "ui_sessions", "usage"]
+def run_ui_sessions(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The sessions of all events that are there now."""
+    parts = run_to_table(stream, ui_sessions, path, checkpoint)
+    return parts.groupBy("user", "session").agg(*[F.sum(k).alias(k) for k in ("groups", "users", "disktree")], F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+__all__ = ["append_history", "ingest", "log_minutes", "run_log_minutes", "run_to_table", "run_ui_sessions", "ui_sessions", "usage"]

@@ -81,3 +81,14 @@ def test_log_minutes_tells_every_minute_of_unordered_files(spark, tmp_path):
     events.createOrReplaceTempView("minute_events")
     want = spark.sql("SELECT run, date_trunc('MINUTE', ts) AS minute, sum(opens + reads + closes + stats + writes) AS calls, count(*) AS events FROM minute_events GROUP BY 1, 2")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_sessions_are_merged_from_a_table(spark, tmp_path):
+    for i in range(3):
+        rows = [(f"u{k % 2}", "s1", '{"byUser":true}' if k % 3 else "{}", 10 * i + k) for k in range(6)]
+        spark.createDataFrame(rows, "user string, session string, state string, time int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = jobs.run_ui_sessions(stream, str(tmp_path / "out"), str(tmp_path / "at"))
+    assert (tmp_path / "out").exists()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs.sessions(events).collect()))
