@@ -150,12 +150,14 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     """The k best of the candidates for each query; exact cosines, ties to the smaller id."""
     near = _unit(q) @ _unit(c).T
     near[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    m = min(len(c_ids), 3 * k + 1)
-    top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(c_ids) else np.tile(np.arange(m), (len(q_ids), 1))
-    rows = np.repeat(np.arange(len(q_ids)), m)
-    a, b, ids = q[rows], c[top.ravel()], c_ids[top.ravel()]
-    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-    score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    m = min(len(c_ids), k)
+    least = -np.partition(-near, m - 1, axis=1)[:, m - 1]
+    rows, cols = np.nonzero(near >= least[:, None] - 1e-12)  # all that rounding may put among the k best
+    ids, score = c_ids[cols], np.empty(len(rows))
+    for i in range(0, len(rows), 1 << 14):
+        a, b = q[rows[i : i + (1 << 14)]], c[cols[i : i + (1 << 14)]]
+        a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+        score[i : i + (1 << 14)] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     ok = ids != q_ids[rows]
     rows, ids, score = rows[ok], ids[ok], score[ok]
     order = np.lexsort((ids, -score, rows))

@@ -54,3 +54,14 @@ def test_partitions_are_balanced():
     x[:300] = x[0] + 1e-3 * x[:300]  # half of all rows in one place
     home = A.balanced_partitions(A._unit(x), A.neighbour_graph(A._unit(x), 10), 6)
     assert np.bincount(home, minlength=6).max() <= np.ceil(1.1 * 100)
+
+
+def test_multiples_of_a_vector_tie_to_the_smallest_ids():
+    from dirlens.llm.ann import _best
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=16)
+    ids = rng.permutation(40)
+    c = np.concatenate([v * 2.0 ** rng.permutation(40)[:, None], rng.normal(size=(20, 16))])
+    got = _best(np.array([1000]), v[None, :], np.concatenate([ids, np.arange(100, 120)]), c, 5)
+    assert got["vec_id"].tolist() == [0, 1, 2, 3, 4]
