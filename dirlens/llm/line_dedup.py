@@ -1,18 +1,21 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions alone.
 
-A line's path in the tree is its number of tokens, then its first DEPTH tokens, with tokens that hold a digit as the
-field <*>. The tokens after these are dealt into SEGMENTS runs; a template leaves one run open, so that lines which
-differ in one variable field meet in it, and one more template is the masked line itself. A template recurs if lines of
-LEAST_EXACT (the masked line) or LEAST_OPEN (one run open) documents have it. Of a recurring template the lines of the
-document with the smallest doc_id stay, all others are dropped.
-
-Templates are 64-bit hashes. They are counted once per document, with partial sums before the shuffle; the join back
-reads recurring templates from a table, so Spark splits a template that many documents have. Lines of fewer than
-DEPTH tokens (blank ones too) always stay, and lines too short for SEGMENTS runs of two have no open template.
+A line's path in the tree is its number of tokens, then its leading tokens; a token that holds a digit is the field
+<*>. The nodes are at the DEPTHS, so a template that shares few leading tokens with others has a node of its own
+further down. A node generalises: of the runs of tokens behind the leading ones (CELLS runs a line at most, a token
+each up to as many tokens) those that all its lines share are constant, the others are fields. A node of lines of
+LEAST_NODE documents, of which at least half the runs are constant, is a template; the masked line itself is one too,
+if LEAST_EXACT documents have it (LEAST_NODE, if it has fewer than SHORT tokens).
+Of a recurring template the lines of the document with the smallest doc_id stay, all others are dropped.
+
+Templates are 64-bit hashes, carried with their line's number; runs are 32-bit hashes. They are counted once per
+document, with partial sums before the shuffle; joins read what recurs from a table, so Spark splits a template that
+many documents have. Lines without a letter (blank ones too) have no exact template.
 
 Nulls: a null text has no lines and stays null. A null doc_id comes after all others. Rows that share the smallest
-doc_id all keep their lines; repeated rows are one document and get equal results. An empty table gives no rows.
-Columns other than text pass through unchanged.
+doc_id all keep their lines; repeated rows are one document and get equal results. Very long texts are treated whole,
+and a line may have any length. An empty table gives no rows. Columns other than text pass through unchanged, whatever
+their names, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,46 +23,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
-DEPTH, SEGMENTS, LEAST_EXACT, LEAST_OPEN = 3, 3, 2, 3
+DEPTHS, CELLS, LEAST_EXACT, LEAST_NODE, SHORT = (2, 4), 16, 2, 3, 3
 _LAST = (1 << 63) - 1
 
-
-def _templates(tokens: str) -> str:
-    """SQL: the templates of one line's tokens; exact ones are even, open ones odd."""
-    def run(i: int) -> str:
-        return f"int(floor({i} * (size({tokens}) - {DEPTH}) / {SEGMENTS}))"
-
-    exact = f"shiftleft(xxhash64({tokens}), 1)"
-    opened = [f"shiftleft(xxhash64(size({tokens}), {i}, slice({tokens}, 1, {DEPTH} + {run(i)}), slice({tokens}, {DEPTH + 1} + {run(i + 1)}, size({tokens}))), 1) | 1L" for i in range(SEGMENTS)]
-    return f"CASE WHEN size({tokens}) >= {DEPTH + 2 * SEGMENTS} THEN array({', '.join([exact, *opened])}) WHEN size({tokens}) >= {DEPTH} THEN array({exact}) ELSE array() END"
-
-
-_MASKED = r"IF(l RLIKE '[0-9]', regexp_replace(l, r'(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), l)"
 _LINES = r"split(text, '\n', -1)"
-_KEYS = f"transform(transform({_LINES}, l -> split({_MASKED}, ' ', -1)), t -> {_templates('t')})"
+_MASKED = r"IF(l RLIKE '[0-9]', regexp_replace(l, r'(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), l)"
+_SPLIT = rf"transform(transform({_LINES}, l -> {_MASKED}), m -> named_struct('m', m, 't', split(m, ' ', -1)))"
+#: Keys end in what they are: 0 a masked line, 1 a short one, 2 and 3 the nodes.
+_KEYS = ", ".join(
+    [
+        rf"IF(x.m RLIKE '\\p{{L}}', shiftleft(xxhash64(x.m), 2) | IF(size(x.t) >= {SHORT}, 0L, 1L), NULL)",
+        *(f"IF(size(x.t) > {d}, shiftleft(xxhash64(size(x.t), slice(x.t, 1, {d})), 2) | {i + 2}L, NULL)" for i, d in enumerate(DEPTHS)),
+    ]
+)
+_RUN = f"slice(x.t, int(i * size(x.t) / least({CELLS}, size(x.t))) + 1, int((i + 1) * size(x.t) / least({CELLS}, size(x.t))) - int(i * size(x.t) / least({CELLS}, size(x.t))))"
+_FIELDS = "forall(r, y -> y = '<*>')"
+_CELLS = f"transform(transform(sequence(0, least({CELLS}, size(x.t)) - 1), i -> {_RUN}), r -> IF({_FIELDS}, 0, hash(r)))"
+_TREE = rf"transform({_SPLIT}, x -> named_struct('n', size(x.t), 'keys', array({_KEYS}), 'cells', IF(size(x.t) > {DEPTHS[0]}, {_CELLS}, NULL)))"
+
+
+def _constant(kind: int) -> str:
+    """SQL: whether at least half the runs behind the leading tokens are constant, and not fields alone."""
+    depth, cells = DEPTHS[kind - 2], f"least({CELLS}, n)"
+    behind = f"filter(sequence(0, {cells} - 1), i -> int(i * n / {cells}) >= {depth})"
+    same = f"size(filter({behind}, i -> low[i] = high[i] AND low[i] <> 0))"
+    return f"size({behind}) > 0 AND 2 * {same} >= size({behind})"
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    """(d, th, gone): numbers of the lines to drop of documents (doc_id, text) that have any."""
+    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), F.expr(_TREE).alias("lines"))
+    rows = stored(told.where("exists(lines, x -> exists(x.keys, k -> k IS NOT NULL))"))
+    keys = F.expr("array_compact(array_distinct(flatten(transform(lines, x -> x.keys))))")
+    each = rows.select("d", "th", F.explode(keys).alias("key"))
+    kind = F.col("key").bitwiseAND(F.lit(3))
+
+    often = each.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("*").alias("n"))
+    often = stored(often.where((F.col("n") >= F.when(kind == 0, LEAST_EXACT).otherwise(LEAST_NODE)) & (F.col("least") < F.col("most"))).drop("n"))
+    met = stored(each.join(often, "key"))
+    third = stored(met.where((kind > 0) & (F.col("d") > F.col("least")) & (F.col("d") < F.col("most"))).select("key").distinct())
+    short = met.where(kind == 1).join(third, "key", "left_semi")
+    nodes = met.where(kind > 1).join(third, "key", "left_semi")
+
+    # the lines of the nodes that recur, and what they share
+    asked = nodes.groupBy("d", "th").agg(F.collect_set("key").alias("asked"))
+    lines = rows.join(stored(asked), ["d", "th"]).select("asked", F.explode("lines").alias("x")).where("x.cells IS NOT NULL")
+    lines = lines.select(F.explode(F.expr("array_intersect(x.keys, asked)")).alias("key"), F.col("x.n").alias("n"), F.col("x.cells").alias("cells"))
+    ends = [f(F.get("cells", F.lit(i))).alias(f"{k}{i}") for i in range(CELLS) for k, f in (("low", F.min), ("high", F.max))]
+    shared = lines.groupBy("key").agg(F.max("n").alias("n"), *ends).select("key", "n", *[F.array(*[f"{k}{i}" for i in range(CELLS)]).alias(k) for k in ("low", "high")])
+    templates = stored(shared.where(F.expr(f"CASE WHEN (key & 3L) = 2 THEN {_constant(2)} ELSE {_constant(3)} END")).select("key"))
+
+    drop = met.where(kind == 0).union(short).union(nodes.join(templates, "key", "left_semi")).where("d > least")
+    drop = drop.groupBy("d", "th").agg(F.collect_set("key").alias("drop"))
+    places = F.expr("transform(filter(transform(lines, (x, i) -> named_struct('i', i, 'gone', arrays_overlap(array_compact(x.keys), drop))), y -> y.gone), y -> y.i)")
+    return rows.join(stored(drop), ["d", "th"]).select("d", "th", places.alias("gone")).groupBy("d", "th").agg(F.first("gone").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with recurring lines dropped from text, and n_lines and n_dropped of each."""
-    clash = [c for c in ("n_lines", "n_dropped") if c in docs.columns]
-    docs = docs.drop(*clash).withColumn("text", F.col("text").cast("string"))
-    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), F.expr(f"array_distinct(flatten({_KEYS}))").alias("keys"))
-    rows = stored(told.where("size(keys) > 0"))
-    each = rows.select("d", "th", F.explode("keys").alias("key"))
-
-    often = each.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("*").alias("n"))
-    least = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, LEAST_EXACT).otherwise(LEAST_OPEN)
-    often = stored(often.where((F.col("n") >= least) & (F.col("least") < F.col("most"))).select("key", "least"))
-    gone = each.join(often, "key").where("d > least").groupBy("d", "th").agg(F.collect_set("key").alias("gone"))
-    gone = stored(gone)
-
-    own = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__th", F.xxhash64("text"))
-    met = own.join(gone.select(F.col("d").alias("__d"), F.col("th").alias("__th"), "gone"), ["__d", "__th"], "left")
-    lines = F.expr(f"IF(gone IS NULL, NULL, filter(arrays_zip({_LINES}, {_KEYS}), x -> NOT arrays_overlap(x['1'], gone)))")
-    met = met.withColumn("__kept", lines)
-    met = met.withColumn("n_lines", F.coalesce(F.expr(f"size({_LINES})"), F.lit(0)))
-    met = met.withColumn("n_dropped", F.when(F.col("__kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")))
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.expr(r"array_join(transform(__kept, x -> x['0']), '\n')"))
-    return met.select(*[text.alias(c) if c == "text" else c for c in docs.columns], "n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
+    d, th, gone = (free_name(docs, x) for x in ("d", "th", "gone"))
+    found = stored(_gone(docs.select("doc_id", "text"))).toDF(d, th, gone)
+    own = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(th, F.xxhash64("text"))
+    met = own.join(found, [d, th], "left")
+    text = F.expr(rf"IF({gone} IS NULL, text, array_join(filter({_LINES}, (l, i) -> NOT array_contains({gone}, i)), '\n'))")
+    n_lines = F.coalesce(F.expr(f"size({_LINES})"), F.lit(0)).alias("n_lines")
+    n_dropped = F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped")
+    return met.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines, n_dropped)

@@ -86,17 +86,21 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 1
 
 
 #: For documents of distinct, filled doc_ids.
-_OP5_SQL = """
+_OP5_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
-t AS (SELECT doc_id, pos, line, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM l),
-k AS (
-  SELECT doc_id, pos, array_to_string(t, ' ') AS key, 2 AS least FROM t WHERE len(t) >= 3
-  UNION ALL
-  SELECT doc_id, pos, concat_ws('|', len(t), i, array_to_string(t[1:3 + (i * (len(t) - 3)) // 3], ' '), array_to_string(t[4 + ((i + 1) * (len(t) - 3)) // 3:], ' ')), 3
-  FROM t, range(3) AS r(i) WHERE len(t) >= 9),
-n AS (SELECT key, least, min(doc_id) AS first_id FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= least),
-bad AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN n USING (key, least) WHERE k.doc_id > n.first_id),
+m AS (SELECT doc_id, pos, line, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM l),
+t AS (SELECT doc_id, pos, line, m, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n FROM m),
+e AS (SELECT doc_id, pos, m AS key, CASE WHEN n >= 3 THEN 2 ELSE 3 END AS least FROM t WHERE regexp_matches(m, '\p{L}')),
+often AS (SELECT key, min(doc_id) AS first_id FROM e GROUP BY key, least HAVING count(DISTINCT doc_id) >= least),
+node AS (SELECT doc_id, pos, t, n, h, concat(n, ' ', h, ' ', array_to_string(t[1:h], ' ')) AS key FROM t, (VALUES (2), (4)) AS v(h) WHERE n > h),
+large AS (SELECT key, min(doc_id) AS first_id FROM node GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+run AS (SELECT key, i, array_to_string(t[(i * n) // least(16, n) + 1:((i + 1) * n) // least(16, n)], ' ') AS run
+        FROM node SEMI JOIN large USING (key), range(16) AS r(i) WHERE i < least(16, n) AND (i * n) // least(16, n) >= h),
+same AS (SELECT key, i, count(DISTINCT run) = 1 AND NOT regexp_full_match(min(run), '<\*>( <\*>)*') AS same FROM run GROUP BY 1, 2),
+template AS (SELECT key FROM same GROUP BY 1 HAVING 2 * count(*) FILTER (same) >= count(*)),
+bad AS (SELECT doc_id, pos FROM e JOIN often USING (key) WHERE doc_id > first_id
+        UNION SELECT doc_id, pos FROM node JOIN large USING (key) SEMI JOIN template USING (key) WHERE doc_id > first_id),
 kept AS (SELECT t.doc_id, string_agg(line, chr(10) ORDER BY t.pos) AS text, count(*) AS n FROM t LEFT JOIN bad ON t.doc_id = bad.doc_id AND t.pos = bad.pos WHERE bad.pos IS NULL GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
        coalesce(len(lines), 0)::INTEGER AS n_lines, (coalesce(len(lines), 0) - coalesce(kept.n, 0))::INTEGER AS n_dropped
