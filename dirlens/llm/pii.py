@@ -6,7 +6,8 @@ Two passes over each whole text, in one narrow Spark stage without a shuffle:
    each character of its output the source span it came from; the same detectors run on the output and what they
    find is mapped back. Only spans that no base span of that kind overlaps are added, so base spans stay.
 
-Nulls: a null text counts as empty; a null doc_id is carried through. Repeated rows give repeated results.
+Nulls: a null text counts as empty; a null doc_id is carried through. Repeated rows give repeated results. Very long
+texts are treated whole, in linear time. Spans that begin alike are in the order of KINDS, then by their ends.
 An empty table gives an empty result. Other columns are not read.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,17 +75,28 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 _LOOKALIKE = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTXaeopcyxijsdhlABEZHIKMNOPTYXo", strict=True))
 _LOOKALIKE |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _INVISIBLE = "­​‌‍⁠﻿"
-_DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+# The digits' names in English, Spanish, German and French, and the words for @ and the full stop.
+_DIGIT_NAMES = (
+    "zero one two three four five six seven eight nine",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+)
+_DIGIT_WORDS = {w: str(i) for names in _DIGIT_NAMES for i, w in enumerate(names.split())}
+_AT, _DOT, _PLUS = "at|arroba|arobase|ät", "dot|punto|punkt|point", "plus|más"
 
 _ODD = re.compile(f"[{_INVISIBLE}{''.join(_LOOKALIKE)}]")
-_D = rf"(?:{'|'.join(_DIGIT_WORDS)})"
+_D = rf"(?:{'|'.join(sorted(_DIGIT_WORDS, key=len, reverse=True))})"
+# Runs of white space are entered at their first character alone and never given back, so any text takes linear time.
 _REWRITE = re.compile(
-    rf"(?P<at>\s*[(\[{{<]\s*at\s*[)\]}}>]\s*|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s*[(\[{{<]\s*dot\s*[)\]}}>]|\s+dot\s)))"
-    r"|(?P<dot>\s*[(\[{<]\s*dot\s*[)\]}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?<![A-Za-z0-9])(?:plus\s+)?{_D}(?:[\s-]+(?:{_D}|[0-9]+)(?![A-Za-z0-9])){{2,}})",
+    rf"(?P<at>(?<!\s)\s*+[(\[{{<]\s*+(?:{_AT})\s*+[)\]}}>]\s*+|(?<=[A-Za-z0-9])\s++(?:{_AT})\s++(?=[A-Za-z0-9-]++(?:\s*+[(\[{{<]\s*+(?:{_DOT})\s*+[)\]}}>]|\s++(?:{_DOT})\s)))"
+    rf"|(?P<dot>(?<!\s)\s*+[(\[{{<]\s*+(?:{_DOT})\s*+[)\]}}>]\s*+|(?<=[A-Za-z0-9])\s++(?:{_DOT})\s++(?=[A-Za-z0-9]))"
+    rf"|(?P<digits>(?<!\w)(?:(?:{_PLUS})\s++)?{_D}(?:[\s-]++(?:{_D}|[0-9]++)(?!\w)){{2,}})",
     re.IGNORECASE,
 )
-_WORD = re.compile(r"plus|[a-z]+|[0-9]", re.IGNORECASE)
+_WORD = re.compile(r"[^\W\d_]+|[0-9]")
+_HINT = re.compile(rf"(?<!\w)(?:{_DOT})(?!\w)|[(\[{{<]\s*+(?:{_AT})(?!\w)|(?<!\w){_D}[\s-]++(?:{_D}|[0-9])", re.IGNORECASE)
+_PLUSES = frozenset(_PLUS.split("|"))
 
 
 def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
@@ -101,11 +114,8 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
                 begin.append(i)
                 end.append(i + 1)
         text = "".join(out)
-    low = text.lower()
-    if "dot" not in low and not re.search(r"[(\[{<]\s*at\b", low) and not any(w in low for w in _DIGIT_WORDS):
+    if not _HINT.search(text):
         return (text, begin, end) if changed else None
-    if len(low) != len(text):
-        low = text
 
     src_begin, src_end = (begin, end) if changed else (range(len(text)), range(1, len(text) + 1))
     out, begin2, end2, last = [], [], [], 0
@@ -115,7 +125,7 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
         end2 += src_end[last : m.start()]
         last = m.end()
         if m["digits"]:
-            parts = [("+" if w[0].lower() == "plus" else _DIGIT_WORDS.get(w[0].lower(), w[0]), m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m[0])]
+            parts = [("+" if w[0].lower() in _PLUSES else _DIGIT_WORDS.get(w[0].lower(), w[0]), m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m[0])]
         else:
             parts = [("@" if m["at"] else ".", m.start(), m.end())]
         for c, a, b in parts:
@@ -137,7 +147,10 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
         return base, base
     clean, begin, end = plain
     extra = {(begin[a], end[b - 1], kind) for a, b, kind in detect(clean)}
-    extra = [x for x in extra if not any(x[2] == y[2] and x[0] < y[1] and y[0] < x[1] for y in base)]
+    for kind in KINDS:  # a kind's base spans don't overlap, so the last that begins before a span's end decides
+        own = [x for x in base if x[2] == kind]
+        starts = [x[0] for x in own]
+        extra = {x for x in extra if x[2] != kind or not (i := bisect_left(starts, x[1])) or own[i - 1][1] <= x[0]}
     return base, sorted([*base, *extra], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

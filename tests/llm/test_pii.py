@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from dirlens.llm.pii import KINDS, deobfuscate, detect, find_pii, luhn, spans
 
@@ -52,3 +53,25 @@ def test_operator_over_odd_rows(spark):
         assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(x[2] == k for x in brute(t)) for k in KINDS]
     assert got[99].spans == "" and got[None].n_email == 1
+
+
+def test_digit_words_of_four_languages():
+    for words in ("plus four nine three zero one two three four five six", "más uno dos tres cuatro cinco seis siete ocho nueve cero", "plus eins zwei drei vier fünf sechs sieben acht neun null", "plus zéro un deux trois quatre cinq six sept huit neuf"):
+        assert spans(f"so {words}, so")[1] == [(3, 3 + len(words), "phone")]
+    assert [x[2] for x in spans("jo arroba ex punto org, jo [ät] ex [punkt] de")[1]] == ["email", "email"]
+
+
+def test_long_texts_take_linear_time():
+    n = 1 << 20
+    texts = ["a" + " " * n + "dot", "dot" + " " * n, "one two" + " " * n + "x", "(" + " " * n + "dot", "[at" + "] " * (n // 2), "1" * n + " one two", "a@b.cc " * (n // 32) + "j [at] b [dot] de"]
+    for t in texts:
+        began = time.process_time()
+        spans(t)
+        assert time.process_time() - began < 8, t[:20]
+
+
+def test_added_spans_against_every_base_span():
+    text = " ".join(["jo@ex.com", "four nine three zero one two", "bo (at) ex [dot] org", "+49 30 1234567"] * 50)
+    base, every = spans(text)
+    added = [x for x in every if x not in base]
+    assert added and not any(x[2] == y[2] and x[0] < y[1] and y[0] < x[1] for x in added for y in base)
