@@ -70,3 +70,53 @@ def test_every_window_keeps_the_proportions(spark, path):
 
 def test_no_rows(spark, path):
     assert pack(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def _mixed(spark, path, weights, window=1000):
+    rows = [(i, "one two three four five " * 4, "en", ("big", "small", "odd")[0 if i % 5 else i // 5 % 2 + 1], 0, "") for i in range(2000)]
+    queued = tokenize(spark.createDataFrame(rows, SCHEMA).repartition(5), path).cache()
+    share, sent = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in queued.join(windows(queued, window, weights), "row").collect():
+        share[r.window][r.source] += r.n
+        sent[r.source] += r.n
+    return share, sent
+
+
+def test_weights_hold_until_a_source_is_dry_and_windows_stay_full(spark, path):
+    for weights in ({"big": 0.2, "small": 0.8}, {"big": 1, "small": 4, "odd": 0, "none": 7}):
+        share, sent = _mixed(spark, path, weights)
+        dry = sent["small"] // 800
+        weighted = -(-(sent["big"] + sent["small"]) // 1000)
+        for w in range(1, weighted - 1):
+            assert abs(sum(share[w].values()) - 1000) <= 84 and not share[w]["odd"]
+            if w < dry - 1:
+                assert abs(share[w]["small"] - 800) <= 42 and abs(share[w]["big"] - 200) <= 42
+            if w > dry + 1:
+                assert not share[w]["small"]
+        assert sum(share[w]["odd"] for w in share if w >= weighted) == sent["odd"]
+
+
+def test_weights_against_a_round_by_round_packer(spark, path):
+    """A plain deficit round-robin with real queues gives each queue the same credit by the end of every round."""
+    weights = {"big": 3, "small": 2, "odd": 1}
+    share, sent = _mixed(spark, path, weights)
+    left, got = dict(sent), defaultdict(float)
+    for w in range(max(share) + 1):
+        room = 1000.0
+        while room > 1e-6 and any(v > 1e-6 for v in left.values()):
+            live = {s: weights[s] for s, v in left.items() if v > 1e-6}
+            step = min(room, *(v * sum(live.values()) / live[s] for s, v in left.items() if s in live))
+            for s in live:
+                left[s] -= step * live[s] / sum(live.values())
+                got[s] += step * live[s] / sum(live.values())
+            room -= step
+        for s in sent:
+            assert abs(sum(share[v][s] for v in range(w + 1)) - got[s]) <= 22
+
+
+def test_weights_that_are_no_weights(spark, path):
+    queued = tokenize(spark.createDataFrame(_docs(), SCHEMA), path)
+    with pytest.raises(ValueError):
+        windows(queued, 100, {"hot": -1.0})
+    for weights in ({}, {"none": 3.0}, {"hot": 0.0}):
+        assert windows(queued, 100, weights).count() == len(_docs())
