@@ -10,7 +10,8 @@ neighbouring records by one read.
 Equal payloads of at least `least` bytes: the one of the smallest page_id is a response, the others revisit it.
 Nulls: a null html is an empty payload, a null url an empty URI. A null page_id is carried through and is never the
 smallest unless all are null (then all are responses). Rows that share the smallest page_id and its payload are
-all responses. An empty table gives no packages and no rows. Other columns are not read.
+all responses. Very long pages are records like any other, in memory one at a time. An empty table gives no packages
+and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RANGE = 4 << 20
+TASK_BYTES = 128 << 20
 _TAIL = 22 + 65535 + 20 + 56
 
 
@@ -254,5 +256,8 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
             f.close()
 
     found = packages.select("path", "size").repartition("path").mapInArrow(index, "path string, at long, n long")
-    dealt = found.withColumn("range", F.floor(F.col("at") / RANGE)).repartition("path", "range").sortWithinPartitions("path", "at").select("path", "at", "n")
+    # as many tasks as the archives' bytes ask for: the rows shuffled here are places alone, which tell little of them
+    total = packages.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    dealt = found.withColumn("range", F.floor(F.col("at") / RANGE)).repartition(tasks, "path", "range").sortWithinPartitions("path", "at").select("path", "at", "n")
     return dealt.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads)

@@ -29,6 +29,16 @@ def test_round_trip(spark, size):
         assert r.payload == (data if r.record_type == "response" else None)
 
 
+def test_many_tasks_read_one_package(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANGE", 2000)
+    monkeypatch.setattr(W, "TASK_BYTES", 4000)
+    rows = [(i, f"http://a/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 9) for i in range(400)]
+    packs = W.write_packages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert packs.count() == 1
+    got = W.read_packages(packs)
+    assert got.rdd.getNumPartitions() >= 20 and {r.page_id for r in got.collect()} == set(range(400))
+
+
 def test_no_rows(spark):
     _, pages = _pages(spark)
     assert W.read_packages(W.write_packages(pages.limit(0))).count() == 0
