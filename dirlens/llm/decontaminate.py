@@ -10,10 +10,12 @@ passage's distinct words, as a share of the score the item gets from its own wor
 
 The answer is an item's last sentence or line, or the last third of its words if it is one sentence.
 Document frequencies and lengths are counted over all items; the index is broadcast in shards of at most
-SHARD_POSTINGS postings, and a larger benchmark takes more passes. Documents aren't shuffled.
+SHARD_POSTINGS postings, PER_PASS of them at once, and a larger benchmark takes more passes. Documents aren't shuffled.
 
 Nulls: documents and items without words (null texts too) hit nothing; a null doc_id or item_id is carried through.
-Repeated documents give repeated rows; repeated items (same id and text) count once. Empty tables give no rows.
+Repeated documents give repeated rows; repeated items (same id and text) count once. Of equal scores of an item's
+passages any is told, they are the same. Very long texts are cut into passages, whole. Empty tables give no rows; other
+columns are not read, or pass through unchanged.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, pieces, rolling
+from .common import Words, pieces, rolling, stored
 
-K1, B, SHARD_POSTINGS, BLOCK = 1.2, 0.75, 40_000, 32
+K1, B, SHARD_POSTINGS, PER_PASS, BLOCK = 1.2, 0.75, 40_000, 8, 32
 GROUPS, RUN = 512, 2
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
 
@@ -237,19 +239,30 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id") -> Iterator[Index]:
     sized.unpersist()
 
 
+def _passes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The shards' indexes, PER_PASS at a time."""
+    held: list[Index] = []
+    for index in indexes(benchmark):
+        held.append(index)
+        if len(held) == PER_PASS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified hit, once per document and item."""
     spark, schema = docs.sparkSession, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for held in _passes(benchmark):
+        shared = spark.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
-                hits = find_in_texts(shared.value, batch.column(1), threshold)
                 ids = batch.column(0).to_pylist()
-                rows = [(i, shared.value.ids[item], *told) for i, own in zip(ids, hits, strict=True) for item, *told in own]
+                rows = [(i, index.ids[item], *told) for index in shared.value for i, own in zip(ids, find_in_texts(index, batch.column(1), threshold), strict=True) for item, *told in own]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
@@ -259,14 +272,19 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (all columns) in which no item was found; no shuffle."""
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows of docs (all columns, whatever their names) in which no item was found; no shuffle."""
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{[n.lower() for n in names].index('text')}").cast("string"))
+    for i, held in enumerate(_passes(benchmark)):
+        shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
-                hits = find_in_texts(shared.value, batch.column(batch.schema.get_field_index("text")), threshold)
-                yield batch.filter(pa.array([not h for h in hits]))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                for index in shared.value:
+                    hits = find_in_texts(index, batch.column(batch.num_columns - 1), threshold)
+                    batch = batch.filter(pa.array([not h for h in hits], pa.bool_()))
+                if batch.num_rows:
+                    yield batch
+
+        own = (stored(own) if i else own).mapInArrow(run, own.schema)
+    return own.drop("text").toDF(*names)
