@@ -1,18 +1,19 @@
 """Nearest neighbours by learned partitions.
 
 1. On a bounded sample (SAMPLE vectors, chosen by a hash of vec_id) a neighbour graph is built and cut into partitions
-   of nearly equal size: nodes move to the partition most of their neighbours are in while it has room.
+   of nearly equal size: nodes move to the partition most of their neighbours are in while it has room. There are about
+   sqrt(rows) / 4 partitions, as far as the sample has 2 * GRAPH vectors for each; a table of fewer has one.
 2. A softmax classifier learns, from each sampled vector, the partitions its neighbours lie in. It gives every vector
    of the table its home; a query goes to its most probable partitions, as many as the sample needs for TARGET recall.
-3. Partitions are split into blocks of candidates and of queries, so none has to fit in a task; each pair of blocks is
-   multiplied in one task, and the best are scored again exactly and merged.
+3. Partitions are split into blocks of BLOCK candidates and of QUERIES queries, so none has to fit in a task; each pair
+   of blocks is multiplied in one task, and the best are scored again exactly and merged.
 
 Of equal vectors only the k + 1 smallest ids can be among the k nearest, so no others are carried as candidates; all
 stay queries. Distances are not cut otherwise: what isn't found lies in a partition that was not probed.
 
 Nulls: rows with a null vec_id, and vectors that are null, zero, of another length than most, or that hold null or
-non-finite components, take no part. Rows with the query's vec_id are not its candidates; of repeated rows one counts.
-An empty table gives no rows, and a query fewer than k rows if there are fewer candidates. Other columns are not read.
+non-finite components, take no part. Rows with the query's vec_id are not its candidates; of rows that share a vec_id
+the one whose vector's bytes come first counts. Ties go to the smaller vec_id. An empty table gives no rows, and a query fewer than k rows if there are fewer candidates. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE, GRAPH, PER_PARTITION, MOST_PARTITIONS, TARGET, BLOCK = 4096, 10, 2048, 128, 0.96, 4096
+SAMPLE, GRAPH, TARGET, BLOCK, QUERIES, STEP = 8192, 10, 0.96, 4096, 32_768, 2048
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -143,16 +144,19 @@ def build_router(vectors: DataFrame, k: int = 5) -> Router | None:
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).select("v").toPandas()
     if len(rows) < 2:
         rows = vectors.limit(1).select("v").toPandas()
-    return train_router(np.stack(rows["v"].to_numpy()).astype(np.float64), min(MOST_PARTITIONS, -(-n // PER_PARTITION)), k)
+    return train_router(np.stack(rows["v"].to_numpy()).astype(np.float64), max(2, round(n**0.5 / 4)), k)
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of the candidates for each query; exact cosines, ties to the smaller id."""
-    near = _unit(q) @ _unit(c).T
-    near[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    m = min(len(c_ids), k)
-    least = -np.partition(-near, m - 1, axis=1)[:, m - 1]
-    rows, cols = np.nonzero(near >= least[:, None] - 1e-12)  # all that rounding may put among the k best
+    units, m, found = _unit(c).T, min(len(c_ids), k), []
+    for a in range(0, len(q), STEP):
+        near = _unit(q[a : a + STEP]) @ units
+        near[q_ids[a : a + STEP, None] == c_ids[None, :]] = -np.inf
+        least = -np.partition(-near, m - 1, axis=1)[:, m - 1]
+        at = np.nonzero(near >= least[:, None] - 1e-12)  # all that rounding may put among the k best
+        found.append((at[0] + a, at[1]))
+    rows, cols = (np.concatenate(x) for x in zip(*found, strict=True))
     ids, score = c_ids[cols], np.empty(len(rows))
     for i in range(0, len(rows), 1 << 14):
         a, b = q[rows[i : i + (1 << 14)]], c[cols[i : i + (1 << 14)]]
@@ -186,14 +190,14 @@ def nearest(table: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
 
     routed = stored(vectors.mapInArrow(route, "vec_id long, vec binary, home int, probes array<int>"))
     same = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    once = routed.dropDuplicates(["vec_id"])
+    once = routed.groupBy("vec_id").agg(F.min(F.struct("vec", "home", "probes")).alias("x")).select("vec_id", "x.*")
     candidates = stored(once.withColumn("copy", same).where(F.col("copy") <= k + 1).select("vec_id", "vec", "home"))
     queries = stored(once.where("probes IS NOT NULL").select("vec_id", "vec", F.explode("probes").alias("home")))
 
-    def blocks(df: DataFrame) -> DataFrame:
-        return df.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    def blocks(df: DataFrame, size: int) -> DataFrame:
+        return df.groupBy("home").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
 
-    sizes = F.broadcast(blocks(candidates).withColumnRenamed("n", "nc").join(blocks(queries).withColumnRenamed("n", "nq"), "home"))  # a row per partition
+    sizes = F.broadcast(blocks(candidates, BLOCK).withColumnRenamed("n", "nc").join(blocks(queries, QUERIES).withColumnRenamed("n", "nq"), "home"))  # a row per partition
     c = candidates.join(sizes, "home").select("home", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), "nc").cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
     q = queries.join(sizes, "home").select("home", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"))
 

@@ -16,12 +16,13 @@ def brute(ids, x, k, every):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 64])
-def test_recall_and_exact_scores(spark, monkeypatch, block):
-    monkeypatch.setattr(A, "PER_PARTITION", 150)
+@pytest.mark.parametrize(("block", "spread"), [(4096, 2), (64, 2), (4096, 0)])
+def test_recall_and_exact_scores(spark, monkeypatch, block, spread):
+    """Clustered vectors, and ones without any structure."""
     monkeypatch.setattr(A, "BLOCK", block)
+    monkeypatch.setattr(A, "QUERIES", 2 * block)
     rng = np.random.default_rng(1)
-    x = (rng.normal(size=(1500, 16)) + 2 * rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)]).astype(np.float32)
+    x = (rng.normal(size=(1500, 16)) + spread * rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)]).astype(np.float32)
     x[700:900] = x[700]  # many copies of one vector
     ids = np.arange(1500)
     rows = [(int(i), v.tolist(), 0.5) for i, v in zip(ids, x, strict=True)]
@@ -41,6 +42,22 @@ def test_recall_and_exact_scores(spark, monkeypatch, block):
     assert [i for i, _ in (by[750][r] for r in range(1, 6))] == [700, 701, 702, 703, 704]
 
 
+def test_clusters_need_few_probes():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32)) / 4 + 2 * rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)]
+    router = A.train_router(x[:2000], 16)
+    assert len(router.bias) == 16 and router.probes <= 4
+
+
+def test_of_rows_that_share_an_id_one_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in range(300)]
+    twice = [(i, rng.normal(size=8).tolist()) for i in (0, 7, 50)]
+    schema = "vec_id long, embedding array<double>"
+    told = [sorted(A.nearest(spark.createDataFrame(r, schema).repartition(n)).collect()) for r, n in ((rows + twice, 2), (twice + rows, 5))]
+    assert told[0] == told[1] and len(told[0]) == 30
+
+
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert A.nearest(spark.createDataFrame([], schema)).count() == 0
