@@ -11,7 +11,8 @@
 
 Nulls: a null text is empty and still gets a score; a null doc_id is not held out and its labels aren't used; null
 labels are dropped; of several labels of a document the largest counts. Without labels of both kinds every score is the
-share of toxic labels (0 without labels). Repeated rows get equal scores. An empty table gives no rows.
+share of toxic labels (0 without labels). Repeated rows get equal scores. Very long texts are treated whole. An empty
+table gives no rows. Other columns are not read, or pass through unchanged.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
 
 MOST_LABELLED, MOST_UNITS, MOST_MEMO = 12_000, 5_000, 400_000
+LIMIT, TASKS = 0.7, 6  # of the score; that the bounded sample is dealt to
 STARTS = (4, 5)
 FEATURES = ("peak", "density", "hits_rate", "hits", "nearness", "second_person", "capitals", "upper_words", "punctuation", "shouting", "obfuscation", "digits", "length")
 
@@ -105,7 +107,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int,
     n = own.count()
     kept = own.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MOST_LABELLED / max(1, n))))
     rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    met = rows.join(F.broadcast(kept), "l_id").select("text", "fold", "toxic").repartition(6).persist()
+    met = rows.join(F.broadcast(kept), "l_id").select("text", "fold", "toxic").repartition(TASKS).persist()
     counts = {r.toxic: r["count"] for r in met.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     return met, {k: v / total for k, v in counts.items()}
@@ -135,13 +137,13 @@ def _lexicons(sample: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs and held_out, score and predicted of each row."""
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id as id, the columns `keep` as k0, k1 and so on, and the score of each row."""
     spark = docs.sparkSession
-    told = [remainder().eqNullSafe(F.lit(1)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")]
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample, shares = _labelled(docs, labels)
     if min(shares.get(0, 0), shares.get(1, 0)) == 0:
-        return docs.withColumn("score", F.lit(float(shares.get(1, 0)))).select(*keep, *told)
+        return own.drop("text").withColumn("score", F.lit(float(shares.get(1, 0))))
     lexicons = spark.sparkContext.broadcast(_lexicons(sample))
     schema = "features array<double>"
 
@@ -152,7 +154,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["features", "fold", "label"])
 
     rows = sample.mapInArrow(learn, f"{schema}, fold int, label int").select(array_to_vector("features").alias("features"), "fold", F.col("label").cast("double").alias("label"))
-    rows = rows.repartition(4, "label", "features").persist()
+    rows = rows.repartition(TASKS, "label", "features").persist()
     folds = {(r.fold, r.label) for r in rows.select("fold", "label").distinct().collect()}
     one = 0 if {(0, 0.0), (0, 1.0)} <= folds else 2
     trees = GBTClassifier(maxIter=25, maxDepth=3, stepSize=0.2, seed=7, maxBins=64).fit(rows.where(F.col("fold") == one) if (one, 0.0) in folds and (one, 1.0) in folds else rows)
@@ -164,14 +166,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(lexicons.value["all"])
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "text"):
             rows = [features(t, memo) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [f"k{i}" for i in range(batch.num_columns - 1)] + ["features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "features"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("__id"), *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    kinds = ", ".join(f"k{i} {t}" for i, (_, t) in enumerate(own.dtypes[:-1]))
+    kinds = ", ".join(f"{c} {t}" for c, t in own.dtypes[:-1])
     seen = own.mapInArrow(run, f"{kinds}, {schema}").withColumn("features", array_to_vector("features"))
     scored = curve.transform(trees.transform(seen).withColumn("p", proba))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated") * 0.999 + F.col("p") * 0.001)).alias("score")
-    scored = scored.withColumn("doc_id", F.col("k0")).select("doc_id", *[F.col(f"k{i + 1}") for i in range(len(keep))], score)
-    return scored.select(*[F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)], *told)
+    return scored.select(*own.columns[:-1], score)
+
+
+def _predicted() -> Column:
+    return (F.col("score") >= LIMIT).cast("int")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of docs."""
+    return _scored(docs, labels, []).select(F.col("id").alias("doc_id"), remainder("id").eqNullSafe(F.lit(1)).alias("held_out"), "score", _predicted().alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (all columns, whatever their names) that are not predicted toxic."""
+    names = docs.columns
+    return _scored(docs, labels, names).where(_predicted() == 0).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
