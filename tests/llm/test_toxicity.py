@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
-from dirlens.llm.toxicity import FEATURES, _Memo, features, score_toxicity, units
+import pytest
+
+from dirlens.llm.toxicity import FEATURES, SECOND_PERSON, _Memo, drop_toxic, features, score_toxicity, units
 
 BAD = ["moron", "loweixa", "loweiyb", "loweizc"]
 
@@ -53,3 +56,46 @@ def test_features():
     assert f["peak"] == 3 and f["hits"] > 1 and f["nearness"] == 1 / 4 and f["obfuscation"] == 0.2 and f["shouting"] > 0 and f["capitals"] > 0
     assert features("", memo) == [0.0] * len(FEATURES)
     assert units("abcdef,xy")[0] == ["abcdef", "abcd*", "abcde*", "xy"]
+
+
+def _plain(text, lexicon):
+    """The features as their names say, token by token and sign by sign."""
+    tokens, data = text.split(), text.encode(errors="replace")
+    if not tokens:
+        return [0.0] * len(FEATURES)
+    told = [units(t) for t in tokens]
+    weights = [max((lexicon.get(k, 0.0) for k in keys), default=0.0) for keys, _ in told]
+    hits = [i for i, w in enumerate(weights) if w > 0]
+    second = [i for i, (keys, _) in enumerate(told) if SECOND_PERSON & set(keys)]
+    gap = min((abs(a - b) for a in hits for b in second), default=None)
+    capitals, small = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    signs = [b for b in data if 33 <= b < 127 and not chr(b).isalnum()]
+    loud = sum(b in b"!?" for b in signs)
+    n = len(tokens)
+    return [
+        max(weights), sum(weights) / n, len(hits) / n, math.log1p(len(hits)), 0.0 if gap is None else 1 / (1 + gap), len(second) / n, capitals / max(1, capitals + small),
+        sum(len(t) > 2 and t.isupper() for t in tokens) / n, len(signs) / len(data), loud / len(data), sum(m for _, m in told) / n, sum(48 <= b <= 57 for b in data) / len(data), math.log1p(n),
+    ]
+
+
+def test_features_against_a_plain_pass():
+    rng = random.Random(8)
+    pool = ["you", "YOU", "moron", "m0ron!", "Loweixyz", "du", "ça", "7up", "--", "LOUD", "a", "x.y", "é", "stop!?", "votre", "um"]
+    lexicon = {"moron": 3.25, "lowei*": 2.0, "stop": 1.5}
+    for n in (0, 1, 2, 3, 5, 40, 400):
+        for _ in range(20):
+            text = rng.choice([" ", "  ", "\n"]).join(rng.choices(pool, k=n))
+            assert features(text, _Memo(lexicon)) == pytest.approx(_plain(text, lexicon), abs=1e-12), text
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    docs, labels = _data()
+    wide = [(*d, i, i + 1, i + 2) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(wide, SCHEMA + ", predicted long, held_out long, id long")
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = drop_toxic(df, told)
+    assert kept.columns == df.columns
+    fine = {r.doc_id for r in score_toxicity(df, told).collect() if not r.predicted}
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == fine and 500 < len(rows) < len(docs) and all(tuple(r) in set(wide) for r in rows)
+    assert drop_toxic(df, told.limit(0)).count() == len(docs)
