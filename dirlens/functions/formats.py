@@ -49,6 +49,17 @@ def percent_of(used: Column, quota: Column) -> Column:
     return F.round(10000 * used / F.when(quota != 0, quota)) / 100
 
 
+def quota_status(date_no_space: Column, date_no_files: Column, ref_time: int, days: int = 3) -> Column:
+    """Not OK if a quota will be used up within some days."""
+    soon = lambda c: F.coalesce(c <= ref_time + days * DAY, F.lit(False))
+    return F.when(soon(date_no_space) | soon(date_no_files), "Not OK").otherwise("OK")
+
+
+def iso_time(time: Column) -> Column:
+    """Epoch seconds as 2001-02-03T04:05:06Z."""
+    return F.concat(F.replace(F.date_format(F.timestamp_seconds(time), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def sane_time(time: Column, fallback: Column) -> Column:
     """Epoch seconds of years 0 to 9999, else the fallback."""
     return F.when((time >= -62167219200) & (time < 253402300800), time).otherwise(fallback)

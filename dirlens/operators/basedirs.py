@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from dirlens.functions import ages, filetypes, paths
 
-from .usage import small
-
 
 def rule_for(dirs: DataFrame, rules: DataFrame, column: str = "dir") -> DataFrame:
     """dirs with `mindirs` of their rule (rules: prefix, mindirs): the one of most components that matches.
@@ -22,7 +20,7 @@ def rule_for(dirs: DataFrame, rules: DataFrame, column: str = "dir") -> DataFram
     r = r.select("mindirs", F.size("rp").alias("n"), F.array_join(F.slice("rp", F.lit(1), F.greatest(F.lit(0), F.size("rp") - 1)), "/").alias("stem"), F.coalesce(F.try_element_at("rp", F.lit(-1)), F.lit("")).alias("last"))
     own = dirs.select(column).distinct().withColumn("p", paths.parts(F.col(column)))
     keyed = own.withColumn("n", F.explode(F.sequence(F.lit(0), F.size("p")))).withColumn("stem", F.array_join(F.slice("p", F.lit(1), F.greatest(F.lit(0), F.col("n") - 1)), "/"))
-    met = keyed.join(small(r), ["n", "stem"]).where((F.col("n") == 0) | F.startswith(F.try_element_at("p", F.col("n")), F.col("last")))
+    met = keyed.join(r, ["n", "stem"]).where((F.col("n") == 0) | F.startswith(F.try_element_at("p", F.col("n")), F.col("last")))
     best = met.groupBy(column).agg(F.max_by("mindirs", F.struct("n", F.length("last"))).alias("mindirs"))
     return dirs.join(best, column)
 
@@ -114,8 +112,11 @@ def glob_group(rows: DataFrame, rules: DataFrame, column: str = "path") -> DataF
     if not same.isEmpty():
         raise ValueError("ambiguous glob rules")
     r = rules.select("glob", F.col("group_name").alias("glob_name"), glob_pattern(F.col("glob")).alias("re"), F.array_join(F.transform(F.regexp_extract_all("glob", F.lit(r"(\*\*|\*|[^*]+)"), F.lit(1)), lambda t: F.when(t == "**", "2").when(t == "*", "1").otherwise(F.regexp_replace(t, "(?s).", "0"))), "|").alias("shape"), (F.length("glob") - F.length(F.replace("glob", F.lit("*"), F.lit("")))).alias("stars"))
-    own = rows.select(F.col(column).alias("__p")).distinct()
-    met = own.join(small(r), F.expr("regexp_like(__p, re)"))
+    # a rule is looked at for the paths below the directory that its glob names before any wildcard
+    r = r.withColumn("__up", F.coalesce(F.nullif(F.regexp_extract("glob", "^([^*]*/)", 1), F.lit("")), F.lit("/")))
+    own = rows.select(F.col(column).alias("__p")).distinct().withColumn("__dir", F.regexp_replace("__p", "[^/]+$", ""))
+    near = own.select("__dir").distinct().withColumn("__up", F.explode(paths.ancestors(F.col("__dir")))).join(r, "__up").drop("__up")
+    met = own.join(near, "__dir").where(F.expr("regexp_like(__p, re)"))
     # each wildcard stands for as many 1s or 2s as it matched characters
     filled = F.expr("aggregate(split(shape, '[|]'), named_struct('s', '', 'k', 1), (a, t) -> IF(t IN ('1', '2'), named_struct('s', concat(a.s, repeat(t, length(regexp_extract(__p, re, a.k)))), 'k', a.k + 1), named_struct('s', concat(a.s, t), 'k', a.k)), a -> a.s)")
     best = met.withColumn("line", filled).groupBy("__p").agg(F.min_by("glob_name", F.struct("line", "stars", "glob")).alias("glob_group"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COUNTERS = ("opens", "reads", "bytes", "closes", "stats", "writes", "write_bytes")
-_KEYS = {"opens": "opens", "reads": "reads", "bytes": "bytes", "closes": "closes", "stats": "stats", "writes": "writes", "write_bytes": "writeBytes"}
+KEYS = {"opens": "opens", "reads": "reads", "bytes": "bytes", "closes": "closes", "stats": "stats", "writes": "writes", "write_bytes": "writeBytes"}
 _PAIR = r'([^\s=]+)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
@@ -31,7 +31,7 @@ def events(parsed: DataFrame) -> DataFrame:
     """(run, file, line_no, time, host, counters) of lines about system calls that aren't errors; a host holds until
     the file names another."""
     own = parsed.where((F.coalesce(_at("lvl"), F.lit("")) != "eror") & (_at("msg").isNull() | _at("msg").isin("syscalls", "syscall logging")))
-    out = own.select("run", "file", "line_no", _time().alias("time"), _at("host").alias("host"), *[F.expr(f"try_cast(kv['{_KEYS[c]}'] AS bigint)").alias(c) for c in COUNTERS])
+    out = own.select("run", "file", "line_no", _time().alias("time"), _at("host").alias("host"), *[F.expr(f"try_cast(kv['{KEYS[c]}'] AS bigint)").alias(c) for c in COUNTERS])
     return fill_host(out)
 
 
@@ -69,7 +69,9 @@ def minute_rates(ev: DataFrame) -> DataFrame:
     parts = own.withColumn("n", F.col("minute") - first + 1).select("run", F.explode(F.sequence(first, F.col("minute"))).alias("minute"), (F.col("calls") / F.col("n")).alias("calls"))
     sums = parts.groupBy("run", "minute").agg(F.sum("calls").alias("calls"))
     ends = sums.groupBy("run").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
-    every = ends.select("run", F.explode(F.sequence("a", "b")).alias("minute"))
+    # a run's days are dealt out before its minutes, so that one odd time doesn't make all rows in one task
+    days = ends.select("run", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / 1440), F.floor(F.col("b") / 1440))).alias("day")).repartition("run", "day")
+    every = days.select("run", F.explode(F.sequence(F.greatest("a", F.col("day") * 1440), F.least("b", F.col("day") * 1440 + 1439))).alias("minute"))
     return every.join(sums, ["run", "minute"], "left").withColumn("calls", F.coalesce("calls", F.lit(0.0)))
 
 
@@ -81,10 +83,12 @@ def rounded_up(n: Column) -> Column:
 
 def error_preview(err: DataFrame, most: int = 7, ends: int = 3) -> DataFrame:
     """All errors of a run, or the first and last three of more than seven."""
-    w = Window.partitionBy("run")
-    order = ["time", "file", "line_no"]
-    out = err.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy(*order)))
-    return out.where((F.col("n") <= most) | (F.col("i") <= ends) | (F.col("i") > F.col("n") - ends)).drop("n")
+    w, order = Window.partitionBy("run"), ("time", "file", "line_no")
+    n = err.groupBy("run").agg(F.count("*").alias("n"))
+    # ranks with a limit: each task keeps its first and last few rows before the shuffle
+    head = err.withColumn("i", F.row_number().over(w.orderBy(*order))).where(F.col("i") <= most).join(n, "run").where((F.col("n") <= most) | (F.col("i") <= ends))
+    tail = err.withColumn("i", F.row_number().over(w.orderBy(*map(F.desc, order)))).where(F.col("i") <= ends).join(n, "run").where(F.col("n") > most)
+    return head.unionByName(tail.withColumn("i", (F.col("n") - F.col("i") + 1).cast("int"))).drop("n")
 
 
 # ---- user interface ----
@@ -116,5 +120,6 @@ def top(u: DataFrame) -> DataFrame:
 
 
 def nested(ui: DataFrame) -> DataFrame:
-    """Events of each session in time order; a session's events are one user's clicks."""
-    return ui.groupBy("user", "session").agg(F.array_sort(F.collect_list(F.struct("time", "state"))).alias("events"))
+    """Events by user, session and time: rows in that order over all partitions, so a session may be of any size."""
+    order = ("user", "session", "time", "state")
+    return ui.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -1,6 +1,6 @@
 """Directory rollups: aggregate where the files are, then once more over each directory's ancestors.
 
-Leaf groups, not files, are exploded to ancestors; ages and histograms are four small keys until the very end. The root and mounts get a
+Leaf groups, not files, are exploded to ancestors (but for aggregates that don't merge); ages and histograms are four small keys until the very end. The root and mounts get a
 row of every leaf group, which partial aggregation takes in; nothing is collected per key."""
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ CLASSES = ["a_level", "m_level", "a_bucket", "m_bucket"]
 
 def infill_dirs(stats: DataFrame) -> DataFrame:
     """stats and a row for each directory that has none: size and inode 0, owner and times of the first path below it."""
-    below = stats.select(F.explode(paths.ancestors(F.regexp_replace("path", "[^/]+/?$", ""))).alias("dir"), "path", "uid", "gid", "atime", "mtime", "ctime", "nlink")
-    told = below.groupBy("dir").agg(F.min_by(F.struct("uid", "gid", "atime", "mtime", "ctime", "nlink"), "path").alias("s"))
+    first = F.min_by(F.struct("uid", "gid", "atime", "mtime", "ctime", "nlink"), "path").alias("s")
+    leaf = stats.groupBy(F.regexp_replace("path", "[^/]+/?$", "").alias("dir")).agg(F.min("path").alias("path"), first)
+    below = leaf.select(F.explode(paths.ancestors(F.col("dir"))).alias("dir"), "path", "s")
+    told = below.groupBy("dir").agg(F.min_by("s", "path").alias("s"))
     missing = told.join(stats.where("entry_type = 'd'").select(F.col("path").alias("dir")), "dir", "left_anti")
     zero = F.lit(0).cast("long")
     rows = missing.select(F.col("dir").alias("path"), zero.alias("size"), "s.uid", "s.gid", "s.atime", "s.mtime", "s.ctime", F.lit("d").alias("entry_type"), zero.alias("inode"), "s.nlink", zero.alias("device"), zero.alias("apparent_size"))
@@ -73,7 +75,8 @@ def dguta(stats: DataFrame, ref_time: int) -> DataFrame:
 
 
 def directory_rollup(entries: DataFrame, directory: Column, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Any aggregates (Columns) of rows over every ancestor of their directory."""
+    """Any aggregates (Columns) of rows over every ancestor of their directory, those that don't merge too: so rows, not
+    sums, are dealt to the ancestors, and partial aggregation takes them in. What merges is best summed up first."""
     return entries.withColumn("dir", F.explode(paths.ancestors(directory))).groupBy("dir", *keys).agg(*aggs)
 
 
@@ -81,11 +84,11 @@ def by_group_user(stats: DataFrame) -> DataFrame:
     return stats.where("entry_type <> 'd'").groupBy("gid", "uid").agg(F.count("*").alias("count"), F.sum("size").alias("size"))
 
 
-def by_user_group_dir(stats: DataFrame, root_depth: int = 1) -> DataFrame:
-    """Files of each user and group below each directory, from the dataset's root (at root_depth) down."""
+def by_user_group_dir(stats: DataFrame, root_depth: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Files of each user and group (and of more keys) below each directory, from the dataset's root (at root_depth) down."""
     own = stats.where("entry_type <> 'd'").withColumn("dir", paths.parent(F.col("path"), F.col("entry_type")))
-    leaf = own.groupBy("uid", "gid", "dir").agg(F.count("*").alias("count"), F.sum("size").alias("size"))
-    return leaf.withColumn("dir", F.explode(paths.ancestors(F.col("dir"), root_depth))).groupBy("uid", "gid", "dir").agg(F.sum("count").alias("count"), F.sum("size").alias("size"))
+    leaf = own.groupBy("uid", "gid", "dir", *keys).agg(F.count("*").alias("count"), F.sum("size").alias("size"))
+    return leaf.withColumn("dir", F.explode(paths.ancestors(F.col("dir"), root_depth))).groupBy("uid", "gid", "dir", *keys).agg(F.sum("count").alias("count"), F.sum("size").alias("size"))
 
 
 def guta_filter(cube: DataFrame, gids: list[int] | None = None, uids: list[int] | None = None, mask: int = 0, age: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dirlens.functions import filetypes, paths
@@ -58,8 +58,8 @@ def file_locations(summary: DataFrame, directory: str) -> DataFrame:
 
 def representative_dir(summary: DataFrame, least: int = 1000, most: int = 20000) -> DataFrame:
     """From the root into the largest child each time, the first directory with least to most files."""
-    rank = F.row_number().over(Window.partitionBy("parent_dir").orderBy(F.desc("count"), "dir"))
-    heavy = children_of(summary).withColumn("rank", F.when(F.col("parent_dir").isNull(), 1).otherwise(rank)).where("rank = 1").select("dir", "count")
+    largest = F.min_by(F.struct("dir", "count"), F.struct(-F.col("count"), F.col("dir")))
+    heavy = children_of(summary).groupBy("parent_dir").agg(largest.alias("x")).select("x.*")
     chain = heavy.select("dir", "count", F.explode(paths.ancestors(F.col("dir"))).alias("up")).join(heavy.select(F.col("dir").alias("up")), "up", "left_semi")
     whole = chain.groupBy("dir", "count").agg(F.count("*").alias("n")).where(F.col("n") == paths.depth(F.col("dir")) + 1)
     return whole.where(F.col("count").between(least, most)).orderBy("n").limit(1).select("dir", "count")

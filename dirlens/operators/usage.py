@@ -1,7 +1,7 @@
 """Lookups by longest prefix, base-directory usage with owners and quotas, history and forecasts.
 
-Dimension tables (mounts, quotas, owners, rules) are small; they are broadcast only below BROADCAST_ROWS rows, counted
-first, and joined on candidate prefixes otherwise, which is an equi-join and needs no broadcast."""
+Dimension tables (mounts, quotas, owners, rules) are joined on candidate prefixes, which is an equi-join; Spark broadcasts
+what is below its threshold of bytes, by the files' sizes or as it is measured at run time, and shuffles the rest."""
 
 from __future__ import annotations
 
@@ -10,15 +10,9 @@ from pyspark.sql import functions as F
 
 from dirlens.functions import paths
 
-BROADCAST_ROWS = 100_000
 YEAR = 365 * 86400
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is."""
-    return F.broadcast(df) if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
-
-
 def _prefixes(path: Column) -> Column:
     """Every directory a path lies in, the path itself if it is one."""
     return paths.ancestors(F.regexp_replace(path, "[^/]+$", ""))
@@ -30,7 +24,7 @@ def mount_of_path(rows: DataFrame, mounts: DataFrame, column: str) -> DataFrame:
     Looked up once per directory, by equality with each of its prefixes."""
     own = rows.withColumn("__dir", F.regexp_replace(F.col(column), "[^/]+$", ""))
     dirs = own.select("__dir").distinct()
-    met = dirs.select("__dir", F.explode(_prefixes(F.col("__dir"))).alias("mount")).join(small(mounts.select("mount").distinct()), "mount")
+    met = dirs.select("__dir", F.explode(_prefixes(F.col("__dir"))).alias("mount")).join(mounts.select("mount").distinct(), "mount")
     best = met.groupBy("__dir").agg(F.max_by("mount", F.length("mount")).alias("mount"))
     return own.join(best, "__dir", "left").withColumn("mount", F.coalesce("mount", F.lit(""))).drop("__dir")
 
@@ -38,7 +32,7 @@ def mount_of_path(rows: DataFrame, mounts: DataFrame, column: str) -> DataFrame:
 def quota_for_dir(rows: DataFrame, quotas: DataFrame, column: str = "basedir") -> DataFrame:
     """rows (gid, path) with the quotas of the first table row of their gid whose disk the path lies in; else 0."""
     keys = rows.select("gid", F.col(column).alias("__p")).distinct()
-    met = keys.select("gid", "__p", F.explode(_prefixes(F.col("__p"))).alias("disk")).join(small(quotas), ["gid", "disk"])
+    met = keys.select("gid", "__p", F.explode(_prefixes(F.col("__p"))).alias("disk")).join(quotas, ["gid", "disk"])
     best = met.groupBy("gid", "__p").agg(F.min_by(F.struct("size_quota", "inode_quota"), "ordinal").alias("q"))
     out = rows.withColumn("__p", F.col(column)).join(best, ["gid", "__p"], "left")
     zero = F.lit(0).cast("long")
@@ -46,15 +40,21 @@ def quota_for_dir(rows: DataFrame, quotas: DataFrame, column: str = "basedir") -
 
 
 def with_owner(rows: DataFrame, owners: DataFrame) -> DataFrame:
-    return rows.join(small(owners.groupBy("gid").agg(F.max("owner").alias("owner"))), "gid", "left").withColumn("owner", F.coalesce("owner", F.lit("")))
+    return rows.join(owners.groupBy("gid").agg(F.max("owner").alias("owner")), "gid", "left").withColumn("owner", F.coalesce("owner", F.lit("")))
 
 
 def with_names(rows: DataFrame, names: DataFrame, id_col: str, out: str, unknown: str = "id") -> DataFrame:
     """rows with a name for an id (names: id, name); unknown ids get the prefix and the number."""
-    n = small(names.select(F.col("id").alias(id_col), F.col("name").alias(out)))
+    n = names.select(F.col("id").alias(id_col), F.col("name").alias(out))
     return rows.join(n, id_col, "left").withColumn(out, F.coalesce(out, F.concat(F.lit(unknown), F.col(id_col).cast("string"))))
 
 
+def with_name_lists(rows: DataFrame, names: DataFrame, key: str, ids: str, out: str) -> DataFrame:
+    """rows (one of each key) with a sorted list of the names (id, name) of a list of ids; ids without a name are left out."""
+    each = rows.select(key, F.explode(ids).alias("id")).join(names, "id").groupBy(key).agg(F.array_sort(F.collect_set("name")).alias(out))
+    return rows.join(each, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
 # ---- history ----
 
 def history_append(history: DataFrame, points: DataFrame) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dirlens.functions import paths
-from dirlens.operators import filters, logs, rollup, tree
+from dirlens.functions import filetypes, formats, paths
+from dirlens.operators import basedirs, filters, logs, rollup, tree, usage
 from dirlens.sources import files
 from dirlens.streaming import jobs as streams
 
 from . import sql as S
 from . import views
 from .sql import with_blocks
-from .tree_queries import BASE, cube, flat, summary
-from .usage_queries import _usage0, group_usage
+from .tree_queries import BASE, _where_sql, cube, summary
+from .usage_queries import group_usage, rules, user_usage
 
 C = F.col
 T0, T1 = 1_704_672_000, 1_705_276_800  # a week of the events
@@ -91,37 +91,84 @@ def _sink(s, write):
     return s.read.text(path).select(C("value").alias("line"))
 
 
+def _user_names(s, d):
+    """Of users below 90."""
+    return views.table(s, d, "customer").select((C("c_custkey") % 97).cast("long").alias("id")).distinct().where("id < 90").select("id", F.concat(F.lit("u"), "id").alias("name"))
+
+
+def _group_names(s, d):
+    return views.table(s, d, "nation").select(C("n_nationkey").cast("long").alias("id"), C("n_name").alias("name"))
+
+
 def _where_json(s, d):
     w = tree.where(summary(s, d), BASE, 1)
-    told = F.to_json(F.struct(C("dir").alias("Dir"), C("count").alias("Count"), C("size").alias("Size"), C("gids").alias("Groups")))
-    return _sink(s, lambda p: w.select(told.alias("value")).write.text(p))
+    w = usage.with_name_lists(usage.with_name_lists(w, _user_names(s, d), "dir", "uids", "users"), _group_names(s, d), "dir", "gids", "groups")
+    return _sink(s, lambda p: files.write_summaries_json(w, p))
+
+
+def _read_csv(s, path):
+    return s.read.option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)
+
+
+def _groups_csv(s, d):
+    path, u = files.scratch(s), group_usage(s, d)
+    u = usage.usage_forecast(u, views.history(s, d), views.REF_TIME).withColumn("status", formats.quota_status(C("date_no_space"), C("date_no_files"), views.REF_TIME))
+    u = usage.with_owner(usage.with_names(u, _group_names(s, d).withColumn("name", F.concat(F.lit('the "'), "name", F.lit('", so'))), "gid", "name", ""), views.owners(s, d))
+    files.write_groups_csv(u, path)
+    return _read_csv(s, path)
+
+
+def _users_csv(s, d):
+    path = files.scratch(s)
+    u = user_usage(s, d).where("age = 0")
+    files.write_users_csv(usage.with_names(u, _user_names(s, d), "uid", "name", ""), path)
+    return _read_csv(s, path)
 
 
-def _usage_csv(s, d):
+def _kept(s, df):
+    """df as a table of its own, for what reads it several times."""
     path = files.scratch(s)
-    u = _usage0(s, d).select(C("gid").alias("Group"), C("basedir").alias("Path"), C("usage_size").alias("Space"), C("quota_size").alias("SQuota"))
-    u.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-    return s.read.option("header", True).option("escape", '"').csv(path)
+    df.write.parquet(path)
+    return s.read.parquet(path)
+
+
+def _mounted(df, column="dir"):
+    return df.where(C(column) != "/").withColumn("mount_path", F.regexp_extract(column, "^(/[^/]+/)", 1))
 
 
 def _dguta_table(s, d):
     path = files.scratch(s)
-    c = rollup.guta_filter(cube(s, d)).select("dir", "gid", "uid", "ft", "count", "size")
-    own = c.where("dir <> '/'").withColumn("mount_path", F.regexp_extract("dir", "^(/[^/]+/)", 1))
-    for _ in range(2):  # the second replaces the first
-        files.write_dguta(own, path)
-    return files.union_sources(s, path).groupBy("mount_path").agg(F.count("*").alias("n"), F.sum("count").alias("count"), F.sum("size").alias("size"))
+    own = _kept(s, _mounted(cube(s, d)))
+    files.write_dguta(own.where("uid % 2 = 0"), path, F.lit(1))
+    files.write_dguta(own.where("mount_path IN ('/asia/', '/europe/')"), path, F.lit(2))  # replaces these two
+    return files.union_sources(s, path).withColumn("ft", C("ft").cast("long"))
+
+
+def _sums_table(s, d):
+    path = files.scratch(s)
+    files.write_dguta(_mounted(rollup.by_user_group_dir(views.stats(s, d))), path, F.length("mount_path"))
+    return path
 
 
 def _basedirs_table(s, d):
     path = files.scratch(s)
-    group_usage(s, d).write.partitionBy("age").parquet(path)
-    return s.read.parquet(path).groupBy("age").agg(F.count("*").alias("n"), F.sum("usage_size").alias("size"))
+    leaf = _kept(s, basedirs.unit_files(views.stats(s, d), rules(s, d), views.REF_TIME))
+    use, subs = [], []
+    for kind in ("gid", "uid"):
+        b = _kept(s, basedirs.basedirs(leaf, kind))
+        use.append(b.withColumn("kind", F.lit(kind)))
+        subs.append(basedirs.subdirs(leaf, b, kind).withColumn("kind", F.lit(kind)))
+    use, subs = (_kept(s, _mounted(x[0].unionByName(x[1]), "basedir")) for x in (use, subs))
+    h = views.history(s, d)
+    files.write_basedirs(path, use.where("id % 2 = 0"), subs.where("age < 3"), h.where("date < 900000000"))
+    files.write_basedirs(path, use, subs, h)
+    told = [F.count("*").alias("n"), F.sum("count").alias("count"), F.sum("size").alias("size")]
+    out = [s.read.parquet(f"{path}/{n}").groupBy(F.lit(n).alias("table"), "mount_path", "kind", "id", "age", "basedir").agg(*told) for n in ("usage", "subdirs")]
+    points = s.read.parquet(f"{path}/history").select(F.lit("history"), "mount_path", F.lit("gid"), "gid", F.lit(0), F.lit(""), F.lit(1).cast("long"), "usage_inodes", "usage_size")
+    return out[0].union(out[1]).union(points)
 
 
 def _dupes_lines(s, d):
-    from dirlens.operators import basedirs
-
     sets = basedirs.dupes_by_size(views.stats(s, d), 50_000, F.regexp_extract("path", "^(/[^/]+/)", 1))
     own = sets.select("apparent_size", C("paths")[0].alias("first"), F.posexplode("paths").alias("i", "path"))
     body = own.select("apparent_size", F.lit(1).alias("part"), "first", "i", F.concat(F.when(C("i") > 0, "\t").otherwise(""), F.lit('"'), "path", F.lit('"')).alias("line"))
@@ -129,6 +176,49 @@ def _dupes_lines(s, d):
     return _sink(s, lambda p: files.write_lines(head.union(body), ["apparent_size", "part", "first", "i"], ["line"], p))
 
 
+def _quota_lines(s, d):
+    return views.table(s, d, "customer").select(F.concat_ws(",", "c_custkey", F.concat(F.lit("/c"), C("c_custkey") % 7), C("c_custkey") * 1000, C("c_nationkey") + 1))
+
+
+def _owner_lines(s, d):
+    """Several lines of a group, in order."""
+    return views.table(s, d, "orders").orderBy("o_orderkey").select(F.concat_ws(",", "o_custkey", F.concat(F.lit("o"), "o_orderkey", "o_orderstatus")))
+
+
+def _supplier_dir():
+    return F.concat(F.lit("/n"), "s_nationkey", F.lit("/s"), "s_suppkey")
+
+
+def _ui_table(s, d):
+    path = files.scratch(s)
+    for half in (0, 1):
+        files.append_ui_events(ui(s, d).where(C("event_id") % 2 == half), path)
+    return path
+
+
+def _refreshed(s, d):
+    """Two versions of a mount and one of another; the later one takes the earlier one's place."""
+    root, own = files.scratch(s), _kept(s, views.stats(s, d).where("startswith(path, '/asia/') OR startswith(path, '/europe/')"))
+    for name, some in (("1_／asia", "uid % 2 = 0"), ("1_／europe", "true"), ("2_／asia", "true")):
+        files.publish(rollup.by_group_user(own.where(some).where(F.startswith("path", paths.mount_from_name(F.lit(name))))), root, name)
+    files.drop_superseded(s, root)
+    left = files.dataset_names(s, root)
+    return files.read_latest(s, root).join(left, "name").select("name", "mount_path", "gid", "uid", "count", "size")
+
+
+def _log_folders(s, d):
+    path = files.scratch(s)
+    log_lines(s, d).select("run", "value").write.partitionBy("run").text(path)
+    return path
+
+
+def _stream_log_text(s, d):
+    lines = s.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).text(_log_folders(s, d))
+    own = streams.log_calls(files.log_lines(lines.select("value", F.url_decode("_metadata.file_path").alias("source"))))
+    got = streams.run_log_minutes(own, files.scratch(s), files.scratch(s))
+    return got.select("run", F.unix_timestamp("minute").alias("minute"), "calls", "events")
+
+
 def _event_stream(s, d):
     e = views.table(s, d, "events")
     return s.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet" + "*")
@@ -149,41 +239,82 @@ def _stream_sessions(s, d):
 
 
 def _stream_history(s, d):
-    source, out = files.scratch(s), files.scratch(s)
+    """Batches of points in order, and one that comes too late."""
+    source, out, mark = files.scratch(s), files.scratch(s), files.scratch(s)
     h = views.history(s, d)
-    h.repartition(2).write.parquet(source)
-    streams.append_history(s.readStream.schema(h.schema).parquet(source), out, files.scratch(s)).awaitTermination()
-    return s.read.parquet(out)
+    for some in ("date < 900000000", "date >= 900000000", "date < 880000000"):
+        h.where(some).write.mode("append").parquet(source)
+        streams.append_history(s.readStream.schema(h.schema).parquet(source), out, mark).awaitTermination()
+    return s.read.parquet(f"{out}/points").drop("batch")
 
 
 def _stream_ingest(s, d):
+    """An old version of all mounts and a new one, a file a batch."""
     source, out = files.scratch(s), files.scratch(s)
-    stats = views.stats(s, d)
-    stats.write.parquet(source)
-    build = lambda rows: rollup.by_user_group_dir(rows).withColumn("mount_path", F.regexp_extract("dir", "^(/[^/]+/)", 1))
-    streams.ingest(s.readStream.schema(stats.schema).parquet(source), build, out, files.scratch(s)).awaitTermination()
-    return s.read.parquet(out).select("uid", "gid", "dir", "count", "size")
-
-
+    stats = _kept(s, views.stats(s, d))
+    for version, some in ((1, "uid % 2 = 0"), (2, "true")):
+        stats.where(some).withColumn("version", F.lit(version)).repartition(3).write.mode("append").parquet(source)
+    partial = lambda rows: _mounted(rollup.by_user_group_dir(rows, keys=("version",)))
+    merge = lambda parts: parts.groupBy("uid", "gid", "dir", "mount_path").agg(F.sum("count").alias("count"), F.sum("size").alias("size"))
+    stream = s.readStream.schema(s.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.ingest(stream, partial, merge, out, files.scratch(s)).awaitTermination()
+    return s.read.parquet(f"{out}/table").select("uid", "gid", "dir", "count", "size")
+
+
+_SUMS_SQL = f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({S.anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3"
+_MOUNT = "regexp_extract(dir, '^(/[^/]+/)', 1)"
+_NAMES = "[" + ", ".join(f"'{n}'" for n in filetypes.NAMES.values()) + "]"
+_BITS = "[" + ", ".join(map(str, filetypes.NAMES)) + "]"
+_ISO = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+_LIST = "concat('[', coalesce(array_to_string(list_transform(list_sort({}), lambda x: concat('\"', x, '\"')), ','), ''), ']')"
+_JSON_SQL = f"""SELECT concat('{{"Dir":"', dir, '","Count":', count, ',"Size":', size, ',"Atime":"', {_ISO.format("atime")}, '","Mtime":"', {_ISO.format("mtime")},
+  '","Users":', {_LIST.format("list_transform(list_filter(uids, lambda u: u < 90), lambda u: concat('u', u))")},
+  ',"Groups":', {_LIST.format("(SELECT list(n_name) FROM nation WHERE list_contains(gids, n_nationkey))")},
+  ',"FileTypes":', {_LIST.format(f"list_transform(list_filter(range(1, 17), lambda i: ft & {_BITS}[i] > 0), lambda i: {_NAMES}[i])")}, ',"Age":0}}') AS line FROM ends"""
+_GROUPS_SQL = f"""
+SELECT coalesce(owner, '') AS "PI", concat('the "', n_name, '", so') AS "Group", u.basedir AS "Path", CAST(usage_size AS VARCHAR) AS "Space", CAST(quota_size AS VARCHAR) AS "SQuota",
+       CAST(usage_inodes AS VARCHAR) AS "Inodes", CAST(quota_inodes AS VARCHAR) AS "IQuota", {_ISO.format("mtime")} AS "LastMod",
+       CASE WHEN coalesce(date_no_space <= {S.REF + 3 * 86400}, false) OR coalesce(date_no_files <= {S.REF + 3 * 86400}, false) THEN 'Not OK' ELSE 'OK' END AS "Status"
+FROM group_usage u LEFT JOIN forecast f ON f.gid = u.gid AND starts_with(u.basedir, f.mount_path) LEFT JOIN owners o ON o.gid = u.gid JOIN nation ON n_nationkey = u.gid WHERE age = 0"""
+_USERS_SQL = f"""SELECT CASE WHEN id < 90 THEN concat('u', id) ELSE CAST(id AS VARCHAR) END AS "User", basedir AS "Path", CAST(size AS VARCHAR) AS "Space", CAST(count AS VARCHAR) AS "Inodes", {_ISO.format("mtime")} AS "LastMod" FROM bases WHERE kind = 'uid' AND age = 0"""
+_TABLES_SQL = """
+SELECT 'usage' AS "table", regexp_extract(basedir, '^(/[^/]+/)', 1) AS mount_path, kind, id, age, basedir, count(*) AS n, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size FROM bases GROUP BY ALL
+UNION ALL SELECT 'subdirs', regexp_extract(basedir, '^(/[^/]+/)', 1), kind, id, age, basedir, count(DISTINCT sub), count(*), CAST(sum(size) AS BIGINT) FROM subs GROUP BY ALL
+UNION ALL SELECT 'history', mount_path, 'gid', gid, 0, '', 1, usage_inodes, usage_size FROM history"""
+_DUPES_SQL = """
+WITH sets AS (SELECT apparent_size, list(path ORDER BY path) AS paths FROM (SELECT *, regexp_extract(path, '^(/[^/]+/)', 1) AS mount, CASE WHEN inode <> 0 THEN concat('i', inode) ELSE path END AS link_set FROM stats WHERE size >= 50000) GROUP BY apparent_size, mount, link_set),
+often AS (SELECT * FROM sets WHERE apparent_size IN (SELECT apparent_size FROM sets GROUP BY 1 HAVING count(*) >= 2))
+SELECT concat('Size: ', apparent_size) AS line FROM (SELECT DISTINCT apparent_size FROM often)
+UNION ALL SELECT concat(CASE WHEN p = paths[1] THEN '' ELSE chr(9) END, '"', p, '"') FROM (SELECT paths, unnest(paths) AS p FROM often)"""
 _RUN_SQL = "SELECT run, CAST(coalesce(sum(opens), 0) AS BIGINT) AS opens, CAST(coalesce(sum(reads), 0) AS BIGINT) AS reads, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS closes, CAST(coalesce(sum(stats), 0) AS BIGINT) AS stats, CAST(coalesce(sum(writes), 0) AS BIGINT) AS writes, CAST(coalesce(sum(write_bytes), 0) AS BIGINT) AS write_bytes, min(time) FILTER (event_type <> 'error') AS start, max(time) FILTER (event_type <> 'error') AS \"end\", count(*) FILTER (event_type = 'error') AS errors, CAST(coalesce(sum(opens), 0) + coalesce(sum(reads), 0) + coalesce(sum(stats), 0) AS BIGINT) AS calls, count(*) FILTER (event_type = 'error') = 0 AS complete FROM ev GROUP BY 1"
+_PARSED = ("t", "lvl", "msg", "file", "host", "opens", "reads", "bytes", "writes", "writeBytes", "stats", "arg1", "arg2")
+_FLOOR = "CAST(CAST(floor(value * 1000) AS BIGINT) AS VARCHAR)"
+_PARSE_SQL = f"""
+SELECT run, file, line_no, CAST(CASE event_type WHEN 'error' THEN 5 WHEN 'view' THEN 5 WHEN 'signup' THEN 5 ELSE 6 END + CAST(line_no = 1 AS INTEGER) AS INTEGER) AS n,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S+0000') AS v_t, CASE WHEN event_type = 'error' THEN 'eror' ELSE 'info' END AS v_lvl,
+  CASE WHEN event_type = 'error' THEN concat('e"', json_extract_string(props, '$.k')) ELSE 'syscalls' END AS v_msg, CASE WHEN event_type <> 'error' THEN concat('/p/', file) END AS v_file,
+  CASE WHEN line_no = 1 THEN concat('h', user_id % 10) END AS v_host, CASE event_type WHEN 'view' THEN '1' END AS v_opens, CASE event_type WHEN 'click' THEN '2' END AS v_reads,
+  CASE event_type WHEN 'click' THEN {_FLOOR} END AS v_bytes, CASE event_type WHEN 'purchase' THEN '1' END AS v_writes, CASE event_type WHEN 'purchase' THEN {_FLOOR} END AS v_writebytes,
+  CASE event_type WHEN 'signup' THEN '3' END AS v_stats, CASE event_type WHEN 'error' THEN 'x' END AS v_arg1, CASE event_type WHEN 'error' THEN 'y z' END AS v_arg2
+FROM numbered"""
 _EV = "run, file, line_no, time, opens, reads, bytes, closes, stats, writes, write_bytes"
 _told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
 
 QUERIES = {
     "scan_stats": (lambda s, d: _scanned(s, d).drop("source"), with_blocks("SELECT * FROM stats")),
     "scan_multi": (lambda s, d: _scanned(s, d).groupBy("entry_type").agg(F.count("*").alias("rows"), F.sum("size").alias("size")), with_blocks("SELECT entry_type, count(*) AS rows, CAST(sum(size) AS BIGINT) AS size FROM stats GROUP BY 1")),
-    "load_quotas": (lambda s, d: files.load_quotas(s, _lines(s, views.quotas(s, d).select(F.concat_ws(",", "gid", F.regexp_replace("disk", "/$", ""), "size_quota", "inode_quota")))).drop("ordinal"), with_blocks("SELECT gid, disk, size_quota, inode_quota FROM quotas")),
-    "load_owners": (lambda s, d: files.load_owners(s, _lines(s, views.owners(s, d).select(F.concat_ws(",", "gid", "owner")))), with_blocks("SELECT gid, owner FROM owners")),
-    "load_areas": (lambda s, d: files.load_areas(s, _lines(s, views.areas(s, d).select(F.concat_ws(",", "group_name", "area")))).withColumn("groups", F.array_join("groups", "|")), with_blocks("SELECT area, string_agg(group_name, '|' ORDER BY group_name) AS groups FROM areas GROUP BY 1")),
-    "load_mounts": (lambda s, d: files.load_mounts(s, _lines(s, views.mounts(s, d).select(F.concat(F.lit('"'), "mount", F.lit('"'))))), with_blocks("SELECT mount FROM mounts")),
-    "load_basedir_config": (lambda s, d: files.load_basedir_config(s, _lines(s, views.mounts(s, d).select(F.explode(F.array(F.lit("# rule"), F.concat_ws("\t", "mount", F.lit(5), F.length("mount")))).alias("x")))), with_blocks("SELECT mount AS prefix, CAST(5 AS INTEGER) AS splits, CAST(length(mount) AS INTEGER) AS mindirs FROM mounts")),
+    "load_quotas": (lambda s, d: files.load_quotas(s, _lines(s, _quota_lines(s, d))).drop("ordinal"), "SELECT c_custkey AS gid, concat('/c', c_custkey % 7, '/') AS disk, c_custkey * 1000 AS size_quota, CAST(c_nationkey + 1 AS BIGINT) AS inode_quota FROM customer"),
+    "load_owners": (lambda s, d: files.load_owners(s, _lines(s, _owner_lines(s, d))), "SELECT o_custkey AS gid, arg_max(concat('o', o_orderkey, o_orderstatus), o_orderkey) AS owner FROM orders GROUP BY 1"),
+    "load_areas": (lambda s, d: files.load_areas(s, _lines(s, views.table(s, d, "supplier").select(F.concat_ws(",", "s_name", F.concat(F.lit("n"), "s_nationkey"))))).withColumn("groups", F.array_join("groups", "|")), "SELECT concat('n', s_nationkey) AS area, string_agg(s_name, '|' ORDER BY s_name) AS groups FROM supplier GROUP BY 1"),
+    "load_mounts": (lambda s, d: files.load_mounts(s, _lines(s, views.table(s, d, "supplier").select(F.explode(F.array(F.concat(F.lit('"'), _supplier_dir(), F.lit('"')), F.lit(" "))).alias("x")))), "SELECT concat('/n', s_nationkey, '/s', s_suppkey, '/') AS mount FROM supplier"),
+    "load_basedir_config": (lambda s, d: files.load_basedir_config(s, _lines(s, views.table(s, d, "supplier").select(F.explode(F.array(F.lit("# rule"), F.concat_ws("\t", _supplier_dir(), C("s_nationkey"), C("s_suppkey"))) ).alias("x")))), "SELECT concat('/n', s_nationkey, '/s', s_suppkey) AS prefix, CAST(s_nationkey AS INTEGER) AS splits, CAST(s_suppkey AS INTEGER) AS mindirs FROM supplier"),
     "latest_datasets": (lambda s, d: files.latest_datasets(views.datasets(s, d)), with_blocks("SELECT key, name FROM latest")),
     "superseded_datasets": (lambda s, d: files.superseded_datasets(views.datasets(s, d)), with_blocks("SELECT key, name FROM valid_sets WHERE name NOT IN (SELECT name FROM latest)")),
     "pending_datasets": (lambda s, d: files.pending_datasets(views.datasets(s, d), files.named_datasets(views.datasets(s, d)).where("number IS NULL OR number < 9").select("name")), with_blocks("SELECT key, name FROM latest WHERE name NOT IN (SELECT name FROM olds)")),
     "previous_snapshot": (lambda s, d: files.previous_snapshot(views.datasets(s, d), files.named_datasets(views.datasets(s, d)).where("number IS NULL OR number < 9").select("name")), with_blocks("SELECT l.key, l.name, o.name AS previous FROM latest l JOIN (SELECT key, name FROM olds QUALIFY row_number() OVER (PARTITION BY key ORDER BY number IS NOT NULL DESC, number DESC, version DESC) = 1) o ON o.key = l.key")),
     "mount_from_name": (lambda s, d: views.datasets(s, d).select("name", paths.mount_from_name(C("name")).alias("mount")), with_blocks("SELECT name, concat(replace(substr(name, strpos(name, '_') + 1), '／', '/'), '/') AS mount FROM datasets")),
-    "mount_timestamps": (lambda s, d: views.stats(s, d).groupBy(F.regexp_extract("path", "^(/[^/]+/)", 1).alias("mount")).agg(F.max("mtime").alias("updated_at")), with_blocks("SELECT regexp_extract(path, '^(/[^/]+/)', 1) AS mount, max(mtime) AS updated_at FROM stats GROUP BY 1")),
-    "log_parse": (lambda s, d: logs.parse(log_lines(s, d)).select("run", "file", "line_no", F.size("kv").alias("n"), C("kv")["lvl"].alias("lvl"), C("kv")["msg"].alias("msg")), with_blocks("SELECT run, file, line_no, CAST(CASE event_type WHEN 'error' THEN 5 WHEN 'view' THEN 5 WHEN 'signup' THEN 5 ELSE 6 END + CAST(line_no = 1 AS INTEGER) AS INTEGER) AS n, CASE WHEN event_type = 'error' THEN 'eror' ELSE 'info' END AS lvl, CASE WHEN event_type = 'error' THEN concat('e\"', json_extract_string(props, '$.k')) ELSE 'syscalls' END AS msg FROM numbered")),
+    "mount_timestamps": (lambda s, d: files.mount_timestamps(files.union_sources(s, _sums_table(s, d))), with_blocks("SELECT DISTINCT regexp_extract(path, '^(/[^/]+/)', 1) AS mount_path, CAST(length(regexp_extract(path, '^(/[^/]+/)', 1)) AS BIGINT) AS updated_at FROM stats")),
+    "log_parse": (lambda s, d: logs.parse(log_lines(s, d)).select("run", "file", "line_no", F.size("kv").alias("n"), *[C("kv")[k].alias(f"v_{k.lower()}") for k in _PARSED]), with_blocks(_PARSE_SQL)),
     "log_events": (lambda s, d: _events(s, d).drop("host"), with_blocks(f"SELECT {_EV} FROM ev WHERE event_type <> 'error'")),
     "log_host_fill": (lambda s, d: _events(s, d).select("run", "file", "line_no", "host"), with_blocks("SELECT run, file, line_no, host FROM ev WHERE event_type <> 'error'")),
     "log_errors": (lambda s, d: _errors(s, d).withColumn("data", _told(C("data"))), with_blocks("SELECT run, file, line_no, time, message, concat('arg1=x;arg2=y z', CASE WHEN line_no = 1 THEN concat(';host=h', user_id % 10) ELSE '' END) AS data FROM err")),
@@ -194,30 +325,33 @@ QUERIES = {
     "log_rate_max": (lambda s, d: logs.minute_rates(_events(s, d)).groupBy("run").agg(F.max("calls").alias("m")).select("run", F.round(logs.rounded_up(C("m")) * 100).cast("long").alias("centi")), with_blocks("SELECT run, CAST(round(ceil(10 * m / 10 ** floor(log10(m))) * 10 ** floor(log10(m)) * 10) AS BIGINT) AS centi FROM (SELECT run, max(calls) AS m FROM rates GROUP BY 1)")),
     "log_error_preview": (lambda s, d: logs.error_preview(_errors(s, d)).select("run", "time", "message", C("i").cast("long").alias("i")), with_blocks("SELECT run, time, message, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY time, file, line_no) AS i, count(*) OVER (PARTITION BY run) AS n FROM err) WHERE n <= 7 OR i <= 3 OR i > n - 3")),
     "log_merge_runs": (lambda s, d: _events(s, d).where("run IN ('r0', 'r1')").groupBy(F.concat_ws("/", "run", "file").alias("file")).agg(F.count("*").alias("n"), F.max("time").alias("last")), with_blocks("SELECT concat(run, '/', file) AS file, count(*) AS n, max(time) AS last FROM ev WHERE run IN ('r0', 'r1') AND event_type <> 'error' GROUP BY 1")),
-    "scan_logs": (lambda s, d: s.read.text(_lines(s, log_lines(s, d).select("value"))).transform(logs.parse).groupBy(C("kv")["lvl"].alias("lvl")).agg(F.count("*").alias("n")), with_blocks("SELECT CASE WHEN event_type = 'error' THEN 'eror' ELSE 'info' END AS lvl, count(*) AS n FROM numbered GROUP BY 1")),
+    "scan_logs": (lambda s, d: files.scan_logs(s, _log_folders(s, d)).transform(logs.parse).groupBy("run", C("kv")["lvl"].alias("lvl")).agg(F.count("*").alias("n")), with_blocks("SELECT concat('run=', run) AS run, CASE WHEN event_type = 'error' THEN 'eror' ELSE 'info' END AS lvl, count(*) AS n FROM numbered GROUP BY 1, 2")),
     "scan_jobs": (lambda s, d: s.read.schema("id string, start_time string, end_time string, host string").json(_lines(s, jobs(s, d).select(F.to_json(F.struct("*"))))), "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_time, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) END AS end_time, concat('h', o_custkey % 5) AS host FROM orders"),
     "job_timeouts": (lambda s, d: logs.job_timeouts(jobs(s, d)), "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS time, concat('Timeout: ', o_orderkey) AS message, concat('h', o_custkey % 5) AS host FROM orders WHERE o_orderkey % 3 = 0"),
-    "scan_ui_events": (lambda s, d: ui(s, d).select("user", "session", "time", "event_id"), with_blocks('SELECT "user", session, time, event_id FROM ui')),
-    "ui_events_range": (lambda s, d: ui(s, d).where(C("time").between(T0, T1)).select("user", "time", "event_id"), with_blocks(f'SELECT "user", time, event_id FROM ui WHERE time BETWEEN {T0} AND {T1}')),
+    "scan_ui_events": (lambda s, d: files.scan_ui_events(s, _ui_table(s, d)).select("user", "session", "time", "event_id"), with_blocks('SELECT "user", session, time, event_id FROM ui')),
+    "ui_events_range": (lambda s, d: files.scan_ui_events(s, _ui_table(s, d), T0, T1).select("user", "time", "event_id"), with_blocks(f'SELECT "user", time, event_id FROM ui WHERE time BETWEEN {T0} AND {T1}')),
     "ui_mode": (lambda s, d: ui(s, d).select("event_id", logs.mode(C("state")).alias("mode")), with_blocks("SELECT event_id, mode FROM ui")),
     "ui_state_clean": (lambda s, d: ui(s, d).select("event_id", logs.clean_state(C("state")).alias("state")), with_blocks("SELECT event_id, CASE event_type WHEN 'click' THEN '{\"byUser\":\"true\"}' WHEN 'view' THEN '{}' WHEN 'purchase' THEN '{\"just\":\"disktree\",\"minSize\":\"12\"}' ELSE '{\"groups\":\"[1,2]\",\"other\":\"q\"}' END AS state FROM ui")),
     "ui_sessions": (lambda s, d: logs.sessions(ui(s, d)), with_blocks("SELECT * FROM ui_s")),
     "ui_users": (lambda s, d: logs.users(logs.sessions(ui(s, d))), with_blocks("SELECT * FROM ui_u")),
     "ui_top": (lambda s, d: logs.top(logs.users(logs.sessions(ui(s, d)))), with_blocks("SELECT count(*) AS n, count(*) FILTER (groups > 0) AS groups, count(*) FILTER (users > 0) AS users, count(*) FILTER (disktree > 0) AS disktree FROM ui_u")),
-    "ui_nested": (lambda s, d: logs.nested(ui(s, d)).select("user", "session", F.array_join(F.transform("events", lambda e: e["time"].cast("string")), ",").alias("times")), with_blocks('SELECT "user", session, string_agg(CAST(time AS VARCHAR), \',\' ORDER BY time) AS times FROM ui GROUP BY 1, 2')),
+    "ui_nested": (lambda s, d: logs.nested(ui(s, d)).select("user", "session", "time", "event_id"), with_blocks('SELECT "user", session, time, event_id FROM ui')),
     "restrict_groups": (lambda s, d: filters.restrict_groups(views.stats(s, d).where("uid < 40").select("gid"), views.owners(s, d)), with_blocks("SELECT DISTINCT gid FROM stats WHERE uid < 40 AND gid IN (SELECT gid FROM owners)")),
     "area_groups": (lambda s, d: filters.area_groups(views.table(s, d, "customer").join(views.table(s, d, "nation"), C("c_nationkey") == C("n_nationkey")).join(views.table(s, d, "region"), C("n_regionkey") == C("r_regionkey")).select(C("c_custkey").alias("id"), C("r_name").alias("area"), F.array("n_name").alias("groups")), views.areas(s, d)).withColumn("groups", F.array_join("groups", "|")), with_blocks("SELECT c_custkey AS id, r_name AS area, concat(n_name, (SELECT coalesce(string_agg(concat('|', group_name), '' ORDER BY group_name), '') FROM areas a WHERE a.area = r_name AND a.group_name <> n_name)) AS groups FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")),
     "sink_bygroup": (lambda s, d: _sink(s, lambda p: files.write_lines(rollup.by_group_user(views.stats(s, d)), ["gid", "uid"], [C(c).cast("string") for c in ("gid", "uid", "count", "size")], p)), with_blocks("SELECT concat_ws(chr(9), gid, uid, count(*), CAST(sum(size) AS BIGINT)) AS line FROM stats GROUP BY gid, uid")),
     "sink_byusergroup": (lambda s, d: _sink(s, lambda p: files.write_lines(rollup.by_user_group_dir(views.stats(s, d)), ["uid", "gid", paths.order_key(C("dir"))], [C("uid").cast("string"), C("gid").cast("string"), F.concat(F.lit('"'), "dir", F.lit('"')), C("count").cast("string"), C("size").cast("string")], p, "gzip")), with_blocks(f"SELECT concat_ws(chr(9), uid, gid, concat('\"', dir, '\"'), count(*), CAST(sum(size) AS BIGINT)) AS line FROM (SELECT uid, gid, size, unnest(({S.anc('dir')})[2:]) AS dir FROM files) GROUP BY uid, gid, dir")),
-    "sink_dupes": (_dupes_lines, None),
-    "sink_where_json": (_where_json, None),
-    "export_usage_csv": (_usage_csv, with_blocks('SELECT CAST(gid AS VARCHAR) AS "Group", basedir AS "Path", CAST(usage_size AS VARCHAR) AS "Space", CAST(quota_size AS VARCHAR) AS "SQuota" FROM group_usage WHERE age = 0')),
-    "write_dguta": (_dguta_table, with_blocks("SELECT regexp_extract(dir, '^(/[^/]+/)', 1) AS mount_path, count(*) AS n, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size FROM cube WHERE age = 0 AND dir <> '/' GROUP BY 1")),
-    "write_basedirs": (_basedirs_table, with_blocks("SELECT age, count(*) AS n, CAST(sum(usage_size) AS BIGINT) AS size FROM group_usage GROUP BY 1")),
+    "sink_dupes": (_dupes_lines, with_blocks(_DUPES_SQL)),
+    "sink_where_json": (_where_json, _where_sql(BASE, 1, _JSON_SQL)),
+    "export_usage_csv": (_groups_csv, with_blocks(_GROUPS_SQL)),
+    "write_dguta": (_dguta_table, with_blocks(f"SELECT * REPLACE (CAST(ft AS BIGINT) AS ft), {_MOUNT} AS mount_path, CAST(CASE WHEN {_MOUNT} IN ('/asia/', '/europe/') THEN 2 ELSE 1 END AS BIGINT) AS updated_at FROM cube WHERE dir <> '/' AND ({_MOUNT} IN ('/asia/', '/europe/') OR uid % 2 = 0)")),
+    "write_basedirs": (_basedirs_table, with_blocks(_TABLES_SQL)),
     "stream_log_minutes": (_stream_minutes, with_blocks("SELECT run, count(DISTINCT floor(time / 60)) AS minutes, count(*) AS events FROM numbered WHERE event_type <> 'error' GROUP BY 1")),
     "stream_ui_sessions": (_stream_sessions, with_blocks('SELECT "user", session, groups, users, disktree FROM ui_s')),
-    "stream_history": (_stream_history, None),
-    "stream_ingest_stats": (_stream_ingest, with_blocks(f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({S.anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3")),
+    "stream_history": (_stream_history, with_blocks("SELECT * FROM history")),
+    "stream_ingest_stats": (_stream_ingest, with_blocks(_SUMS_SQL)),
+    "union_sources": (lambda s, d: files.union_sources(s, _sums_table(s, d)), with_blocks(f"SELECT *, {_MOUNT} AS mount_path, CAST(length({_MOUNT}) AS BIGINT) AS updated_at FROM ({_SUMS_SQL})")),
+    "union_sources_dir": (lambda s, d: files.union_sources(s, _sums_table(s, d), "/asia/", "/asia/nation_1").drop("mount_path", "updated_at"), with_blocks(f"SELECT * FROM ({_SUMS_SQL}) WHERE starts_with(dir, '/asia/nation_1')")),
+    "export_users_csv": (_users_csv, with_blocks(_USERS_SQL)),
+    "stream_log_text": (_stream_log_text, with_blocks("SELECT concat('run=', run) AS run, CAST(floor(time / 60) AS BIGINT) * 60 AS minute, CAST(sum(coalesce(opens, 0) + coalesce(reads, 0) + coalesce(stats, 0) + coalesce(writes, 0)) AS BIGINT) AS calls, count(*) AS events FROM ev WHERE event_type <> 'error' GROUP BY 1, 2")),
+    "refresh_datasets": (_refreshed, with_blocks("SELECT CASE WHEN starts_with(path, '/asia/') THEN '2_／asia' ELSE '1_／europe' END AS name, regexp_extract(path, '^(/[^/]+/)', 1) AS mount_path, gid, uid, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM stats WHERE starts_with(path, '/asia/') OR starts_with(path, '/europe/') GROUP BY ALL")),
 }
-
-__all__ = ["QUERIES", "flat"]

@@ -41,17 +41,20 @@ TOLD = ["dir", "count", "size", "atime", "mtime", "ft", "uids", "gids"]
 TOLD_SQL = f"dir, count, size, atime, mtime, ft, {FLAT}"
 
 
-def _where(n):
-    spark = lambda s, d: flat(tree.where(summary(s, d), BASE, n)).select(*TOLD)
-    sql = f"""WITH RECURSIVE step(dir, splits, stop) AS (
-      SELECT '{BASE}', {n}, false
+def _where_sql(base, n, select):
+    """The descent step by step, as it is defined; `ends` are the answer."""
+    return with_blocks(f"""WITH RECURSIVE step(dir, splits, stop) AS (
+      SELECT '{base}', {n}, false
       UNION ALL
       SELECT k.dir, CASE WHEN (SELECT count(*) FROM kids c WHERE c.parent_dir = s.dir) = 1 AND k.count = (SELECT count FROM kids o WHERE o.dir = s.dir) THEN s.splits ELSE s.splits - 1 END, false
       FROM step s JOIN kids k ON k.parent_dir = s.dir
       WHERE s.splits > 0 OR ((SELECT count(*) FROM kids c WHERE c.parent_dir = s.dir) = 1 AND k.count = (SELECT count FROM kids o WHERE o.dir = s.dir))),
     ends AS (SELECT k.* FROM step JOIN kids k USING (dir) WHERE NOT ((SELECT count(*) FROM kids c WHERE c.parent_dir = k.dir) = 1 AND (SELECT max(c.count) FROM kids c WHERE c.parent_dir = k.dir) = k.count))
-    SELECT {TOLD_SQL} FROM ends"""
-    return spark, with_blocks(sql)
+    {select}""")
+
+
+def _where(n):
+    return lambda s, d: flat(tree.where(summary(s, d), BASE, n)).select(*TOLD), _where_sql(BASE, n, f"SELECT {TOLD_SQL} FROM ends")
 
 
 _DIRECT = """SELECT k.* FROM kids k LEFT JOIN (SELECT parent_dir, sum(count) AS n FROM kids GROUP BY 1) c ON c.parent_dir = k.dir WHERE coalesce(c.n, 0) < k.count AND starts_with(k.dir, '/asia/')"""
@@ -82,7 +85,8 @@ QUERIES = {
     "by_group_user": (lambda s, d: rollup.by_group_user(views.stats(s, d)), with_blocks("SELECT gid, uid, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM stats GROUP BY 1, 2")),
     "by_user_group_dir": (lambda s, d: rollup.by_user_group_dir(views.stats(s, d)), with_blocks(f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3")),
     "directory_rollup": (lambda s, d: rollup.directory_rollup(_named(s, d), C("dir"), ["entry_type"], [F.max("size").alias("largest"), F.count_distinct("uid").alias("users")]), with_blocks(f"SELECT dir, entry_type, CAST(max(size) AS BIGINT) AS largest, count(DISTINCT uid) AS users FROM (SELECT entry_type, size, uid, unnest({anc('dir')}) AS dir FROM named) GROUP BY 1, 2")),
-    "dguta": (lambda s, d: _by_depth(cube(s, d)), with_blocks(f"SELECT CAST(length(dir) - length(replace(dir, '/', '')) - 1 AS INTEGER) AS depth, gid, CAST(ft AS BIGINT) AS ft, age, count(*) AS cells, count(DISTINCT dir) AS dirs, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime, {_HISTS} FROM cube GROUP BY 1, 2, 3, 4")),
+    "dguta": (lambda s, d: cube(s, d).withColumn("ft", C("ft").cast("long")), with_blocks("SELECT * REPLACE (CAST(ft AS BIGINT) AS ft) FROM cube")),
+    "dguta_by_depth": (lambda s, d: _by_depth(cube(s, d)), with_blocks(f"SELECT CAST(length(dir) - length(replace(dir, '/', '')) - 1 AS INTEGER) AS depth, gid, CAST(ft AS BIGINT) AS ft, age, count(*) AS cells, count(DISTINCT dir) AS dirs, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime, {_HISTS} FROM cube GROUP BY 1, 2, 3, 4")),
     "dguta_hardlinks": (lambda s, d: rollup.hardlink_entries(rollup.enriched(_entries(s, d), REF)), with_blocks("SELECT d AS dir, inode, gid, uid, CAST(ft AS INTEGER) AS ft, size, atime, mtime FROM links")),
     "dir_summary": (lambda s, d: flat(summary(s, d)), with_blocks(f"SELECT * REPLACE ({FLAT.replace(' AS uids', ' AS uids').replace(' AS gids', ' AS gids')}) FROM summary")),
     "guta_filter": (lambda s, d: rollup.guta_filter(cube(s, d), gids=[1, 2, 3], uids=list(range(0, 97, 2)), mask=32 | 4096, age=3).select("dir", "gid", "uid", "ft", "count", "size"), with_blocks("SELECT dir, gid, uid, CAST(ft AS INTEGER) AS ft, count, size FROM cube WHERE gid IN (1, 2, 3) AND uid % 2 = 0 AND ft & 4128 > 0 AND age = 3")),
@@ -92,7 +96,7 @@ QUERIES = {
     "where_0": _where(0),
     "where_1": _where(1),
     "where_2": _where(2),
-    "where_min_size": (lambda s, d: tree.where(summary(s, d), BASE, 2).where((C("size") >= 1_000_000) & (C("atime") <= REF - 30 * 86400)).select("dir", "size", "atime"), None),
+    "where_min_size": (lambda s, d: tree.where(summary(s, d), BASE, 2).where((C("size") >= 1_000_000) & (C("atime") <= REF - 30 * 86400)).select("dir", "size", "atime"), _where_sql(BASE, 2, f"SELECT dir, size, atime FROM ends WHERE size >= 1000000 AND atime <= {REF - 30 * 86400}")),
     "file_locations": (lambda s, d: flat(tree.file_locations(summary(s, d), BASE)).select(*TOLD), with_blocks(f"WITH direct AS ({_DIRECT}) SELECT {TOLD_SQL} FROM direct e WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE starts_with(e.dir, x.dir) AND e.dir <> x.dir)")),
     "children": (lambda s, d: tree.children(summary(s, d), BASE), with_blocks(f"SELECT DISTINCT dir FROM kids WHERE parent_dir = '{BASE}'")),
     "tree_element": (lambda s, d: flat(tree.tree_element(summary(s, d), BASE, [2, 8, 9])).select(*TOLD, "kind", "noauth", "has_children"), with_blocks(f"SELECT {TOLD_SQL}, CASE WHEN dir = '{BASE}' THEN 'current' ELSE 'child' END AS kind, NOT list_has_any(gids, [2, 8, 9]) AS noauth, list_has_any(gids, [2, 8, 9]) AND dir IN (SELECT parent_dir FROM kids WHERE parent_dir IS NOT NULL) AS has_children FROM kids WHERE dir = '{BASE}' OR parent_dir = '{BASE}'")),
@@ -100,10 +104,9 @@ QUERIES = {
     "representative_dir": (lambda s, d: tree.representative_dir(summary(s, d)), with_blocks("WITH RECURSIVE down(dir, count, n) AS (SELECT dir, count, 0 FROM kids WHERE dir = '/' UNION ALL SELECT x.dir, x.count, n + 1 FROM down JOIN LATERAL (SELECT k.dir, k.count FROM kids k WHERE k.parent_dir = down.dir ORDER BY k.count DESC, k.dir LIMIT 1) x ON true) SELECT dir, count FROM down WHERE count BETWEEN 1000 AND 20000 ORDER BY n LIMIT 1")),
     "treemap_children": (lambda s, d: tree.treemap_children(summary(s, d), BASE), with_blocks(f"SELECT dir, size AS value, atime, mtime FROM kids WHERE parent_dir = '{BASE}' AND size > 0 ORDER BY size DESC, dir LIMIT 1000")),
     "tree_since_access": (lambda s, d: tree.children_of(summary(s, d)).where((C("parent_dir") == BASE) & (C("atime") <= REF - 90 * 86400)).select("dir", "atime"), with_blocks(f"SELECT dir, atime FROM kids WHERE parent_dir = '{BASE}' AND atime <= {REF - 90 * 86400}")),
-    "sort_size": (lambda s, d: _placed(tree.where(summary(s, d), "/", 2), [F.desc("size"), C("dir")]), None),
-    "where_order": (lambda s, d: _placed(tree.where(summary(s, d), "/", 1), [F.desc("count"), C("dir")]), None),
+    "sort_size": (lambda s, d: _placed(tree.where(summary(s, d), "/", 2), [F.desc("size"), C("dir")]), _where_sql("/", 2, "SELECT row_number() OVER (ORDER BY size DESC, dir) AS place, dir, count, size FROM ends")),
+    "where_order": (lambda s, d: _placed(tree.where(summary(s, d), "/", 1), [F.desc("count"), C("dir")]), _where_sql("/", 1, "SELECT row_number() OVER (ORDER BY count DESC, dir) AS place, dir, count, size FROM ends")),
     "db_info": (lambda s, d: _db_info(cube(s, d)), with_blocks(f"SELECT (SELECT count(DISTINCT dir) FROM cube) AS dirs, (SELECT count(*) FROM cube) AS dgutas, (SELECT count(DISTINCT {up('dir')}) FROM cube) AS parents, (SELECT count(DISTINCT dir) FROM cube WHERE dir <> '/') AS children")),
-    "union_sources": (lambda s, d: _by_mount(s, d), with_blocks("SELECT m.mount AS mount_path, count(*) AS count, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS updated_at FROM (SELECT *, (SELECT arg_max(mount, length(mount)) FROM mounts WHERE starts_with(path, mount)) AS mount FROM stats) m GROUP BY 1")),
 }
 
 
@@ -135,10 +138,3 @@ def _by_depth(c):
 def _db_info(c):
     parent = paths.parent_dir(C("dir"))
     return c.agg(F.count_distinct("dir").alias("dirs"), F.count("*").alias("dgutas"), F.count_distinct(parent).alias("parents"), F.count_distinct(F.when(C("dir") != "/", C("dir"))).alias("children"))
-
-
-def _by_mount(s, d):
-    from dirlens.operators import usage
-
-    own = usage.mount_of_path(views.stats(s, d), views.mounts(s, d), "path")
-    return own.groupBy(C("mount").alias("mount_path")).agg(F.count("*").alias("count"), F.sum("size").alias("size"), F.max("mtime").alias("updated_at"))

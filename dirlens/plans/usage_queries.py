@@ -27,13 +27,13 @@ S.CTE |= {
 }
 
 
-def _rules(s, d):
+def rules(s, d):
     r = views.table(s, d, "region")
     return r.where("r_name IN ('ASIA', 'AFRICA')").select(F.when(C("r_name") == "ASIA", "/asia/").otherwise("/africa/nation_1").alias("prefix"), F.when(C("r_name") == "ASIA", 3).otherwise(4).alias("mindirs")).union(r.limit(1).select(F.lit("/"), F.lit(2)))
 
 
 def _leaf(s, d):
-    return basedirs.unit_files(views.stats(s, d), _rules(s, d), REF)
+    return basedirs.unit_files(views.stats(s, d), rules(s, d), REF)
 
 
 def _bases(s, d, kind):
@@ -55,17 +55,20 @@ def group_usage(s, d):
     return u.select("gid", "basedir", "age", F.array_join(C("others").cast("array<string>"), ",").alias("uids"), C("size").alias("usage_size"), "quota_size", C("count").alias("usage_inodes"), "quota_inodes", "mtime")
 
 
+def user_usage(s, d):
+    return _told(_bases(s, d, "uid")).select(C("id").alias("uid"), "basedir", "age", C("others").alias("gids"), C("size").alias("usage_size"), C("count").alias("usage_inodes"), "mtime")
+
+
 def _usage0(s, d):
     return group_usage(s, d).where("age = 0")
 
 
 def _status(s, d):
     f = usage.usage_forecast(group_usage(s, d), views.history(s, d), REF)
-    soon = lambda c: F.coalesce(C(c) <= REF + 3 * 86400, F.lit(False))
-    return f.select("gid", "basedir", (formats.percent_of(C("usage_size"), C("quota_size")) * 100).cast("long").alias("percent100"), F.when(soon("date_no_space") | soon("date_no_files"), "Not OK").otherwise("OK").alias("status"))
+    return f.select("gid", "basedir", F.round(formats.percent_of(C("usage_size"), C("quota_size")) * 100).cast("long").alias("percent100"), formats.quota_status(C("date_no_space"), C("date_no_files"), REF).alias("status"))
 
 
-def _glob_rules(s, d):
+def _globrules(s, d):
     """Patterns over the tree, one of each kind, from the regions that there are."""
     r, rule = F.lower("r_name"), lambda g, n: F.struct(g.alias("glob"), n.alias("group_name"))
     base = views.table(s, d, "region").where("r_name IN ('AFRICA', 'ASIA')")
@@ -100,6 +103,14 @@ S.CTE |= {
 S.CTE["group_usage"] = S.CTE.pop("group_usage")
 
 
+_PROJECTION_SQL = """
+WITH l AS (SELECT gid, mount_path, date, usage_size::DOUBLE AS used, quota_size::DOUBLE AS quota, CASE WHEN date > d0 THEN (usage_size::DOUBLE - s0::DOUBLE) / (date - d0) ELSE 0.0 END AS slope,
+                  date + (date - first_date) / 5 AS until FROM line WHERE back = 1),
+v AS (SELECT *, used + slope * (until - date) AS value FROM l WHERE used < quota)
+SELECT gid, mount_path, CAST(floor(CASE WHEN value > quota THEN date + (quota - used) / slope WHEN value < 0 THEN date - used / slope ELSE until END) AS BIGINT) AS date,
+       CAST(floor(least(quota, greatest(0.0, value))) AS BIGINT) AS value FROM v"""
+
+
 def _page(s, d):
     from pyspark.sql import Window
 
@@ -109,7 +120,7 @@ def _page(s, d):
 
 
 QUERIES = {
-    "basedir_rule": (lambda s, d: basedirs.rule_for(views.stats(s, d).select(F.explode(paths.ancestors(paths.parent(C("path"), C("entry_type")))).alias("dir")).distinct(), _rules(s, d)), with_blocks(f"SELECT dir, CAST(CASE WHEN starts_with(dir, '/asia/') THEN 3 WHEN starts_with(dir, '/africa/nation_1') THEN 4 ELSE 2 END AS INTEGER) AS mindirs FROM (SELECT DISTINCT unnest({anc('dir')}) AS dir FROM files)")),
+    "basedir_rule": (lambda s, d: basedirs.rule_for(views.stats(s, d).select(F.explode(paths.ancestors(paths.parent(C("path"), C("entry_type")))).alias("dir")).distinct(), rules(s, d)), with_blocks(f"SELECT dir, CAST(CASE WHEN starts_with(dir, '/asia/') THEN 3 WHEN starts_with(dir, '/africa/nation_1') THEN 4 ELSE 2 END AS INTEGER) AS mindirs FROM (SELECT DISTINCT unnest({anc('dir')}) AS dir FROM files)")),
     "basedirs_group": (lambda s, d: _told(_bases(s, d, "gid")), with_blocks(_BASES_SQL.format("gid"))),
     "basedirs_user": (lambda s, d: _told(_bases(s, d, "uid")), with_blocks(_BASES_SQL.format("uid"))),
     "subdirs_group": (lambda s, d: _subs(s, d, "gid"), with_blocks(_SUBS_SQL.format("gid", ""))),
@@ -119,7 +130,7 @@ QUERIES = {
     "usage_by_type": (lambda s, d: basedirs.usage_by_type(_leaf(s, d), _bases(s, d, "gid"), "gid").where("age = 0").withColumn("type", C("type").cast("long")), with_blocks("SELECT id, age, basedir, sub, CAST(type AS BIGINT) AS type, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT *, unnest(CASE WHEN ft & 1 > 0 THEN [ft & ~1, 1] ELSE [ft] END) AS type FROM subs WHERE kind = 'gid' AND age = 0) GROUP BY 1, 2, 3, 4, 5")),
     "basedirs_absorb": (lambda s, d: basedirs.absorb(_bases(s, d, "uid")), with_blocks("SELECT id, age, basedir, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime FROM (SELECT b.id, b.age, b.count, b.size, b.atime, b.mtime, (SELECT arg_min(u.basedir, length(u.basedir)) FROM bases u WHERE u.kind = b.kind AND u.id = b.id AND u.age = b.age AND starts_with(b.basedir, u.basedir)) AS basedir FROM bases b WHERE kind = 'uid') GROUP BY 1, 2, 3")),
     "group_usage": (group_usage, with_blocks("SELECT * FROM group_usage")),
-    "user_usage": (lambda s, d: _told(_bases(s, d, "uid")).select(C("id").alias("uid"), "basedir", "age", C("others").alias("gids"), C("size").alias("usage_size"), C("count").alias("usage_inodes"), "mtime"), with_blocks("SELECT id AS uid, basedir, age, array_to_string(others, ',') AS gids, size AS usage_size, count AS usage_inodes, mtime FROM bases WHERE kind = 'uid'")),
+    "user_usage": (user_usage, with_blocks("SELECT id AS uid, basedir, age, array_to_string(others, ',') AS gids, size AS usage_size, count AS usage_inodes, mtime FROM bases WHERE kind = 'uid'")),
     "usage_all_ages": (lambda s, d: group_usage(s, d).groupBy("age").agg(F.count("*").alias("n"), F.sum("usage_size").alias("size"), F.sum("usage_inodes").alias("inodes")), with_blocks("SELECT age, count(*) AS n, CAST(sum(usage_size) AS BIGINT) AS size, CAST(sum(usage_inodes) AS BIGINT) AS inodes FROM group_usage GROUP BY 1")),
     "usage_with_owner": (lambda s, d: usage.with_owner(_usage0(s, d), views.owners(s, d)), with_blocks("SELECT u.*, coalesce(owner, '') AS owner FROM group_usage u LEFT JOIN owners USING (gid) WHERE age = 0")),
     "id_names": (lambda s, d: usage.with_names(views.stats(s, d).groupBy("uid", "gid").agg(F.count("*").alias("n")), views.stats(s, d).select(C("uid").alias("id"), F.concat(F.lit("u"), "uid").alias("name")).where("uid < 90").distinct(), "uid", "user"), with_blocks("SELECT uid, gid, count(*) AS n, concat(CASE WHEN uid < 90 THEN 'u' ELSE 'id' END, uid) AS user FROM stats GROUP BY 1, 2")),
@@ -137,13 +148,13 @@ QUERIES = {
     "owner_list": (lambda s, d: usage.with_owner(_usage0(s, d), views.owners(s, d)).where("owner <> ''").select("owner").distinct(), with_blocks("SELECT DISTINCT owner FROM group_usage JOIN owners USING (gid) WHERE age = 0")),
     "quota_forecast": (lambda s, d: usage.quota_forecast(views.history(s, d), REF), with_blocks("SELECT * FROM forecast")),
     "quota_days_left": (lambda s, d: usage.quota_forecast(views.history(s, d), REF).select("gid", "mount_path", usage.days_left(C("date_no_space"), REF).alias("days"), F.least(F.lit(25), usage.days_left(C("date_no_space"), REF)).alias("shown")), with_blocks(f"SELECT gid, mount_path, CAST(round(date_no_space / 86400.0) AS BIGINT) - {REF // 86400} AS days, least(25, CAST(round(date_no_space / 86400.0) AS BIGINT) - {REF // 86400}) + CASE WHEN date_no_space IS NULL THEN NULL ELSE 0 END AS shown FROM forecast")),
-    "usage_projection": (lambda s, d: usage.usage_projection(views.history(s, d)), None),
+    "usage_projection": (lambda s, d: usage.usage_projection(views.history(s, d)), with_blocks(_PROJECTION_SQL)),
     "history": (lambda s, d: usage.history_of(views.history(s, d), 7, "/asia/nation_7/building/"), with_blocks(f"SELECT gid, mount_path, {_POINTS} FROM history WHERE gid = 7 AND starts_with('/asia/nation_7/building/', mount_path)")),
     "history_append": (lambda s, d: usage.history_append(views.history(s, d).where("date < 915000000"), views.history(s, d).where("gid % 2 = 0")), with_blocks("SELECT * FROM history WHERE date < 915000000 OR gid % 2 = 0")),
     "history_seed": (lambda s, d: usage.history_seed(views.history(s, d).where("date > 900000000"), views.history(s, d).where("date < 940000000")), with_blocks("SELECT * FROM history")),
     "history_invalid": (lambda s, d: usage.history_invalid(views.history(s, d), "/a"), with_blocks("SELECT DISTINCT gid, mount_path FROM history WHERE NOT starts_with(mount_path, '/a')")),
     "history_clean": (lambda s, d: usage.history_clean(views.history(s, d), "/a"), with_blocks("SELECT * FROM history WHERE starts_with(mount_path, '/a')")),
     "dupes_by_size": (lambda s, d: basedirs.dupes_by_size(views.stats(s, d), 50_000, F.regexp_extract("path", "^(/[^/]+/)", 1)).withColumn("paths", F.array_join("paths", "|")), with_blocks("WITH sets AS (SELECT apparent_size, regexp_extract(path, '^(/[^/]+/)', 1) AS mount, CASE WHEN inode <> 0 THEN concat('i', inode) ELSE path END AS link_set, string_agg(path, '|' ORDER BY path) AS paths FROM stats WHERE size >= 50000 GROUP BY 1, 2, 3) SELECT s.*, n_sets FROM sets s JOIN (SELECT apparent_size, count(*) AS n_sets FROM sets GROUP BY 1 HAVING count(*) >= 2) USING (apparent_size)")),
-    "glob_group": (lambda s, d: basedirs.glob_group(views.stats(s, d).select("path"), _glob_rules(s, d)), with_blocks(_GLOB_SQL)),
+    "glob_group": (lambda s, d: basedirs.glob_group(views.stats(s, d).select("path"), _globrules(s, d)), with_blocks(_GLOB_SQL)),
     "latency_percentiles": (lambda s, d: basedirs.nearest_rank(views.table(s, d, "events").select("event_type", F.floor(C("value") * 1000).cast("long").alias("ms")), ["event_type"], "ms"), "SELECT event_type, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99, count(*) AS n FROM (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events) GROUP BY 1"),
 }

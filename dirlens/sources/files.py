@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.functions import paths
+from dirlens.functions import filetypes, formats, paths
 
 STATS = "path string, size long, uid long, gid long, atime long, mtime long, ctime long, entry_type string, inode long, nlink long, device long, apparent_size long"
 _COLUMNS = [c.split()[0] for c in STATS.split(", ")]
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or below /tmp/checkpoints where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder that all executors share: below spark.checkpoint.dir; below /tmp/checkpoints where that is unset,
+    which only a local session may do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -37,9 +41,10 @@ def write_stats(stats: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV without a header that must have just these columns; `ordinal` keeps the order of lines in a file."""
+    """A CSV without a header that must have just these columns; `ordinal` sorts by file, by split, then by line."""
     n = len(schema.split(","))
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("ordinal", F.monotonically_increasing_id())
+    ordinal = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", ordinal.alias("ordinal")).where("trim(value) <> ''")
     cells = lines.withColumn("c", F.split("value", ",", -1))
     cells = cells.withColumn("c", F.when(F.size("c") == n, F.col("c")).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), F.col("value"))).cast("array<string>")))
     return cells.select(*[F.trim(F.col("c")[i]).cast(t).alias(k) for i, (k, t) in enumerate(x.split() for x in schema.split(", "))], "ordinal")
@@ -76,19 +81,126 @@ def write_lines(rows: DataFrame, order: list, columns: list, path: str, compress
     rows.orderBy(*order).select(F.concat_ws("\t", *columns).alias("value")).write.option("compression", compression).text(path)
 
 
-def write_dguta(cube: DataFrame, path: str) -> None:
-    """A partition per mount_path; only those present are replaced. Rows are sorted by directory."""
-    cube.repartition("mount_path").sortWithinPartitions("dir").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(path)
+def write_groups_csv(rows: DataFrame, path: str) -> None:
+    """Group usage (owner, name, basedir, usage and quotas, mtime, status) with a header; quotes are doubled."""
+    told = {"PI": "owner", "Group": "name", "Path": "basedir", "Space": "usage_size", "SQuota": "quota_size", "Inodes": "usage_inodes", "IQuota": "quota_inodes"}
+    rows.select(*[F.col(c).alias(k) for k, c in told.items()], formats.iso_time(F.col("mtime")).alias("LastMod"), F.col("status").alias("Status")).write.option("header", True).option("escape", '"').csv(path)
 
 
-def union_sources(spark: SparkSession, path: str, mount: str | None = None) -> DataFrame:
-    """All mounts as one, or one mount's partition alone."""
+def write_users_csv(rows: DataFrame, path: str) -> None:
+    """User usage (name, basedir, usage_size, usage_inodes, mtime) with a header; quotes are doubled."""
+    told = {"User": "name", "Path": "basedir", "Space": "usage_size", "Inodes": "usage_inodes"}
+    rows.select(*[F.col(c).alias(k) for k, c in told.items()], formats.iso_time(F.col("mtime")).alias("LastMod")).write.option("header", True).option("escape", '"').csv(path)
+
+
+def write_summaries_json(rows: DataFrame, path: str, age: int = 0) -> None:
+    """A JSON object per directory summary, with lists of names (users, groups) in place of ids."""
+    types = F.array_sort(F.split(filetypes.mask_names(F.col("ft")), r"\|"))
+    told = F.struct(F.col("dir").alias("Dir"), F.col("count").alias("Count"), F.col("size").alias("Size"), formats.iso_time(F.col("atime")).alias("Atime"), formats.iso_time(F.col("mtime")).alias("Mtime"), F.col("users").alias("Users"), F.col("groups").alias("Groups"), types.alias("FileTypes"), F.lit(age).alias("Age"))
+    rows.select(F.to_json(told).alias("value")).write.text(path)
+
+
+def log_lines(lines: DataFrame) -> DataFrame:
+    """Lines of text, read with their file's path as `source`, with `run`, its folder's name, and `file`, its own
+    without its ending; logs.gz is the walk's log."""
+    name = F.element_at(F.split("source", "/"), -1)
+    file = F.when(name == "logs.gz", "walk").otherwise(F.regexp_replace(name, r"\.log$", ""))
+    return lines.select(F.element_at(F.split("source", "/"), -2).alias("run"), file.alias("file"), "value")
+
+
+def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(run, file, value) of all lines of the log files below a folder of runs."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return log_lines(lines.select("value", F.url_decode("_metadata.file_path").alias("source")))
+
+
+def write_dguta(cube: DataFrame, path: str, updated_at: Column) -> None:
+    """A partition per mount_path (absolute, with a slash at its end), with the time its data is of; only those present
+    are replaced. Files hold ranges of directories, in order, so a large mount is many tasks and readers skip files."""
+    ok = F.startswith("mount_path", F.lit("/")) & F.endswith("mount_path", F.lit("/"))
+    mount = F.when(ok, F.col("mount_path")).otherwise(F.raise_error(F.concat(F.lit("not a mount path: "), F.col("mount_path"))).cast("string"))
+    rows = cube.withColumn("updated_at", updated_at.cast("long")).withColumn("mount_path", mount)
+    order = ("mount_path", "dir")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(path)
+
+
+def union_sources(spark: SparkSession, path: str, mount: str | None = None, directory: str | None = None) -> DataFrame:
+    """All mounts as one, or one mount's partition alone, or what lies at or below a directory."""
     every = spark.read.parquet(path)
-    return every if mount is None else every.where(F.col("mount_path") == mount)
+    every = every if mount is None else every.where(F.col("mount_path") == mount)
+    return every if directory is None else every.where(F.startswith("dir", F.lit(directory)))
+
+
+def mount_timestamps(cube: DataFrame) -> DataFrame:
+    """(mount_path, updated_at) of a stored cube; of several sources of a mount the latest."""
+    return cube.groupBy("mount_path").agg(F.max("updated_at").alias("updated_at"))
+
+
+def write_basedirs(path: str, usage: DataFrame, subdirs: DataFrame, history: DataFrame) -> None:
+    """Three tables of base directories by mount_path: usage and subdirs of the mounts present are replaced, points of
+    history that come after their series' last date are added."""
+    for name, rows in (("usage", usage), ("subdirs", subdirs)):
+        rows.repartitionByRange("mount_path", "kind", "age", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path", "kind").parquet(f"{path}/{name}")
+    spark = history.sparkSession
+    history.limit(0).write.mode("append").parquet(f"{path}/history")
+    last = spark.read.schema(history.schema).parquet(f"{path}/history").groupBy("gid", "mount_path").agg(F.max("date").alias("last"))
+    new = history.join(last, ["gid", "mount_path"], "left").where("last IS NULL OR date > last").select(*history.columns)
+    new.write.mode("append").parquet(f"{path}/history")
+
+
+def append_ui_events(events: DataFrame, path: str) -> None:
+    """Adds events (user, session, state, time in epoch seconds) to a table with a partition per UTC day."""
+    events.withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time") / 86400).cast("int"))).write.mode("append").partitionBy("date").parquet(path)
+
+
+def scan_ui_events(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The table's events, or those from one time to another, for which other days aren't read."""
+    day = lambda t: F.date_add(F.lit("1970-01-01").cast("date"), t // 86400)
+    out = spark.read.parquet(path)
+    out = out if first is None else out.where((F.col("date") >= day(first)) & (F.col("time") >= first))
+    out = out if last is None else out.where((F.col("date") <= day(last)) & (F.col("time") <= last))
+    return out.drop("date")
 
 
 # ---- datasets ----
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def publish(rows: DataFrame, root: str, name: str) -> None:
+    """Writes a dataset beside its root's others and makes it visible at once, by its last step, a rename."""
+    hidden = f"{root}/.{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(hidden)
+    fs, source = _fs(rows.sparkSession, hidden)
+    if not fs.rename(source, _fs(rows.sparkSession, f"{root}/{name}")[1]):
+        raise OSError(f"{name} could not be published in {root}")
+
+
+def dataset_names(spark: SparkSession, root: str) -> DataFrame:
+    """The names of a root's complete datasets; the folder's listing is all that passes the driver."""
+    fs, p = _fs(spark, root)
+    names = [(x.getPath().getName(),) for x in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return spark.createDataFrame([x for x in names if not x[0].startswith(".")], "name string")
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of each key's latest dataset, with its name and mount_path."""
+    names = [r.name for r in latest_datasets(dataset_names(spark, root)).collect()]
+    rows = spark.read.parquet(*[f"{root}/{n}" for n in names]).withColumn("name", F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -2))
+    return rows.withColumn("mount_path", paths.mount_from_name(F.col("name")))
+
+
+def drop_superseded(spark: SparkSession, root: str) -> list[str]:
+    """Removes the datasets of which a later one is visible; their names."""
+    gone = [r.name for r in superseded_datasets(dataset_names(spark, root)).collect()]
+    for name in gone:
+        fs, p = _fs(spark, f"{root}/{name}")
+        fs.delete(p, True)
+    return gone
+
+
 def named_datasets(names: DataFrame) -> DataFrame:
     """Valid names <version>_<key>, with whether the version is a number."""
     ok = names.where(F.col("name").rlike(r"^[^.][^_]*_."))

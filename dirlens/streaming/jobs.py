@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dirlens.operators import logs, usage
+from dirlens.operators import logs
 
 
 def log_minutes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -23,34 +23,50 @@ def ui_sessions(stream: DataFrame) -> DataFrame:
 
 
 def append_history(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends those points of each batch that come after their series' last date."""
-
-    def batch(points: DataFrame, _: int) -> None:
-        spark = points.sparkSession
-        try:
-            known = spark.read.schema(points.schema).parquet(path)
-            known.limit(0).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], points.schema)
-        last = known.groupBy("gid", "mount_path").agg(F.max("date").alias("last"))
-        new = points.dropDuplicates(["gid", "mount_path", "date"]).join(last, ["gid", "mount_path"], "left").where("last IS NULL OR date > last")
-        new.select(*points.columns).write.mode("append").parquet(path)
+    """Appends those points of each batch that come after their series' last date, to path/points.
+
+    Each batch has folders of its own, so one that is repeated replaces its part; the series' last dates are a small
+    table that each batch writes anew from the batch before, so the points themselves are not read again."""
+
+    def batch(points: DataFrame, i: int) -> None:
+        spark, schema = points.sparkSession, "gid long, mount_path string, last long"
+        known = spark.read.schema(schema).parquet(f"{path}/last/{i - 1}") if i else spark.createDataFrame([], schema)
+        new = points.dropDuplicates(["gid", "mount_path", "date"]).join(known, ["gid", "mount_path"], "left").where("last IS NULL OR date > last")
+        new.select(*points.columns).write.mode("overwrite").parquet(f"{path}/points/batch={i}")
+        added = spark.read.schema(points.schema).parquet(f"{path}/points/batch={i}").select("gid", "mount_path", F.col("date").alias("last"))
+        known.unionByName(added).groupBy("gid", "mount_path").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{path}/last/{i}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest(stream: DataFrame, build, path: str, checkpoint: str) -> StreamingQuery:
-    """Builds a table from each batch of new files (build: DataFrame to DataFrame with mount_path) and replaces the
-    mounts that it has."""
+def ingest(stream: DataFrame, partial, merge, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table (path/table) of every mount's newest version from files that arrive in any number of batches.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        build(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(path)
+    partial: rows of a batch to sums with mount_path and version; merge: such sums of several batches to the table's
+    rows with mount_path. Sums of a batch have a folder of their own (path/parts), so a repeated batch replaces its
+    part; of the mounts that a batch touches, all parts of the newest version are merged and their partition replaced."""
+
+    def batch(rows: DataFrame, i: int) -> None:
+        spark = rows.sparkSession
+        partial(rows).write.mode("overwrite").partitionBy("mount_path").parquet(f"{path}/parts/batch={i}")
+        parts = spark.read.option("basePath", f"{path}/parts").parquet(f"{path}/parts")
+        touched = parts.where(F.col("batch") == i).select("mount_path").distinct()
+        own = parts.where(F.col("batch") <= i).join(touched, "mount_path", "left_semi")
+        newest = own.groupBy("mount_path").agg(F.max("version").alias("version"))
+        merged = merge(own.join(newest, ["mount_path", "version"], "left_semi").drop("batch"))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(f"{path}/table")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_calls(lines: DataFrame) -> DataFrame:
+    """(run, ts, counters) of a stream of log lines (run, value) about system calls that aren't errors."""
+    kv = logs.parse(lines)
+    own = kv.where((F.coalesce(F.col("kv")["lvl"], F.lit("")) != "eror") & (F.col("kv")["msg"].isNull() | F.col("kv")["msg"].isin("syscalls", "syscall logging")))
+    ts = F.try_to_timestamp(F.col("kv")["t"], F.lit("yyyy-MM-dd'T'HH:mm:ssZ"))
+    return own.select("run", ts.alias("ts"), *[F.expr(f"try_cast(kv['{logs.KEYS[c]}'] AS bigint)").alias(c) for c in ("opens", "reads", "closes", "stats", "writes")])
+
+
 def run_to_table(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
     """All that is there now: partial(rows) of each batch, late rows too, in a Parquet table; a batch that is repeated
     replaces its own part. What has the same key in several batches is still to be merged."""
@@ -75,5 +91,3 @@ def run_ui_sessions(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     parts = run_to_table(stream, ui_sessions, path, checkpoint)
     return parts.groupBy("user", "session").agg(*[F.sum(k).alias(k) for k in ("groups", "users", "disktree")], F.min("start").alias("start"), F.max("end").alias("end"))
 
-
-__all__ = ["append_history", "ingest", "log_minutes", "run_log_minutes", "run_to_table", "run_ui_sessions", "ui_sessions", "usage"]

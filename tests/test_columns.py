@@ -44,4 +44,6 @@ def test_ages(spark):
 
 def test_formats(spark):
     assert one(spark, formats.size_from_text(F.lit("50M")), formats.size_text(F.lit(1536)), formats.days_ago(F.lit(0), 86_400 * 3 + 5), formats.days_ago(F.lit(10), 5), formats.time_ago(F.lit(0), 3 * 86400), formats.time_ago(F.lit(0), 60)) == (50 * 1024**2, "1.50 KiB", 3, 0, "~ 3 days ago", "~ 1 minute ago")
+    assert one(spark, *[F.round(formats.percent_of(F.lit(n), F.lit(10000)) * 100).cast("long") for n in (29, 57, 58, 115)]) == (29, 57, 58, 115)
+    assert one(spark, formats.iso_time(F.lit(0)), formats.quota_status(F.lit(None).cast("long"), F.lit(3 * 86400), 0), formats.quota_status(F.lit(None).cast("long"), F.lit(3 * 86400 + 1), 0)) == ("1970-01-01T00:00:00Z", "Not OK", "OK")
     assert one(spark, formats.percent_of(F.lit(1), F.lit(3)), formats.percent_of(F.lit(1), F.lit(0))) == (33.33, None)

@@ -2,6 +2,7 @@ import datetime
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from dirlens.operators import filters, logs
 from dirlens.plans import views
@@ -66,8 +67,92 @@ def test_history_stream_appends_only_later_points(spark, sf, tmp_path):
         h.where(limit).coalesce(1).write.mode("append").parquet(source)
         jobs.append_history(spark.readStream.schema(h.schema).parquet(source), out, mark).awaitTermination()
         n = h.where(limit).count()
-        assert spark.read.parquet(out).count() == n
+        assert spark.read.parquet(f"{out}/points").count() == n
     assert n == h.count()
+    h.where("date < 900000000").coalesce(1).write.mode("append").parquet(source)  # too late
+    jobs.append_history(spark.readStream.schema(h.schema).parquet(source), out, mark).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/points").drop("batch").collect())) == sorted(map(tuple, h.collect()))
+
+
+def test_ingest_merges_batches_and_replaces_versions(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in "soc")
+    schema = "mount_path string, version int, uid int"
+    batches = [[("/a/", 1, 1), ("/a/", 1, 2)], [("/a/", 1, 1), ("/b/", 5, 9)], [("/a/", 2, 7)], [("/a/", 2, 7), ("/a/", 1, 1)]]
+    want = [{("/a/", 1): 1, ("/a/", 2): 1}, {("/a/", 1): 2, ("/a/", 2): 1, ("/b/", 9): 1}, {("/a/", 7): 1, ("/b/", 9): 1}, {("/a/", 7): 2, ("/b/", 9): 1}]
+    for rows, now in zip(batches, want, strict=True):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        partial = lambda r: r.groupBy("mount_path", "version", "uid").agg(F.count("*").alias("n"))
+        merge = lambda p: p.groupBy("mount_path", "uid").agg(F.sum("n").alias("n"))
+        jobs.ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), partial, merge, out, mark).awaitTermination()
+        assert {(r.mount_path, r.uid): r.n for r in spark.read.parquet(f"{out}/table").collect()} == now
+
+
+def test_stored_cube_and_its_mounts(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "mount_path string, dir string, n int"
+    files.write_dguta(spark.createDataFrame([("/a/", "/a/x/", 1), ("/b/", "/b/", 2)], schema), path, F.lit(10))
+    files.write_dguta(spark.createDataFrame([("/a/", "/a/y/", 3), ("/a/", "/a/y/z/", 4)], schema), path, F.lit(11))
+    read = lambda **k: sorted((r.dir, r.n) for r in files.union_sources(spark, path, **k).collect())
+    assert read() == [("/a/y/", 3), ("/a/y/z/", 4), ("/b/", 2)] and read(mount="/a/", directory="/a/y/z/") == [("/a/y/z/", 4)]
+    assert {r.mount_path: r.updated_at for r in files.mount_timestamps(files.union_sources(spark, path)).collect()} == {"/a/": 11, "/b/": 10}
+    with pytest.raises(Exception, match="not a mount path"):
+        files.write_dguta(spark.createDataFrame([("/a", "/a/", 1)], schema), path, F.lit(1))
+
+
+def test_base_directory_tables_keep_history(spark, tmp_path):
+    path = str(tmp_path / "b")
+    use = lambda *ids: spark.createDataFrame([("/a/", "gid", 0, i) for i in ids], "mount_path string, kind string, age int, id long")
+    points = lambda *dates: spark.createDataFrame([(1, "/a/", d) for d in dates], "gid long, mount_path string, date long")
+    files.write_basedirs(path, use(1, 2), use(1), points(5, 6))
+    files.write_basedirs(path, use(3), use(4, 5), points(4, 6, 7))
+    assert [r.id for r in spark.read.parquet(f"{path}/usage").collect()] == [3]
+    assert sorted(r.id for r in spark.read.parquet(f"{path}/subdirs").collect()) == [4, 5]
+    assert sorted(r.date for r in spark.read.parquet(f"{path}/history").collect()) == [5, 6, 7]
+
+
+def test_datasets_are_published_and_superseded_ones_removed(spark, tmp_path):
+    root = str(tmp_path / "d")
+    rows = lambda n: spark.createDataFrame([(n,)], "n int")
+    for i, name in enumerate(("1_／a", "3_／b／c", "2_／a")):
+        files.publish(rows(i), root, name)
+    (tmp_path / "d" / "9_／a").mkdir()  # not complete
+    assert {(r.mount_path, r.n) for r in files.read_latest(spark, root).collect()} == {("/a/", 2), ("/b/c/", 1)}
+    assert files.drop_superseded(spark, root) == ["1_／a"]
+    assert {r.name for r in files.dataset_names(spark, root).collect()} == {"3_／b／c", "2_／a"}
+
+
+def test_ui_events_are_read_by_day(spark, tmp_path):
+    path, day = str(tmp_path / "u"), 86_400
+    event = lambda *times: spark.createDataFrame([("u", "s", "{}", t) for t in times], "user string, session string, state string, time long")
+    files.append_ui_events(event(0, day - 1, day), path)
+    files.append_ui_events(event(5 * day, -1), path)
+    assert sorted(r.time for r in files.scan_ui_events(spark, path).collect()) == [-1, 0, day - 1, day, 5 * day]
+    some = files.scan_ui_events(spark, path, day - 1, day)
+    assert sorted(r.time for r in some.collect()) == [day - 1, day]
+    assert "PartitionFilters: [isnotnull(date" in some._jdf.queryExecution().toString()
+
+
+def test_log_folders(spark, tmp_path):
+    for name in ("r1/walk.log", "r1/other.log", "r2/logs.gz"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        data = b"lvl=info msg=syscalls opens=1\n"
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    assert sorted((r.run, r.file) for r in files.scan_logs(spark, str(tmp_path)).collect()) == [("r1", "other"), ("r1", "walk"), ("r2", "walk")]
+
+
+def test_error_preview(spark):
+    rows = [(r, i % 3, f"f{i}", i) for r, n in (("a", 7), ("b", 8), ("c", 30)) for i in range(n)]
+    got = logs.error_preview(spark.createDataFrame(rows, "run string, time int, file string, line_no int")).collect()
+    for r, n in (("a", 7), ("b", 8), ("c", 30)):
+        order = sorted(x[1:] for x in rows if x[0] == r)
+        want = [(i + 1, *x) for i, x in enumerate(order) if n <= 7 or i < 3 or i >= n - 3]
+        assert sorted((x.i, x.time, x.file, x.line_no) for x in got if x.run == r) == want
+
+
+def test_csv_order_over_files(spark, tmp_path):
+    (tmp_path / "o").mkdir()
+    for i in range(5):
+        (tmp_path / "o" / f"part-{i}").write_text("".join(f"{k},v{i}_{k}_{j}\n" for j in range(3) for k in range(2)))
+    assert {r.gid: r.owner for r in files.load_owners(spark, str(tmp_path / "o")).collect()} == {0: "v4_0_2", 1: "v4_1_2"}
 
 
 def test_log_minutes_tells_every_minute_of_unordered_files(spark, tmp_path):
