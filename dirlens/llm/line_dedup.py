@@ -8,9 +8,8 @@ LEAST_NODE documents, of which at least half the runs are constant, is a templat
 if LEAST_EXACT documents have it (LEAST_NODE, if it has fewer than SHORT tokens).
 Of a recurring template the lines of the document with the smallest doc_id stay, all others are dropped.
 
-Templates are 64-bit hashes, carried with their line's number; runs are 32-bit hashes. They are counted once per
-document, with partial sums before the shuffle; joins read what recurs from a table, so Spark splits a template that
-many documents have. Lines without a letter (blank ones too) have no exact template.
+Templates are 64-bit hashes, carried with their line's place; runs are 32-bit hashes. Partial sums go before each
+shuffle; joins read what recurs from a table, so Spark splits a template that many documents have. Lines without a letter (blank ones too) have no exact template.
 
 Nulls: a null text has no lines and stays null. A null doc_id comes after all others. Rows that share the smallest
 doc_id all keep their lines; repeated rows are one document and get equal results. Very long texts are treated whole,
@@ -25,23 +24,24 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
-DEPTHS, CELLS, LEAST_EXACT, LEAST_NODE, SHORT = (2, 4), 16, 2, 3, 3
+DEPTHS, CELLS, LEAST_EXACT, LEAST_NODE, SHORT = (2, 4), 16, 2, 3, 3  # the code below counts two and three documents
 _LAST = (1 << 63) - 1
 
 _LINES = r"split(text, '\n', -1)"
 _MASKED = r"IF(l RLIKE '[0-9]', regexp_replace(l, r'(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), l)"
-_SPLIT = rf"transform(transform({_LINES}, l -> {_MASKED}), m -> named_struct('m', m, 't', split(m, ' ', -1)))"
-#: Keys end in what they are: 0 a masked line, 1 a short one, 2 and 3 the nodes.
-_KEYS = ", ".join(
-    [
-        rf"IF(x.m RLIKE '\\p{{L}}', shiftleft(xxhash64(x.m), 2) | IF(size(x.t) >= {SHORT}, 0L, 1L), NULL)",
-        *(f"IF(size(x.t) > {d}, shiftleft(xxhash64(size(x.t), slice(x.t, 1, {d})), 2) | {i + 2}L, NULL)" for i, d in enumerate(DEPTHS)),
-    ]
-)
-_RUN = f"slice(x.t, int(i * size(x.t) / least({CELLS}, size(x.t))) + 1, int((i + 1) * size(x.t) / least({CELLS}, size(x.t))) - int(i * size(x.t) / least({CELLS}, size(x.t))))"
-_FIELDS = "forall(r, y -> y = '<*>')"
-_CELLS = f"transform(transform(sequence(0, least({CELLS}, size(x.t)) - 1), i -> {_RUN}), r -> IF({_FIELDS}, 0, hash(r)))"
-_TREE = rf"transform({_SPLIT}, x -> named_struct('n', size(x.t), 'keys', array({_KEYS}), 'cells', IF(size(x.t) > {DEPTHS[0]}, {_CELLS}, NULL)))"
+#: Keys of a line's masked text m and tokens t. They end in what they are: 0 a masked line, 1 a short one, 2 and 3 nodes.
+_EXACT = rf"IF(m RLIKE '\\p{{L}}', shiftleft(xxhash64(m), 2) | IF(n >= {SHORT}, 0L, 1L), NULL)"
+_NODES = [f"IF(n > {d}, shiftleft(xxhash64(n, slice(t, 1, {d})), 2) | {i + 2}L, NULL)" for i, d in enumerate(DEPTHS)]
+_KEYS = f"array_compact(array({', '.join([_EXACT, *_NODES])}))"
+
+
+def _cell(i: int) -> str:
+    """SQL: the hash of a line's run number i; 0 for fields alone, null beyond the last run."""
+    run = f"slice(t, int({i} * n / {CELLS}) + 1, int({i + 1} * n / {CELLS}) - int({i} * n / {CELLS}))"
+    return f"CASE WHEN n <= {i} THEN NULL WHEN n <= {CELLS} THEN IF(t[{i}] = '<*>', 0, hash(t[{i}])) WHEN t[int({i} * n / {CELLS})] = '<*>' AND forall({run}, y -> y = '<*>') THEN 0 ELSE hash({run}) END"
+
+
+_CELLS = f"IF(n > {DEPTHS[0]}, array({', '.join(_cell(i) for i in range(CELLS))}), NULL)"
 
 
 def _constant(kind: int) -> str:
@@ -54,31 +54,27 @@ def _constant(kind: int) -> str:
 
 def _gone(docs: DataFrame) -> DataFrame:
     """(d, th, gone): numbers of the lines to drop of documents (doc_id, text) that have any."""
-    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), F.expr(_TREE).alias("lines"))
-    rows = stored(told.where("exists(lines, x -> exists(x.keys, k -> k IS NOT NULL))"))
-    keys = F.expr("array_compact(array_distinct(flatten(transform(lines, x -> x.keys))))")
-    each = rows.select("d", "th", F.explode(keys).alias("key"))
+    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.expr(_LINES)).alias("pos", "l"))
+    told = told.select("d", "th", "pos", F.expr(_MASKED).alias("m")).select("d", "th", "pos", "m", F.expr("split(m, ' ', -1)").alias("t"))
+    told = told.select("d", "th", "pos", "m", "t", F.size("t").alias("n"))
+    rows = stored(told.select("d", "th", "pos", "n", F.expr(_KEYS).alias("keys"), F.expr(_CELLS).alias("cells")))
+    each = rows.select("d", "th", "pos", F.explode("keys").alias("key"))
     kind = F.col("key").bitwiseAND(F.lit(3))
 
-    often = each.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("*").alias("n"))
-    often = stored(often.where((F.col("n") >= F.when(kind == 0, LEAST_EXACT).otherwise(LEAST_NODE)) & (F.col("least") < F.col("most"))).drop("n"))
-    met = stored(each.join(often, "key"))
+    often = each.groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    met = stored(each.join(stored(often.where("least < most")), "key"))  # two documents at least
     third = stored(met.where((kind > 0) & (F.col("d") > F.col("least")) & (F.col("d") < F.col("most"))).select("key").distinct())
     short = met.where(kind == 1).join(third, "key", "left_semi")
     nodes = met.where(kind > 1).join(third, "key", "left_semi")
 
     # the lines of the nodes that recur, and what they share
-    asked = nodes.groupBy("d", "th").agg(F.collect_set("key").alias("asked"))
-    lines = rows.join(stored(asked), ["d", "th"]).select("asked", F.explode("lines").alias("x")).where("x.cells IS NOT NULL")
-    lines = lines.select(F.explode(F.expr("array_intersect(x.keys, asked)")).alias("key"), F.col("x.n").alias("n"), F.col("x.cells").alias("cells"))
-    ends = [f(F.get("cells", F.lit(i))).alias(f"{k}{i}") for i in range(CELLS) for k, f in (("low", F.min), ("high", F.max))]
+    lines = rows.where("cells IS NOT NULL").select("d", "th", "pos", "n", "cells").join(nodes.select("d", "th", "pos", "key"), ["d", "th", "pos"])
+    ends = [f(F.col("cells")[i]).alias(f"{k}{i}") for i in range(CELLS) for k, f in (("low", F.min), ("high", F.max))]
     shared = lines.groupBy("key").agg(F.max("n").alias("n"), *ends).select("key", "n", *[F.array(*[f"{k}{i}" for i in range(CELLS)]).alias(k) for k in ("low", "high")])
     templates = stored(shared.where(F.expr(f"CASE WHEN (key & 3L) = 2 THEN {_constant(2)} ELSE {_constant(3)} END")).select("key"))
 
-    drop = met.where(kind == 0).union(short).union(nodes.join(templates, "key", "left_semi")).where("d > least")
-    drop = drop.groupBy("d", "th").agg(F.collect_set("key").alias("drop"))
-    places = F.expr("transform(filter(transform(lines, (x, i) -> named_struct('i', i, 'gone', arrays_overlap(array_compact(x.keys), drop))), y -> y.gone), y -> y.i)")
-    return rows.join(stored(drop), ["d", "th"]).select("d", "th", places.alias("gone")).groupBy("d", "th").agg(F.first("gone").alias("gone"))
+    drop = met.where(kind == 0).union(short.select(*met.columns)).union(nodes.join(templates, "key", "left_semi").select(*met.columns)).where("d > least")
+    return drop.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
