@@ -27,23 +27,32 @@ def _time() -> Column:
     return F.unix_timestamp(F.try_to_timestamp(_at("t"), F.lit("yyyy-MM-dd'T'HH:mm:ssZ")))
 
 
-def events(parsed: DataFrame) -> DataFrame:
-    """(run, file, line_no, time, host, counters) of lines about system calls that aren't errors; a host holds until
-    the file names another."""
-    own = parsed.where((F.coalesce(_at("lvl"), F.lit("")) != "eror") & (_at("msg").isNull() | _at("msg").isin("syscalls", "syscall logging")))
-    out = own.select("run", "file", "line_no", _time().alias("time"), _at("host").alias("host"), *[F.expr(f"try_cast(kv['{KEYS[c]}'] AS bigint)").alias(c) for c in COUNTERS])
-    return fill_host(out)
+def _routed(parsed: DataFrame) -> DataFrame:
+    """Lines about system calls and error lines (bad), with the file they are of and its host.
+
+    An event is of the file it names (its last component), else of its log; an error is of its log."""
+    bad = F.coalesce(_at("lvl"), F.lit("")) == "eror"
+    own = parsed.where(bad | _at("msg").isNull() | _at("msg").isin("syscalls", "syscall logging"))
+    named = F.nullif(F.regexp_extract(F.coalesce(_at("file"), F.lit("")), "([^/]+)/*$", 1), F.lit(""))
+    file = F.when(bad, F.col("file")).otherwise(F.coalesce(named, F.col("file")))
+    host = F.when(~bad & (_at("host") != ""), _at("host"))
+    return fill_host(own.select("run", F.col("file").alias("log"), file.alias("file"), "line_no", "kv", bad.alias("bad"), host.alias("host")))
 
 
 def fill_host(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run", "file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    """A host holds for its file until an event names another; logs are read one after the other."""
+    w = Window.partitionBy("run", "file").orderBy("log", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("host", F.last("host", ignorenulls=True).over(w))
 
 
+def events(parsed: DataFrame) -> DataFrame:
+    """(run, file, line_no, time, host, counters) of lines about system calls that aren't errors."""
+    return _routed(parsed).where("NOT bad").select("run", "file", "line_no", _time().alias("time"), "host", *[F.expr(f"try_cast(kv['{KEYS[c]}'] AS bigint)").alias(c) for c in COUNTERS])
+
+
 def errors(parsed: DataFrame) -> DataFrame:
-    """(run, file, line_no, time, message, data) of error lines; data holds all other keys."""
-    own = parsed.where(_at("lvl") == "eror")
-    return own.select("run", "file", "line_no", _time().alias("time"), _at("msg").alias("message"), F.map_filter("kv", lambda k, v: ~k.isin("t", "lvl", "msg")).alias("data"))
+    """(run, file, line_no, time, host, message, data) of error lines; data holds all other keys."""
+    return _routed(parsed).where("bad").select("run", "file", "line_no", _time().alias("time"), "host", _at("msg").alias("message"), F.map_filter("kv", lambda k, v: ~k.isin("t", "lvl", "msg")).alias("data"))
 
 
 def job_timeouts(jobs: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def jobs(s, d):
 S.CTE |= {
     "numbered": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no, concat('r', user_id % 3) AS run, concat('f', user_id) AS file, CAST(floor(epoch(ts)) AS BIGINT) AS time FROM events",
     "ev": "SELECT run, file, line_no, time, concat('h', user_id % 10) AS full_host, CASE WHEN min(line_no) FILTER (line_no = 1 AND event_type <> 'error') OVER (PARTITION BY user_id) IS NOT NULL THEN concat('h', user_id % 10) END AS host, CAST(CASE WHEN event_type = 'view' THEN 1 END AS BIGINT) AS opens, CAST(CASE WHEN event_type = 'click' THEN 2 END AS BIGINT) AS reads, CASE WHEN event_type = 'click' THEN CAST(floor(value * 1000) AS BIGINT) END AS bytes, CAST(NULL AS BIGINT) AS closes, CAST(CASE WHEN event_type = 'signup' THEN 3 END AS BIGINT) AS stats, CAST(CASE WHEN event_type = 'purchase' THEN 1 END AS BIGINT) AS writes, CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 1000) AS BIGINT) END AS write_bytes, event_type FROM numbered",
-    "err": "SELECT run, file, line_no, time, concat('e\"', json_extract_string(props, '$.k')) AS message, user_id FROM numbered WHERE event_type = 'error'",
+    "err": "SELECT run, file, line_no, time, host, message, user_id FROM (SELECT run, file, line_no, time, event_type, user_id, CASE WHEN min(line_no) FILTER (line_no = 1 AND event_type <> 'error') OVER (PARTITION BY user_id) IS NOT NULL THEN concat('h', user_id % 10) END AS host, concat('e\"', json_extract_string(props, '$.k')) AS message FROM numbered) WHERE event_type = 'error'",
     "minutes": "SELECT run, file, line_no, time, CAST(floor(time / 60) AS BIGINT) AS minute, coalesce(opens, 0) + coalesce(reads, 0) + coalesce(stats, 0) + coalesce(writes, 0) AS calls, CAST(floor(lag(time) OVER (PARTITION BY run, file ORDER BY time, line_no) / 60) AS BIGINT) AS before FROM ev WHERE event_type <> 'error'",
     "spread_calls": "SELECT run, m AS minute, calls / (minute - least(minute, coalesce(before + 1, minute)) + 1) AS calls FROM (SELECT *, unnest(range(least(minute, coalesce(before + 1, minute)), minute + 1)) AS m FROM minutes)",
     "rates": "SELECT e.run, e.minute, coalesce(c.calls, 0) AS calls FROM (SELECT run, unnest(range(min(minute), max(minute) + 1)) AS minute FROM spread_calls GROUP BY run) e LEFT JOIN (SELECT run, minute, sum(calls) AS calls FROM spread_calls GROUP BY 1, 2) c ON c.run = e.run AND c.minute = e.minute",
@@ -170,10 +170,7 @@ def _basedirs_table(s, d):
 
 def _dupes_lines(s, d):
     sets = basedirs.dupes_by_size(views.stats(s, d), 50_000, F.regexp_extract("path", "^(/[^/]+/)", 1))
-    own = sets.select("apparent_size", C("paths")[0].alias("first"), F.posexplode("paths").alias("i", "path"))
-    body = own.select("apparent_size", F.lit(1).alias("part"), "first", "i", F.concat(F.when(C("i") > 0, "\t").otherwise(""), F.lit('"'), "path", F.lit('"')).alias("line"))
-    head = sets.select("apparent_size").distinct().select("apparent_size", F.lit(0).alias("part"), F.lit("").alias("first"), F.lit(0).alias("i"), F.concat(F.lit("Size: "), "apparent_size").alias("line"))
-    return _sink(s, lambda p: files.write_lines(head.union(body), ["apparent_size", "part", "first", "i"], ["line"], p))
+    return _sink(s, lambda p: files.write_dupes(sets, p))
 
 
 def _quota_lines(s, d):
@@ -317,7 +314,7 @@ QUERIES = {
     "log_parse": (lambda s, d: logs.parse(log_lines(s, d)).select("run", "file", "line_no", F.size("kv").alias("n"), *[C("kv")[k].alias(f"v_{k.lower()}") for k in _PARSED]), with_blocks(_PARSE_SQL)),
     "log_events": (lambda s, d: _events(s, d).drop("host"), with_blocks(f"SELECT {_EV} FROM ev WHERE event_type <> 'error'")),
     "log_host_fill": (lambda s, d: _events(s, d).select("run", "file", "line_no", "host"), with_blocks("SELECT run, file, line_no, host FROM ev WHERE event_type <> 'error'")),
-    "log_errors": (lambda s, d: _errors(s, d).withColumn("data", _told(C("data"))), with_blocks("SELECT run, file, line_no, time, message, concat('arg1=x;arg2=y z', CASE WHEN line_no = 1 THEN concat(';host=h', user_id % 10) ELSE '' END) AS data FROM err")),
+    "log_errors": (lambda s, d: _errors(s, d).withColumn("data", _told(C("data"))), with_blocks("SELECT run, file, line_no, time, host, message, concat('arg1=x;arg2=y z', CASE WHEN line_no = 1 THEN concat(';host=h', user_id % 10) ELSE '' END) AS data FROM err")),
     "log_route": (lambda s, d: _events(s, d).groupBy("run").agg(F.count("*").alias("events")).join(_errors(s, d).groupBy("run").agg(F.count("*").alias("errors")), "run", "full"), with_blocks("SELECT run, count(*) FILTER (event_type <> 'error') AS events, count(*) FILTER (event_type = 'error') AS errors FROM ev GROUP BY 1")),
     "log_run_totals": (lambda s, d: logs.run_totals(_events(s, d), _errors(s, d)), with_blocks(_RUN_SQL)),
     "log_run_status": (lambda s, d: logs.run_totals(_events(s, d), _errors(s, d)).select("run", "complete"), with_blocks("SELECT run, bool_and(event_type <> 'error') AS complete FROM ev GROUP BY 1")),

@@ -81,6 +81,14 @@ def write_lines(rows: DataFrame, order: list, columns: list, path: str, compress
     rows.orderBy(*order).select(F.concat_ws("\t", *columns).alias("value")).write.option("compression", compression).text(path)
 
 
+def write_dupes(sets: DataFrame, path: str) -> None:
+    """Each size with its sets of links (apparent_size, paths): their first paths in quotes, the others after a tab."""
+    own = sets.select("apparent_size", F.col("paths")[0].alias("first"), F.posexplode("paths").alias("i", "path"))
+    body = own.select("apparent_size", F.lit(1).alias("part"), "first", "i", F.concat(F.when(F.col("i") > 0, "\t").otherwise(""), F.lit('"'), "path", F.lit('"')).alias("line"))
+    head = sets.select("apparent_size").distinct().select("apparent_size", F.lit(0).alias("part"), F.lit("").alias("first"), F.lit(0).alias("i"), F.concat(F.lit("Size: "), "apparent_size").alias("line"))
+    write_lines(head.union(body), ["apparent_size", "part", "first", "i"], ["line"], path)
+
+
 def write_groups_csv(rows: DataFrame, path: str) -> None:
     """Group usage (owner, name, basedir, usage and quotas, mtime, status) with a header; quotes are doubled."""
     told = {"PI": "owner", "Group": "name", "Path": "basedir", "Space": "usage_size", "SQuota": "quota_size", "Inodes": "usage_inodes", "IQuota": "quota_inodes"}

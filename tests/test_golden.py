@@ -1,8 +1,11 @@
 """Cases whose values are fixed by the formats and rules that this engine shares with its predecessor."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from dirlens.operators import basedirs, usage
+from dirlens.functions import filetypes
+from dirlens.operators import basedirs, logs, usage
+from dirlens.sources import files
 
 # Globs and, for paths, the number of the glob that wins (None: no group).
 GLOBS = [
@@ -88,3 +91,93 @@ def test_forecasts(spark):
             margin = 15_000 if hours and hours > 3 * 365 * 24 else 2
             assert date == (hours if hours is None else pytest.approx(NOW + hours * HOUR, abs=margin)), name
     assert usage.quota_forecast(h.limit(0), NOW).count() == 0
+
+
+# File names of each type, and names that are not of it.
+TYPES = {
+    "vcf": (["bar.vcf", "bar.VCF"], ["vcf.bar", "bar.fcv"]),
+    "vcf.gz": (["bar.vcf.gz"], ["vcf.gz.bar", "bar.vcf"]),
+    "bcf": (["bar.bcf"], ["bcf.bar", "bar.vcf"]),
+    "sam": (["bar.sam"], ["bar.bam"]),
+    "bam": (["bar.bam"], ["bar.sam"]),
+    "cram": (["bar.cram"], ["bar.bam"]),
+    "fasta": (["bar.fasta", "bar.fa"], ["bar.fastq"]),
+    "fastq": (["bar.fastq", "bar.fq"], ["bar.fasta", "bar.fastq.gz"]),
+    "fastq.gz": (["bar.fastq.gz", "bar.fq.gz"], ["bar.fastq", "bar.fq"]),
+    "ped/bed": (["bar.ped", "bar.map", "bar.bed", "bar.bim", "bar.fam"], ["bar.asd"]),
+    "compressed": (["bar.bzip2", "bar.gz", "bar.tgz", "bar.zip", "bar.xz", "bar.bgz"], ["bar.bcf", "bar.asd", "bar.vcf.gz", "bar.fastq.gz"]),
+    "text": (["bar.csv", "bar.tsv", "bar.txt", "bar.text", "bar.md", "bar.dat", "bar.README", "READme"], ["bar.sam", "bar.out", "bar.asd"]),
+    "log": (["bar.log", "bar.o", "bar.out", "bar.e", "bar.err", "bar.oe"], ["bar.txt", "bar.asd"]),
+    "other": (["bar.asd", ".tmp.asd", ".tmp"], []),
+    "dir": (["path/"], []),
+}
+TEMPORARY = [".tmp.cram", "tmp.cram", ".temp.cram", "temp.cram", "a.cram.tmp", "a.cram.temp"]
+NOT_TEMPORARY = ["xtmp.cram", "tmpx.cram", "xtemp.cram", "tempx.cram", "xtmp", "xtemp"]
+TEMPORARY_DIRS = {"/foo/tmp/": True, "/foo/temp/": True, "/foo/TEMP/": True, "/foo/": False}
+
+
+def test_file_types(spark):
+    bits = {n: b for b, n in filetypes.NAMES.items()}
+    names = sorted({n for yes, no in TYPES.values() for n in (*yes, *no)})
+    got = {r.n: r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", filetypes.file_type(F.col("n")).alias("t")).collect()}
+    for kind, (yes, no) in TYPES.items():
+        assert all(got[n] == bits[kind] for n in yes) and all(got[n] != bits[kind] for n in no), kind
+    temp = spark.createDataFrame([(n, n in TEMPORARY) for n in TEMPORARY + NOT_TEMPORARY], "n string, want boolean")
+    assert temp.where(filetypes.is_temp(F.col("n")) != F.col("want")).count() == 0
+    dirs = spark.createDataFrame(list(TEMPORARY_DIRS.items()), "d string, want boolean")
+    assert dirs.where(filetypes.in_temp_dir(F.col("d")) != F.col("want")).count() == 0
+
+
+def test_rules(spark):
+    """A unit is a directory at the depth that its own rule asks for; a rule's last component may be a beginning."""
+    rules = spark.createDataFrame([("/some/partial/thing", 3), ("/ab/cd/", 3), ("/ab/ef/", 0)], "prefix string, mindirs int")
+    want = {"/ab/cd/ef/": True, "/ab/cd/ef/g/h/": False, "/some/partial/thing/": True, "/some/partial/thingCat/": True, "/some/partial/think/": False}
+    dirs = spark.createDataFrame([(d, d.count("/") - 1) for d in want], "dir string, depth int")
+    got = {r.dir for r in basedirs.rule_for(dirs, rules).where("depth = mindirs").collect()}
+    assert got == {d for d, ok in want.items() if ok}
+
+
+def test_duplicates_report(spark, tmp_path):
+    files_ = [("teamA/user1/bFile.txt", 200, 0), ("teamB/user2/aFile.txt", 400, 0), ("teamA/user1/aFile.txt", 300, 1), ("teamA/user2/aFile.txt", 300, 3), ("teamA/user3/cFile.txt", 300, 1), ("teamB/user3/cFile.txt", 400, 2)]
+    rows = [(f"/opt/teams/{p}", n, n, i, "f") for p, n, i in files_]
+    sets = basedirs.dupes_by_size(spark.createDataFrame(rows, "path string, size long, apparent_size long, inode long, entry_type string"), 0, F.lit(0))
+    files.write_dupes(sets.coalesce(1), str(tmp_path / "d"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
+    assert text == (
+        'Size: 300\n"/opt/teams/teamA/user1/aFile.txt"\n\t"/opt/teams/teamA/user3/cFile.txt"\n"/opt/teams/teamA/user2/aFile.txt"\n'
+        'Size: 400\n"/opt/teams/teamB/user2/aFile.txt"\n"/opt/teams/teamB/user3/cFile.txt"\n'
+    )
+
+
+T = "1970-01-02T10:17:3"  # and a digit: 123456 seconds and more
+# Lines of a log, and its events and errors as (time, file, host, what else).
+LINES = [
+    ("", [], []),
+    (f"t={T}6+0000 ", [(123456, "log", None, {})], []),
+    (f"t={T}6+0000 msg=something", [], []),
+    (f"t={T}6+0000 msg=syscalls", [(123456, "log", None, {})], []),
+    (f't={T}6+0000 msg="syscall logging"', [(123456, "log", None, {})], []),
+    ("file=/path/to/something.1", [(None, "something.1", None, {})], []),
+    ("host=abc", [(None, "log", "abc", {})], []),
+    *[(f"{k}=123", [(None, "log", None, {k: 123})], []) for k in ("opens", "reads", "bytes", "closes", "stats")],
+    ("lvl=eror", [], [(None, "log", None, None, {})]),
+    (f"t={T}6+0000 lvl=eror", [], [(123456, "log", None, None, {})]),
+    ('lvl=eror msg="an error"', [], [(None, "log", None, "an error", {})]),
+    ('lvl=eror arg1=something arg2="something else"', [], [(None, "log", None, None, {"arg1": "something", "arg2": "something else"})]),
+    (f"t={T}6+0000 host=abc\nt={T}7+0000 opens=1", [(123456, "log", "abc", {}), (123457, "log", "abc", {"opens": 1})], []),
+    (f"t={T}6+0000 host=abc\nt={T}7+0000 lvl=eror msg=abc", [(123456, "log", "abc", {})], [(123457, "log", "abc", "abc", {})]),
+    (
+        f"t={T}6+0000 file=a host=abc\nt={T}7+0000 file=b host=def\nt={T}8+0000 lvl=eror msg=abc\nt={T}9+0000 file=a opens=1",
+        [(123456, "a", "abc", {}), (123457, "b", "def", {}), (123459, "a", "abc", {"opens": 1})],
+        [(123458, "log", None, "abc", {})],
+    ),
+]
+
+
+def test_log_lines(spark):
+    rows = [(str(i), "log", n, line) for i, (text, _, _) in enumerate(LINES) for n, line in enumerate(text.split("\n"))]
+    parsed = logs.parse(spark.createDataFrame(rows, "run string, file string, line_no long, value string"))
+    events, errors = logs.events(parsed).orderBy("line_no").collect(), logs.errors(parsed).orderBy("line_no").collect()
+    for i, (text, want, bad) in enumerate(LINES):
+        assert [(r.time, r.file, r.host, {c: r[c] for c in logs.COUNTERS if r[c] is not None}) for r in events if r.run == str(i)] == want, text
+        assert [(r.time, r.file, r.host, r.message, r.data) for r in errors if r.run == str(i)] == bad, text

@@ -40,7 +40,7 @@ def test_datasets(spark):
 
 
 def test_log_lines(spark):
-    lines = [("r", "f", 1, "t=2025-01-02T03:04:05+0000 lvl=info msg=syscalls file=/p/walk.1 host=h1 opens=3 reads=4 bytes=4096"), ("r", "f", 2, 't=2025-01-02T03:05:05+0000 lvl=eror msg="an \\"error" arg1=x arg2="y z"'), ("r", "f", 3, "t=2025-01-02T03:08:05+0000 msg=syscalls opens=6"), ("r", "f", 4, "  ")]
+    lines = [("r", "f", 1, "t=2025-01-02T03:04:05+0000 lvl=info msg=syscalls file=/p/walk.1 host=h1 opens=3 reads=4 bytes=4096"), ("r", "f", 2, 't=2025-01-02T03:05:05+0000 lvl=eror msg="an \\"error" arg1=x arg2="y z"'), ("r", "f", 3, "t=2025-01-02T03:08:05+0000 msg=syscalls file=/q/walk.1 opens=6"), ("r", "f", 4, "  ")]
     p = logs.parse(spark.createDataFrame(lines, "run string, file string, line_no long, value string"))
     ev = logs.events(p).orderBy("line_no").collect()
     assert [(r.time, r.host, r.opens, r.bytes, r.closes) for r in ev] == [(1735787045, "h1", 3, 4096, None), (1735787285, "h1", 6, None, None)]
