@@ -36,7 +36,7 @@ class Encoder:
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._word)
         self.stems: dict[str, bytes] = {}
         probe = ["Thing", "überaß", "À", "on", "zzxq"]
         self.fast = all(self._model(w.lower()) == self._encode(w) for w in probe) and all(self._encode(f"on{c}") == self._encode("on") + self._encode(c) for c in ".,")
@@ -44,11 +44,16 @@ class Encoder:
         self.split = self._encode("a b\n\tc,d é") == b"".join(map(self._encode, ["a", "b", "c,d", "é"]))
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64).astype(self.kind).tobytes()
+        return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        if len(ids) > 8:
+            return np.array(ids, np.int64).astype(self.kind).tobytes()
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])  # sooner for a few
 
     def _model(self, stem: str) -> bytes:
         written = stem if stem.isascii() else "".join(self.letters[b] for b in stem.encode())
-        return np.array([t.id for t in self.whole.model.tokenize(written)], self.kind).tobytes()
+        return self._bytes([t.id for t in self.whole.model.tokenize(written)])
 
     def _word(self, word: str) -> bytes:
         m = _PLAIN.fullmatch(word) if self.fast else None
@@ -57,15 +62,9 @@ class Encoder:
             out = self.stems.get(stem)
             if out is None:
                 out = self.stems[stem] = self._model(stem)
-            return out + self._word_cached(m[2]) if m[2] else out
+            return out + self.words[m[2]] if m[2] else out
         return self._encode(word)
 
-    def _word_cached(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            out = self.words[word] = self._encode(word)
-        return out
-
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -75,13 +74,19 @@ class Encoder:
         if len(words) + len(self.stems) > MOST_CACHED:
             words.clear()
             self.stems.clear()
-        out = []
-        for w in text.split():
-            got = words.get(w)
-            if got is None:
-                got = words[w] = self._word(w)
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(words.__getitem__, text.split()))
+
+
+class _Words(dict):
+    """word -> ids; what isn't there yet is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.encode(word)
+        return out
 
 
 def encoder(path: str) -> Encoder:
