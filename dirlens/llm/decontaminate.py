@@ -10,7 +10,7 @@ passage's distinct words, as a share of the score the item gets from its own wor
 
 The answer is an item's last sentence or line, or the last third of its words if it is one sentence.
 Document frequencies and lengths are counted over all items; the index is broadcast in shards of at most
-SHARD_POSTINGS postings, PER_PASS of them at once, and a larger benchmark takes more passes. Documents aren't shuffled.
+SHARD_POSTINGS postings, as many at once as have PASS_BYTES; a larger benchmark takes more passes. Documents aren't shuffled.
 
 Nulls: documents and items without words (null texts too) hit nothing; a null doc_id or item_id is carried through.
 Repeated documents give repeated rows; repeated items (same id and text) count once. Of equal scores of an item's
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import Words, pieces, rolling, stored
 
-K1, B, SHARD_POSTINGS, PER_PASS, BLOCK = 1.2, 0.75, 40_000, 8, 32
+K1, B, SHARD_POSTINGS, PASS_BYTES, BLOCK = 1.2, 0.75, 40_000, 64 << 20, 32
 GROUPS, RUN = 512, 2
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
 
@@ -76,6 +76,10 @@ class Index:
     answer: list[tuple[np.ndarray, int]]
     longest: int
 
+    def size(self) -> int:
+        """Its bytes, more or less; the bounds of the runs are most of it."""
+        return self.run_bound.nbytes + 100 * len(self.items)
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 if no item has it."""
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
@@ -240,13 +244,13 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id") -> Iterator[Index]:
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list[Index]]:
-    """The shards' indexes, PER_PASS at a time."""
+    """The shards' indexes, as many at a time as have PASS_BYTES; one at least."""
     held: list[Index] = []
     for index in indexes(benchmark):
-        held.append(index)
-        if len(held) == PER_PASS:
+        if held and sum(x.size() for x in (*held, index)) > PASS_BYTES:
             yield held
             held = []
+        held.append(index)
     if held:
         yield held
 

@@ -69,7 +69,7 @@ def data(seed):
 @pytest.mark.parametrize(("seed", "postings"), [(1, 10**6), (2, 600)])
 def test_equals_brute_force(spark, monkeypatch, seed, postings):
     monkeypatch.setattr(D, "SHARD_POSTINGS", postings)
-    monkeypatch.setattr(D, "PER_PASS", 2)
+    monkeypatch.setattr(D, "PASS_BYTES", 80_000)
     docs, items = data(seed)
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, score string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
