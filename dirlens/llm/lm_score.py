@@ -6,13 +6,16 @@
 2. Documents are written once as class ids, a byte or two a word. Counts of up to KNOWN words are looked up while
    that is done; rarer words are written beside the ids and joined with the table of counts.
 3. The network: each of the SIDE words to the left and right looks up a row for its place, the rows add up to a hidden
-   layer (tanh), a softmax over classes follows. Every task trains on its own documents, on another slice of the
-   positions in each of the ROUNDS, all slices in turn, and the weights are averaged, by position counts, in a tree of
-   tasks; so all positions are learnt from, and the driver sees a bounded number of weight vectors.
+   layer (tanh), a softmax over classes follows. Documents are dealt into shards of about SHARD_WORDS words by a hash of
+   their own; a task trains on a shard after the other, from the same weights, on another slice of the positions in each
+   of the ROUNDS, all slices in turn, and the shards' weights are averaged, by position counts, in a tree of tasks. So
+   all positions are learnt from, the driver sees a bounded number of weight vectors, and what is learnt doesn't depend
+   on how Spark deals the rows out.
 4. All documents are scored: the sum of their words' conditional log-probabilities, and its mean.
 
 Nulls: a null or empty text has 0 words, log_prob 0 and a null mean; a null doc_id is carried through. Repeated rows
-count each time and get equal scores. An empty table gives no rows. Other columns are not read.
+count each time and get equal scores. Very long texts are scored whole. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from .common import Words, pieces, signed, stored
 FREQUENT, BUCKETS, SIDE, HIDDEN = 96, 32, 2, 32
 KNOWN = 1 << 16
 ROUNDS, SLICES, BATCH, LEAST_STEPS, RATE = 8, 8, 2048, 60, 0.01
-FAN_IN = 64
+FAN_IN = 16
+SHARD_WORDS, MOST_SHARDS = 1 << 20, 1 << 14
 
 
 @dataclass
@@ -163,11 +167,11 @@ class Network:
         g_place, g_out, g_bias = self.parts(grad)
         g_out += h.T @ p
         g_bias += p.sum(axis=0)
-        hot = np.zeros((self.classes + 1, len(ids)), np.float32)
         for s in range(ctx.shape[1]):
-            hot[ctx[:, s], np.arange(len(ids))] = 1
-            g_place[s] += hot @ dh
-            hot[ctx[:, s], np.arange(len(ids))] = 0
+            order = np.argsort(ctx[:, s], kind="stable")
+            near = ctx[order, s]
+            first = np.flatnonzero(np.diff(near, prepend=-1))
+            g_place[s][near[first]] = np.add.reduceat(dh[order], first, axis=0)
         return grad
 
 
@@ -187,9 +191,9 @@ class Trainer:
 
 
 def _encoded(texts: DataFrame, vocab: Vocabulary, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, ids, key, inside, rare): a document's classes, a number of its own, the logs of the shares that its words
+    """(doc_id, ids, key, at, inside, rare): a document's classes, a number of its own, a hash of it, the logs of the shares that its words
     have in their buckets summed up as far as counts are known, and the words whose log counts are still to be added."""
-    kind = np.uint8 if vocab.size < 256 else np.uint16
+    kind = np.uint8 if vocab.size <= 256 else np.uint16
     shared = texts.sparkSession.sparkContext.broadcast((vocab, *known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,68 +214,104 @@ def _encoded(texts: DataFrame, vocab: Vocabulary, known: tuple[np.ndarray, np.nd
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, words.first), pa.int32()), pa.array(signed(own)))
             ids, n = ids.astype(kind), batch.num_rows
             coded = [ids[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.array(np.arange(key, key + n)), pa.array(np.diff(sums)), rare], ["doc_id", "ids", "key", "inside", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.array(np.arange(key, key + n)), batch.column(2), pa.array(np.diff(sums)), rare], ["doc_id", "ids", "key", "at", "inside", "rare"])
             key += n
 
-    return stored(texts.mapInArrow(run, "doc_id long, ids binary, key long, inside double, rare array<long>"))
+    own = texts.withColumn("at", F.xxhash64("doc_id", "text"))
+    return stored(own.mapInArrow(run, "doc_id long, ids binary, key long, at long, inside double, rare array<long>"))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    kind = np.uint8 if classes < 256 else np.uint16
+    kind = np.uint8 if classes <= 256 else np.uint16
     for batch in pieces(batches, "ids", 1 << 18):
-        own = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
+        own = [np.frombuffer(x, kind) for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
         yield batch, np.concatenate(own).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own])])
 
 
-_WEIGHTS = "n long, weights binary"
+_WEIGHTS = "shard int, n long, weights binary"
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The mean of weight vectors, weighted by n."""
-    n, total = 0, None
+    """The means of weight vectors (group, n, weights), weighted by n; a group's rows follow one another."""
+    group, n, total = None, 0, None
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["shard", "n", "weights"])
+
     for batch in batches:
-        for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for g, k, w in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            if g != group and n:
+                yield told()
+                n = 0
             part = np.frombuffer(w, np.float32).astype(np.float64) * k
-            total = part if total is None else total + part
-            n += k
+            total = part if not n else total + part
+            group, n = g, n + k
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
+        yield told()
+
+
+class _Learner:
+    """A shard's own copy of the weights in one round, and what it has seen."""
+
+    def __init__(self, shard: int, net: Network, r: int):
+        self.shard, self.slice, self.net = shard, r % SLICES, Network(net.classes)
+        self.net.flat = net.flat.copy()
+        self.trainer, self.first = Trainer(self.net), []
+        self.held = [np.zeros((0, 2 * net.side), np.int64), np.zeros(0, np.int64)]
+
+    def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
+        pick = np.flatnonzero((np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))) % SLICES == self.slice)
+        ctx, ids = (np.concatenate(x) for x in zip(self.held, (self.net.contexts(ids, at, pick), ids[pick]), strict=True))
+        whole = len(ids) // BATCH * BATCH
+        for i in range(0, whole, BATCH):
+            if len(self.first) < LEAST_STEPS:
+                self.first.append((ctx[i : i + BATCH], ids[i : i + BATCH]))
+            self.trainer.step(ctx[i : i + BATCH], ids[i : i + BATCH])
+        self.held = [ctx[whole:], ids[whole:]]
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """The shard's weights, once all of it is seen; a small shard is gone over again."""
+        if len(self.held[1]):
+            self.first.append(tuple(self.held))
+            self.trainer.step(*self.held)
+        seen = self.trainer.seen
+        while self.first and self.trainer.steps < LEAST_STEPS:
+            for batch in self.first:
+                self.trainer.step(*batch)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([self.shard], pa.int32()), pa.array([seen], pa.int64()), pa.array([self.net.flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """A network trained on the documents (doc_id, ids), each task on its own, averaged after each round."""
+    """A network trained on the documents (ids, at), each shard on its own, averaged after each round."""
     net, sc = Network(vocab.size), encoded.sparkSession.sparkContext
     net.parts()[2][:] = np.log(vocab.count / vocab.count.sum())
+    shards = min(MOST_SHARDS, max(1, round(vocab.count.sum() / SHARD_WORDS)))
+    dealt = encoded.select(F.pmod("at", F.lit(shards)).cast("int").alias("shard"), "at", "ids")
     for r in range(rounds):
         shared = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            own = Network(vocab.size)
-            own.flat = shared.value.flat.copy()
-            trainer, first, held = Trainer(own), [], [np.zeros((0, 2 * own.side), np.int64), np.zeros(0, np.int64)]
-            for _, ids, at in _decoded(batches, vocab.size):
-                pick = np.flatnonzero((np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))) % SLICES == r % SLICES)
-                ctx = own.contexts(ids, at, pick)
-                held = [np.concatenate([held[0], ctx]), np.concatenate([held[1], ids[pick]])]
-                while len(held[1]) >= BATCH:
-                    if len(first) < LEAST_STEPS:
-                        first.append((held[0][:BATCH], held[1][:BATCH]))
-                    trainer.step(held[0][:BATCH], held[1][:BATCH])
-                    held = [held[0][BATCH:], held[1][BATCH:]]
-            if len(held[1]):
-                first.append((held[0], held[1]))
-                trainer.step(*held)
-            seen = trainer.seen
-            while first and trainer.steps < LEAST_STEPS:  # a small part of the corpus is gone over again
-                for batch in first:
-                    trainer.step(*batch)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["n", "weights"])
-
-        got = stored(encoded.select("doc_id", "ids").mapInArrow(run, _WEIGHTS))
-        while (k := got.count()) > FAN_IN:
-            got = stored(got.repartition(-(-k // FAN_IN)).mapInArrow(_summed, _WEIGHTS))
-        rows = got.collect()
+            learner = None
+            for batch in batches:
+                shard = batch.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if b > a and (learner is None or learner.shard != shard[a]):
+                        if learner:
+                            yield from learner.told()
+                        learner = _Learner(int(shard[a]), shared.value, r)
+                    for _, ids, at in _decoded(iter([batch.slice(a, b - a)]), vocab.size):
+                        learner.learn(ids, at)
+            if learner:
+                yield from learner.told()
+
+        got, k = stored(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "at", "ids").mapInArrow(run, _WEIGHTS)), shards
+        while k > FAN_IN:
+            k = -(-k // FAN_IN)
+            group = (F.col("shard") / FAN_IN).cast("int").alias("shard")
+            got = stored(got.select(group, "n", "weights").repartitionById(k, "shard").sortWithinPartitions("shard", "n", "weights").mapInArrow(_summed, _WEIGHTS))
+        rows = sorted(got.collect())
         if rows:
             total = sum(x.n for x in rows)
             net = Network(vocab.size)

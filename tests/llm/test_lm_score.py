@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,6 +65,40 @@ def test_no_rows_and_trees_of_means(spark, monkeypatch):
     assert L.score_documents(df, 1).count() == 60
 
 
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_WORDS", 3000)
+    docs = _corpus(150)
+    told = [{r.doc_id: r.log_prob for r in L.score_documents(spark.createDataFrame(d, "doc_id long, text string").repartition(n), 2).collect()} for d, n in ((docs, 2), (docs[::-1], 7))]
+    assert told[0] == pytest.approx(told[1], rel=1e-5)
+
+
+def test_scores_against_a_plain_pass(spark, monkeypatch):
+    """All of it again in plain Python, with the trained weights: classes, contexts, shares and sums."""
+    docs = [*_corpus(80), (900, "The noun1 unseen"), (901, "odd words here only")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    nets, train = [], L.train
+    monkeypatch.setattr(L, "FREQUENT", 20)
+    monkeypatch.setattr(L, "vocabulary", lambda texts, counts, f=L.vocabulary: f(texts, 20, 32, counts))
+    monkeypatch.setattr(L, "train", lambda *a: nets.append(train(*a)) or nets[0])
+    got = {r.doc_id: r.log_prob for r in L.score_documents(df, 1).collect()}
+    counts = Counter(w for _, t in docs for w in t.lower().split())
+    signed = {w: int(np.uint64(word_hash(w)).astype(np.int64)) for w in counts}
+    top = sorted(counts, key=lambda w: (-counts[w], signed[w]))[:20]
+    hashes = sorted(word_hash(w) for w in top)
+    cls = {w: hashes.index(word_hash(w)) if w in top else 20 + word_hash(w) % 32 for w in counts}
+    size = Counter()
+    for w, n in counts.items():
+        size[cls[w]] += n
+    place, out, bias = (p.astype(np.float64) for p in nets[0].parts())
+    for d, t in docs:
+        words, total = t.lower().split(), 0.0
+        for i, w in enumerate(words):
+            around = [cls[words[i + s]] if 0 <= i + s < len(words) else nets[0].classes for s in (-2, -1, 1, 2)]
+            z = np.tanh(sum(place[s][c] for s, c in enumerate(around))) @ out + bias
+            total += z[cls[w]] - z.max() - np.log(np.exp(z - z.max()).sum()) + (0 if w in top else np.log(counts[w] / size[cls[w]]))
+        assert got[d] == pytest.approx(min(total, 0), rel=1e-4), d
+
+
 def test_vocabulary_counts(spark):
     df = spark.createDataFrame([(1, "a a A b\tc"), (2, None), (3, "b d")], "doc_id long, text string")
     v = L.vocabulary(df.fillna({"text": ""}), 2, 4)
@@ -73,6 +108,7 @@ def test_vocabulary_counts(spark):
 @pytest.mark.parametrize("known", [0, 1 << 16])
 def test_each_word_has_its_own_probability(spark, monkeypatch, known):
     monkeypatch.setattr(L, "KNOWN", known, raising=False)
+    monkeypatch.setattr(L, "vocabulary", lambda texts, counts, f=L.vocabulary: f(texts, 96, L.BUCKETS, counts))
     words = [f"word{i}" for i in range(400)]
     bucket = lambda w: word_hash(w) % L.BUCKETS
     rng = random.Random(3)
