@@ -35,7 +35,7 @@ FREQUENT, BUCKETS, SIDE, HIDDEN = 96, 32, 2, 32
 KNOWN = 1 << 16
 ROUNDS, SLICES, BATCH, LEAST_STEPS, RATE = 8, 8, 2048, 60, 0.01
 FAN_IN = 16
-SHARD_WORDS, MOST_SHARDS = 1 << 20, 1 << 14
+SHARD_WORDS, MOST_SHARDS = 1 << 21, 1 << 14
 
 
 @dataclass
@@ -167,11 +167,11 @@ class Network:
         g_place, g_out, g_bias = self.parts(grad)
         g_out += h.T @ p
         g_bias += p.sum(axis=0)
+        hot = np.zeros((self.classes + 1, len(ids)), np.float32)
         for s in range(ctx.shape[1]):
-            order = np.argsort(ctx[:, s], kind="stable")
-            near = ctx[order, s]
-            first = np.flatnonzero(np.diff(near, prepend=-1))
-            g_place[s][near[first]] = np.add.reduceat(dh[order], first, axis=0)
+            hot[ctx[:, s], np.arange(len(ids))] = 1
+            g_place[s] += hot @ dh
+            hot[ctx[:, s], np.arange(len(ids))] = 0
         return grad
 
 
@@ -275,9 +275,8 @@ class _Learner:
             self.first.append(tuple(self.held))
             self.trainer.step(*self.held)
         seen = self.trainer.seen
-        while self.first and self.trainer.steps < LEAST_STEPS:
-            for batch in self.first:
-                self.trainer.step(*batch)
+        for i in range(LEAST_STEPS - self.trainer.steps if self.first else 0):
+            self.trainer.step(*self.first[i % len(self.first)])
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([self.shard], pa.int32()), pa.array([seen], pa.int64()), pa.array([self.net.flat.tobytes()], pa.binary())], ["shard", "n", "weights"])
 
