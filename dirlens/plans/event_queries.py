@@ -13,7 +13,7 @@ from dirlens.streaming import jobs as streams
 from . import sql as S
 from . import views
 from .sql import with_blocks
-from .tree_queries import BASE, _where_sql, cube, summary
+from .tree_queries import BASE, CELLS_SQL, _where_sql, cells, cube, summary
 from .usage_queries import group_usage, rules, user_usage
 
 C = F.col
@@ -141,7 +141,8 @@ def _dguta_table(s, d):
     own = _kept(s, _mounted(cube(s, d)))
     files.write_dguta(own.where("uid % 2 = 0"), path, F.lit(1))
     files.write_dguta(own.where("mount_path IN ('/asia/', '/europe/')"), path, F.lit(2))  # replaces these two
-    return files.union_sources(s, path).withColumn("ft", C("ft").cast("long"))
+    stored = files.union_sources(s, path)
+    return cells(stored.withColumn("dir", F.concat_ws(" ", "mount_path", "updated_at", "dir")))
 
 
 def _sums_table(s, d):
@@ -340,7 +341,7 @@ QUERIES = {
     "sink_dupes": (_dupes_lines, with_blocks(_DUPES_SQL)),
     "sink_where_json": (_where_json, _where_sql(BASE, 1, _JSON_SQL)),
     "export_usage_csv": (_groups_csv, with_blocks(_GROUPS_SQL)),
-    "write_dguta": (_dguta_table, with_blocks(f"SELECT * REPLACE (CAST(ft AS BIGINT) AS ft), {_MOUNT} AS mount_path, CAST(CASE WHEN {_MOUNT} IN ('/asia/', '/europe/') THEN 2 ELSE 1 END AS BIGINT) AS updated_at FROM cube WHERE dir <> '/' AND ({_MOUNT} IN ('/asia/', '/europe/') OR uid % 2 = 0)")),
+    "write_dguta": (_dguta_table, with_blocks(f"SELECT {CELLS_SQL.replace('dir, ', 'told AS dir, ', 1)} FROM (SELECT *, concat_ws(' ', {_MOUNT}, CASE WHEN {_MOUNT} IN ('/asia/', '/europe/') THEN 2 ELSE 1 END, dir) AS told FROM cube) WHERE dir <> '/' AND ({_MOUNT} IN ('/asia/', '/europe/') OR uid % 2 = 0)")),
     "write_basedirs": (_basedirs_table, with_blocks(_TABLES_SQL)),
     "stream_log_minutes": (_stream_minutes, with_blocks("SELECT run, count(DISTINCT floor(time / 60)) AS minutes, count(*) AS events FROM numbered WHERE event_type <> 'error' GROUP BY 1")),
     "stream_ui_sessions": (_stream_sessions, with_blocks('SELECT "user", session, groups, users, disktree FROM ui_s')),

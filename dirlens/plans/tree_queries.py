@@ -37,6 +37,13 @@ def flat(df):
 
 
 FLAT = "array_to_string(uids, ',') AS uids, array_to_string(gids, ',') AS gids"
+def cells(c):
+    """A cube's rows with their histograms as text, one for each time."""
+    hist = [F.concat_ws(",", *[C(f"{k}{i}") for i in range(9)]).alias(f"hist_{k}") for k in "am"]
+    return c.select("dir", "gid", "uid", C("ft").cast("long").alias("ft"), "age", "count", "size", "atime", "mtime", *hist)
+
+
+CELLS_SQL = "dir, gid, uid, CAST(ft AS BIGINT) AS ft, age, count, size, atime, mtime, " + ", ".join("concat_ws(',', " + ", ".join(f"{k}{i}" for i in range(9)) + f") AS hist_{k}" for k in "am")
 TOLD = ["dir", "count", "size", "atime", "mtime", "ft", "uids", "gids"]
 TOLD_SQL = f"dir, count, size, atime, mtime, ft, {FLAT}"
 
@@ -85,7 +92,7 @@ QUERIES = {
     "by_group_user": (lambda s, d: rollup.by_group_user(views.stats(s, d)), with_blocks("SELECT gid, uid, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM stats GROUP BY 1, 2")),
     "by_user_group_dir": (lambda s, d: rollup.by_user_group_dir(views.stats(s, d)), with_blocks(f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3")),
     "directory_rollup": (lambda s, d: rollup.directory_rollup(_named(s, d), C("dir"), ["entry_type"], [F.max("size").alias("largest"), F.count_distinct("uid").alias("users")]), with_blocks(f"SELECT dir, entry_type, CAST(max(size) AS BIGINT) AS largest, count(DISTINCT uid) AS users FROM (SELECT entry_type, size, uid, unnest({anc('dir')}) AS dir FROM named) GROUP BY 1, 2")),
-    "dguta": (lambda s, d: cube(s, d).withColumn("ft", C("ft").cast("long")), with_blocks("SELECT * REPLACE (CAST(ft AS BIGINT) AS ft) FROM cube")),
+    "dguta": (lambda s, d: cells(cube(s, d)), with_blocks(f"SELECT {CELLS_SQL} FROM cube")),
     "dguta_by_depth": (lambda s, d: _by_depth(cube(s, d)), with_blocks(f"SELECT CAST(length(dir) - length(replace(dir, '/', '')) - 1 AS INTEGER) AS depth, gid, CAST(ft AS BIGINT) AS ft, age, count(*) AS cells, count(DISTINCT dir) AS dirs, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime, {_HISTS} FROM cube GROUP BY 1, 2, 3, 4")),
     "dguta_hardlinks": (lambda s, d: rollup.hardlink_entries(rollup.enriched(_entries(s, d), REF)), with_blocks("SELECT d AS dir, inode, gid, uid, CAST(ft AS INTEGER) AS ft, size, atime, mtime FROM links")),
     "dir_summary": (lambda s, d: flat(summary(s, d)), with_blocks(f"SELECT * REPLACE ({FLAT.replace(' AS uids', ' AS uids').replace(' AS gids', ' AS gids')}) FROM summary")),
