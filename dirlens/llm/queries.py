@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .decontaminate import find_contaminated
+from .host_rules import judge
 from .jaccard_join import join_components
 from .line_dedup import dedup_lines
 from .lm_score import score_documents
@@ -69,8 +70,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op9_ann, op10_pii]
+    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op9_ann, op10_pii, op11_host_rules]
     return {f.__name__: f for f in found}
 
 
@@ -123,5 +128,29 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS component_id
 """
 
 
+_OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i) WHERE len(ws) >= 8),
+often AS (SELECT r, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM g SEMI JOIN often USING (r, g), range(8) AS j(j) GROUP BY 1),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT d.r, doc_id, host, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN covered USING (r)),
+f AS (SELECT *, n_words < 20 AS r1, 100 * n_repeat_words > 30 * n_words AS r2, 100 * n_dup_lines > 30 * n_lines AS r3,
+             10 * n_symbols > n_words AS r4, word_chars < 2 * n_words OR word_chars > 12 * n_words AS r5 FROM m),
+h AS (SELECT host, rule, count(*) AS n, count(*) FILTER (failed) AS k
+      FROM (SELECT host, unnest(range(5)) AS rule, unnest([r1, r2, r3, r4, r5]) AS failed FROM f WHERE host IS NOT NULL) GROUP BY 1, 2),
+p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS beyond FROM h GROUP BY 1),
+s AS (SELECT *, CASE WHEN beyond > 0 THEN greatest(m * (1 - m) / beyond - 1, 10) END AS s FROM p),
+rejected AS (SELECT DISTINCT host FROM h JOIN s USING (rule) WHERE k / n > 0.5 AND CASE WHEN s IS NULL THEN m ELSE (k + s * m) / (n + s) END > 0.5)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, r1 OR r2 AS base_failed, NOT (r1 OR r2) AND rejected.host IS NULL AS kept, rejected.host IS NOT NULL AS host_rejected
+FROM f LEFT JOIN rejected USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2_SQL, "op5_line_dedup": _OP5_SQL, "op6_jaccard_join": _OP6_SQL}
+    return {"op2_warc": _OP2_SQL, "op5_line_dedup": _OP5_SQL, "op6_jaccard_join": _OP6_SQL, "op11_host_rules": _OP11_SQL}
