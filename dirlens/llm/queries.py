@@ -17,6 +17,7 @@ from .pii import find_pii
 from .suffix_dedup import find_repeats
 from .toxicity import score_toxicity
 from .warc import read_packages, write_packages
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +75,12 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op9_ann, op10_pii, op11_host_rules]
+    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op9_ann, op10_pii, op11_host_rules, op13_whitening]
     return {f.__name__: f for f in found}
 
 
