@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align
 from .ann import nearest
 from .decontaminate import find_contaminated
 from .host_rules import judge
@@ -75,12 +76,18 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op9_ann, op10_pii, op11_host_rules, op13_whitening]
+    found = [op1_packing, op2_warc, op3_decontamination, op4_toxicity, op5_line_dedup, op6_jaccard_join, op7_lm_score, op8_suffix_dedup, op9_ann, op10_pii, op11_host_rules, op12_alignment, op13_whitening]
     return {f.__name__: f for f in found}
 
 
