@@ -62,8 +62,7 @@ def main() -> None:
     region = F.regexp_extract("path", "^(/[^/]+/)", 1)
     run("build_by_user_group_dir", lambda: rollup.by_user_group_dir(stats), 1)
     run("build_dupes_by_size", lambda: basedirs.dupes_by_size(stats, 50_000, region), 1)
-    mount = F.regexp_extract("dir", "^(/[^/]+/)", 1)
-    cube = rollup.dguta(stats, views.REF_TIME).where("dir <> '/'").withColumn("mount_path", mount)
+    cube = rollup.dguta(stats.withColumn("mount_path", region), views.REF_TIME, ("mount_path",))
     began = time.perf_counter()
     files.write_dguta(cube, f"{folder}/dguta", F.lit(views.REF_TIME))
     took["build_dguta"] = round(time.perf_counter() - began, 3)

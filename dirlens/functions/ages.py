@@ -22,7 +22,8 @@ def level(time: Column, ref_time: int) -> Column:
 
 def codes(a_level: Column, m_level: Column) -> Column:
     """0, then 1 to a_level by access, then 9 to 8 + m_level by change."""
-    return F.filter(F.sequence(F.lit(0), F.lit(16)), lambda a: (a == 0) | ((a <= 8) & (a <= a_level)) | ((a > 8) & (a - 8 <= m_level)))
+    by_access, by_change = F.sequence(F.lit(0), a_level), F.sequence(F.lit(9), m_level + 8)
+    return F.when(m_level > 0, F.concat(by_access, by_change)).otherwise(by_access)
 
 
 def bucket(time: Column, ref_time: int) -> Column:

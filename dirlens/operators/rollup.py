@@ -16,15 +16,17 @@ KEYS = ["gid", "uid", "ft"]
 CLASSES = ["a_level", "m_level", "a_bucket", "m_bucket"]
 
 
-def infill_dirs(stats: DataFrame) -> DataFrame:
-    """stats and a row for each directory that has none: size and inode 0, owner and times of the first path below it."""
+def infill_dirs(stats: DataFrame, dataset: tuple[str, ...] = ()) -> DataFrame:
+    """stats and a row for each directory that has none: size and inode 0, owner and times of the first path below it.
+
+    Each dataset (columns of stats) has its own directories up to the root, those it shares with others too."""
     first = F.min_by(F.struct("uid", "gid", "atime", "mtime", "ctime", "nlink"), "path").alias("s")
-    leaf = stats.groupBy(F.regexp_replace("path", "[^/]+/?$", "").alias("dir")).agg(F.min("path").alias("path"), first)
-    below = leaf.select(F.explode(paths.ancestors(F.col("dir"))).alias("dir"), "path", "s")
-    told = below.groupBy("dir").agg(F.min_by("s", "path").alias("s"))
-    missing = told.join(stats.where("entry_type = 'd'").select(F.col("path").alias("dir")), "dir", "left_anti")
+    leaf = stats.groupBy(*dataset, F.regexp_replace("path", "[^/]+/?$", "").alias("dir")).agg(F.min("path").alias("path"), first)
+    below = leaf.select(*dataset, F.explode(paths.ancestors(F.col("dir"))).alias("dir"), "path", "s")
+    told = below.groupBy(*dataset, "dir").agg(F.min_by("s", "path").alias("s"))
+    missing = told.join(stats.where("entry_type = 'd'").select(*dataset, F.col("path").alias("dir")), [*dataset, "dir"], "left_anti")
     zero = F.lit(0).cast("long")
-    rows = missing.select(F.col("dir").alias("path"), zero.alias("size"), "s.uid", "s.gid", "s.atime", "s.mtime", "s.ctime", F.lit("d").alias("entry_type"), zero.alias("inode"), "s.nlink", zero.alias("device"), zero.alias("apparent_size"))
+    rows = missing.select(*dataset, F.col("dir").alias("path"), zero.alias("size"), "s.uid", "s.gid", "s.atime", "s.mtime", "s.ctime", F.lit("d").alias("entry_type"), zero.alias("inode"), "s.nlink", zero.alias("device"), zero.alias("apparent_size"))
     return stats.select(*rows.columns).unionByName(rows)
 
 
@@ -45,33 +47,57 @@ def _summed(rows: DataFrame, keys: list[str], more: list[Column] = ()) -> DataFr
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("atime").alias("atime"), F.max("mtime").alias("mtime"), *more)
 
 
-def _plain(entries: DataFrame, ref_time: int) -> DataFrame:
+def _plain(entries: DataFrame, ref_time: int, dataset: tuple[str, ...] = ()) -> DataFrame:
     rows = entries.where("NOT (nlink > 1 AND inode <> 0)").withColumn("n", F.lit(1).cast("long")).withColumn("mtime", F.greatest(F.lit(0), "mtime"))
-    leaf = _summed(_measured(rows, ref_time), ["dir", *KEYS, *CLASSES])
+    leaf = _summed(_measured(rows, ref_time), [*dataset, "dir", *KEYS, *CLASSES])
     return leaf.withColumn("dir", F.explode(paths.ancestors(F.col("dir"))))
 
 
-def hardlink_entries(entries: DataFrame) -> DataFrame:
-    """One entry per directory and inode of linked files: owner of the first path, all types, largest size, oldest
-    access and latest change; merged per own directory first, then over ancestors."""
+def hardlink_entries(entries: DataFrame, dataset: tuple[str, ...] = ()) -> DataFrame:
+    """One entry per directory and inode (of a dataset) of linked files: owner of the first path, all types, largest
+    size, oldest access and latest change; merged per own directory first, then over ancestors."""
     merged = [F.min(F.struct("path", "gid", "uid")).alias("first"), F.bit_or("ft").alias("ft"), F.max("size").alias("size"), F.min("atime").alias("atime"), F.max("mtime").alias("mtime")]
     rows = entries.where("nlink > 1 AND inode <> 0")
-    leaf = rows.groupBy("dir", "inode").agg(*merged)
+    keys = [*dataset, "dir", "inode"]
+    leaf = rows.groupBy(*keys).agg(*merged)
     again = [F.min("first").alias("first"), F.bit_or("ft").alias("ft"), F.max("size").alias("size"), F.min("atime").alias("atime"), F.max("mtime").alias("mtime")]
-    every = leaf.withColumn("dir", F.explode(paths.ancestors(F.col("dir")))).groupBy("dir", "inode").agg(*again)
-    return every.select("dir", "inode", F.col("first.gid").alias("gid"), F.col("first.uid").alias("uid"), "ft", "size", "atime", "mtime")
-
-
-def dguta(stats: DataFrame, ref_time: int) -> DataFrame:
-    """Per directory, gid, uid, type and age: count, size, oldest access, latest change, and 9 + 9 histogram counts."""
-    entries = enriched(infill_dirs(stats), ref_time)
-    linked = _measured(hardlink_entries(entries).withColumn("n", F.lit(1).cast("long")), ref_time)
-    keys = ["dir", *KEYS, *CLASSES]
-    levels = _summed(_plain(entries, ref_time).unionByName(_summed(linked, keys)), keys)
-    aged = levels.withColumn("age", F.explode(ages.codes(F.col("a_level"), F.col("m_level"))))
-    hist = [F.sum(F.when(F.col(f"{k}_bucket") == i, F.col("n")).otherwise(F.lit(0).cast("long"))).alias(f"{k}{i}") for k in "am" for i in range(9)]
-    out = _summed(aged, ["dir", *KEYS, "age"], hist)
-    return out.select("dir", *KEYS, "age", F.col("n").alias("count"), "size", F.coalesce("atime", F.lit(0)).alias("atime"), F.coalesce("mtime", F.lit(0)).alias("mtime"), *HIST)
+    every = leaf.withColumn("dir", F.explode(paths.ancestors(F.col("dir")))).groupBy(*keys).agg(*again)
+    return every.select(*keys, F.col("first.gid").alias("gid"), F.col("first.uid").alias("uid"), "ft", "size", "atime", "mtime")
+
+
+def dguta(stats: DataFrame, ref_time: int, dataset: tuple[str, ...] = ()) -> DataFrame:
+    """Per directory, gid, uid, type and age: count, size, oldest access, latest change, and 9 + 9 histogram counts.
+
+    With `dataset` (columns of stats, such as mount_path) each dataset has rows of its own, of the directories above
+    its mount up to / too. They are partial states: a reader merges those of a directory by their sums, least and
+    greatest, as dir_summary does, so datasets can be replaced one by one."""
+    entries = enriched(infill_dirs(stats, dataset), ref_time)
+    linked = _measured(hardlink_entries(entries, dataset).withColumn("n", F.lit(1).cast("long")), ref_time)
+    keys = [*dataset, "dir", *KEYS, *CLASSES]
+    levels = _summed(_plain(entries, ref_time, dataset).unionByName(_summed(linked, keys)), keys)
+    return _cells(levels, [*dataset, "dir", *KEYS])
+
+
+def _cells(levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums by classes to a row for each age code with its histograms.
+
+    Rows are dealt out by the keys once, before ages multiply them. Most keys have one class; their ages are copies of
+    it. Only the rows of the others are summed up by age, where they are."""
+    grouped = levels.groupBy(*keys).agg(F.collect_list(F.struct(*CLASSES, "n", "size", "atime", "mtime")).alias("x"))  # a few hundred classes at most
+    age = F.explode(ages.codes(F.col("a_level"), F.col("m_level"))).alias("age")
+    hist = [F.when(F.col(f"{k}_bucket") == i, F.col("n")).otherwise(F.lit(0).cast("long")).alias(f"{k}{i}") for k in "am" for i in range(9)]
+    one = grouped.where(F.size("x") == 1).select(*keys, F.col("x")[0].alias("x")).select(*keys, "x.*").select(*keys, age, "n", "size", "atime", "mtime", *hist)
+    many = grouped.where(F.size("x") > 1).select(*keys, F.inline("x")).select(*keys, age, "n", "size", "atime", "mtime", "a_bucket", "m_bucket")
+    many = _summed(many, [*keys, "age"], [F.sum(h).alias(h_) for h, h_ in zip(hist, HIST, strict=True)])
+    out = one.unionByName(many)
+    return out.select(*keys, "age", F.col("n").alias("count"), "size", F.coalesce("atime", F.lit(0)).alias("atime"), F.coalesce("mtime", F.lit(0)).alias("mtime"), *HIST)
+
+
+def merge_cubes(cube: DataFrame) -> DataFrame:
+    """The cubes of several datasets as one: their partial states of each directory, gid, uid, type and age merged."""
+    least = F.coalesce(F.min(F.when(F.col("atime") != 0, F.col("atime"))), F.lit(0)).alias("atime")
+    sums = [F.sum(c).alias(c) for c in ("count", "size")]
+    return cube.groupBy("dir", *KEYS, "age").agg(*sums, least, F.max("mtime").alias("mtime"), *[F.sum(h).alias(h) for h in HIST])
 
 
 def directory_rollup(entries: DataFrame, directory: Column, keys: list[str], aggs: list[Column]) -> DataFrame:

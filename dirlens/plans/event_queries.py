@@ -13,7 +13,7 @@ from dirlens.streaming import jobs as streams
 from . import sql as S
 from . import views
 from .sql import with_blocks
-from .tree_queries import BASE, CELLS_SQL, _where_sql, cells, cube, summary
+from .tree_queries import BASE, CELLS_SQL, TOLD, TOLD_SQL, _where_sql, cells, flat, summary
 from .usage_queries import group_usage, rules, user_usage
 
 C = F.col
@@ -132,13 +132,25 @@ def _kept(s, df):
     return s.read.parquet(path)
 
 
-def _mounted(df, column="dir"):
-    return df.where(C(column) != "/").withColumn("mount_path", F.regexp_extract(column, "^(/[^/]+/)", 1))
+def _mounted(df, column="path", parts=1):
+    """Rows with the mount their path lies in: its first component, or two."""
+    return df.withColumn("mount_path", F.regexp_extract(column, rf"^((?:/[^/]+){{{parts}}}/)", 1))
+
+
+def _stored_cube(s, d, parts=2):
+    """A dataset for each of the mounts, all of which share the directories above."""
+    path = files.scratch(s)
+    files.write_dguta(rollup.dguta(_mounted(views.stats(s, d), parts=parts), views.REF_TIME, ("mount_path",)), path, F.length("mount_path"))
+    return files.union_sources(s, path)
+
+
+def _root_summary(s, d, mask=tree.FILES):
+    return rollup.dir_summary(rollup.guta_filter(_stored_cube(s, d), mask=mask))
 
 
 def _dguta_table(s, d):
     path = files.scratch(s)
-    own = _kept(s, _mounted(cube(s, d)))
+    own = _kept(s, rollup.dguta(_mounted(views.stats(s, d)), views.REF_TIME, ("mount_path",)))
     files.write_dguta(own.where("uid % 2 = 0"), path, F.lit(1))
     files.write_dguta(own.where("mount_path IN ('/asia/', '/europe/')"), path, F.lit(2))  # replaces these two
     stored = files.union_sources(s, path)
@@ -147,7 +159,7 @@ def _dguta_table(s, d):
 
 def _sums_table(s, d):
     path = files.scratch(s)
-    files.write_dguta(_mounted(rollup.by_user_group_dir(views.stats(s, d))), path, F.length("mount_path"))
+    files.write_dguta(rollup.by_user_group_dir(_mounted(views.stats(s, d)), 0, ("mount_path",)), path, F.length("mount_path"))
     return path
 
 
@@ -252,7 +264,7 @@ def _stream_ingest(s, d):
     stats = _kept(s, views.stats(s, d))
     for version, some in ((1, "uid % 2 = 0"), (2, "true")):
         stats.where(some).withColumn("version", F.lit(version)).repartition(3).write.mode("append").parquet(source)
-    partial = lambda rows: _mounted(rollup.by_user_group_dir(rows, keys=("version",)))
+    partial = lambda rows: rollup.by_user_group_dir(_mounted(rows), keys=("version", "mount_path"))
     merge = lambda parts: parts.groupBy("uid", "gid", "dir", "mount_path").agg(F.sum("count").alias("count"), F.sum("size").alias("size"))
     stream = s.readStream.schema(s.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
     streams.ingest(stream, partial, merge, out, files.scratch(s)).awaitTermination()
@@ -260,6 +272,13 @@ def _stream_ingest(s, d):
 
 
 _SUMS_SQL = f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({S.anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3"
+_MOUNT_SUMS_SQL = f"SELECT uid, gid, dir, mount_path, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, regexp_extract(path, '^(/[^/]+/)', 1) AS mount_path, unnest({S.anc('dir')}) AS dir FROM files) GROUP BY 1, 2, 3, 4"
+#: All entries of each dataset in each directory, two components deep at most: links once, and the directories themselves.
+_DATASETS_SQL = f"""
+SELECT mount_path, d AS dir, CAST(sum(n) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size FROM (
+  SELECT mount_path, d, 1 AS n, max(size) AS size FROM (SELECT *, regexp_extract(path, '^(/[^/]+/[^/]+/)', 1) AS mount_path, unnest({S.anc('dir')}) AS d FROM files) GROUP BY mount_path, d, CASE WHEN nlink > 1 AND inode <> 0 THEN concat('i', inode) ELSE path END
+  UNION ALL SELECT mount_path, d, count(*), 0 FROM (SELECT mount_path, x, unnest({S.anc('x')}) AS d FROM (SELECT DISTINCT regexp_extract(path, '^(/[^/]+/[^/]+/)', 1) AS mount_path, unnest({S.anc('dir')}) AS x FROM files)) GROUP BY 1, 2)
+WHERE len(string_split(d, '/')) <= 4 GROUP BY 1, 2"""
 _MOUNT = "regexp_extract(dir, '^(/[^/]+/)', 1)"
 _NAMES = "[" + ", ".join(f"'{n}'" for n in filetypes.NAMES.values()) + "]"
 _BITS = "[" + ", ".join(map(str, filetypes.NAMES)) + "]"
@@ -299,6 +318,10 @@ _EV = "run, file, line_no, time, opens, reads, bytes, closes, stats, writes, wri
 _told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
 
 QUERIES = {
+    "where_root": (lambda s, d: flat(tree.where(_root_summary(s, d), "/", 2)).select(*TOLD), _where_sql("/", 2, f"SELECT {TOLD_SQL} FROM ends")),
+    "dir_info_root": (lambda s, d: flat(tree.dir_info(_root_summary(s, d), "/")).select(*TOLD, "kind"), with_blocks(f"SELECT {TOLD_SQL}, CASE WHEN dir = '/' THEN 'current' ELSE 'child' END AS kind FROM kids WHERE dir = '/' OR parent_dir = '/'")),
+    "merge_cubes": (lambda s, d: cells(rollup.merge_cubes(_stored_cube(s, d)).where(f"ft & {filetypes.DIR} = 0")), with_blocks(f"SELECT {CELLS_SQL} FROM cube WHERE ft & {filetypes.DIR} = 0")),
+    "dataset_dirs": (lambda s, d: _stored_cube(s, d).where((C("age") == 0) & (paths.depth(C("dir")) <= 2)).groupBy("mount_path", "dir").agg(F.sum("count").alias("count"), F.sum("size").alias("size")), with_blocks(_DATASETS_SQL)),
     "scan_stats": (lambda s, d: _scanned(s, d).drop("source"), with_blocks("SELECT * FROM stats")),
     "scan_multi": (lambda s, d: _scanned(s, d).groupBy("entry_type").agg(F.count("*").alias("rows"), F.sum("size").alias("size")), with_blocks("SELECT entry_type, count(*) AS rows, CAST(sum(size) AS BIGINT) AS size FROM stats GROUP BY 1")),
     "load_quotas": (lambda s, d: files.load_quotas(s, _lines(s, _quota_lines(s, d))).drop("ordinal"), "SELECT c_custkey AS gid, concat('/c', c_custkey % 7, '/') AS disk, c_custkey * 1000 AS size_quota, CAST(c_nationkey + 1 AS BIGINT) AS inode_quota FROM customer"),
@@ -341,13 +364,13 @@ QUERIES = {
     "sink_dupes": (_dupes_lines, with_blocks(_DUPES_SQL)),
     "sink_where_json": (_where_json, _where_sql(BASE, 1, _JSON_SQL)),
     "export_usage_csv": (_groups_csv, with_blocks(_GROUPS_SQL)),
-    "write_dguta": (_dguta_table, with_blocks(f"SELECT {CELLS_SQL.replace('dir, ', 'told AS dir, ', 1)} FROM (SELECT *, concat_ws(' ', {_MOUNT}, CASE WHEN {_MOUNT} IN ('/asia/', '/europe/') THEN 2 ELSE 1 END, dir) AS told FROM cube) WHERE dir <> '/' AND ({_MOUNT} IN ('/asia/', '/europe/') OR uid % 2 = 0)")),
+    "write_dguta": (_dguta_table, with_blocks(f"SELECT {CELLS_SQL.replace('dir, ', 'told AS dir, ', 1)} FROM (SELECT *, concat_ws(' ', mount_path, CASE WHEN mount_path IN ('/asia/', '/europe/') THEN 2 ELSE 1 END, dir) AS told FROM ds_cube) WHERE mount_path IN ('/asia/', '/europe/') OR uid % 2 = 0")),
     "write_basedirs": (_basedirs_table, with_blocks(_TABLES_SQL)),
     "stream_log_minutes": (_stream_minutes, with_blocks("SELECT run, count(DISTINCT floor(time / 60)) AS minutes, count(*) AS events FROM numbered WHERE event_type <> 'error' GROUP BY 1")),
     "stream_ui_sessions": (_stream_sessions, with_blocks('SELECT "user", session, groups, users, disktree FROM ui_s')),
     "stream_history": (_stream_history, with_blocks("SELECT * FROM history")),
     "stream_ingest_stats": (_stream_ingest, with_blocks(_SUMS_SQL)),
-    "union_sources": (lambda s, d: files.union_sources(s, _sums_table(s, d)), with_blocks(f"SELECT *, {_MOUNT} AS mount_path, CAST(length({_MOUNT}) AS BIGINT) AS updated_at FROM ({_SUMS_SQL})")),
+    "union_sources": (lambda s, d: files.union_sources(s, _sums_table(s, d)), with_blocks(f"SELECT *, CAST(length(mount_path) AS BIGINT) AS updated_at FROM ({_MOUNT_SUMS_SQL})")),
     "union_sources_dir": (lambda s, d: files.union_sources(s, _sums_table(s, d), "/asia/", "/asia/nation_1").drop("mount_path", "updated_at"), with_blocks(f"SELECT * FROM ({_SUMS_SQL}) WHERE starts_with(dir, '/asia/nation_1')")),
     "export_users_csv": (_users_csv, with_blocks(_USERS_SQL)),
     "stream_log_text": (_stream_log_text, with_blocks("SELECT concat('run=', run) AS run, CAST(floor(time / 60) AS BIGINT) * 60 AS minute, CAST(sum(coalesce(opens, 0) + coalesce(reads, 0) + coalesce(stats, 0) + coalesce(writes, 0)) AS BIGINT) AS calls, count(*) AS events FROM ev WHERE event_type <> 'error' GROUP BY 1, 2")),

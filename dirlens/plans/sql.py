@@ -75,6 +75,21 @@ CTE = {
 }
 
 
+def _by_dataset() -> dict[str, str]:
+    """The blocks from stats to cube for each mount_path by itself, under names that begin with ds_."""
+    names = ["stats", "below", "infill", "entries", "named", "typed", "spread", "links", "cells", "marked", "aged", "cube"]
+    out = {"ds_stats": "SELECT *, regexp_extract(path, '^(/[^/]+/)', 1) AS mount_path FROM stats"}
+    for name in names[1:]:
+        text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 ds_\2", CTE[name]).replace("GROUP BY d", "GROUP BY mount_path, d")
+        if name not in ("named", "spread", "marked", "aged"):  # these select all columns
+            text = re.sub(r"SELECT (?!\*)", "SELECT mount_path, ", text)
+        out[f"ds_{name}"] = text
+    return out
+
+
+CTE |= _by_dataset()
+
+
 def with_blocks(query: str) -> str:
     """The query after all blocks it needs."""
     needed: set[str] = set()

@@ -11,6 +11,7 @@ from dirlens.functions import filetypes, formats, paths
 
 STATS = "path string, size long, uid long, gid long, atime long, mtime long, ctime long, entry_type string, inode long, nlink long, device long, apparent_size long"
 _COLUMNS = [c.split()[0] for c in STATS.split(", ")]
+SUBTREE = 4
 
 
 def scratch(spark: SparkSession) -> str:
@@ -124,16 +125,22 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def write_dguta(cube: DataFrame, path: str, updated_at: Column) -> None:
     """A partition per mount_path (absolute, with a slash at its end), with the time its data is of; only those present
-    are replaced. Files hold ranges of directories, in order, so a large mount is many tasks and readers skip files."""
+    are replaced. A mount has rows of the directories above it too, which readers merge over the mounts.
+
+    Rows are dealt out by mount and the first SUBTREE components of their directory, and lie in order in each file: a
+    subtree is a run of few files, readers skip the others' row groups, and Spark splits what is too large for a task.
+    No ranges are sampled, which would compute the cube twice."""
     ok = F.startswith("mount_path", F.lit("/")) & F.endswith("mount_path", F.lit("/"))
     mount = F.when(ok, F.col("mount_path")).otherwise(F.raise_error(F.concat(F.lit("not a mount path: "), F.col("mount_path"))).cast("string"))
     rows = cube.withColumn("updated_at", updated_at.cast("long")).withColumn("mount_path", mount)
-    order = ("mount_path", "dir")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(path)
+    subtree = F.regexp_extract("dir", rf"^((?:/[^/]*){{0,{SUBTREE}}})", 1)
+    dealt = rows.withColumn("__subtree", subtree).hint("rebalance", "mount_path", "__subtree").drop("__subtree")
+    dealt.sortWithinPartitions("mount_path", "dir").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(path)
 
 
 def union_sources(spark: SparkSession, path: str, mount: str | None = None, directory: str | None = None) -> DataFrame:
-    """All mounts as one, or one mount's partition alone, or what lies at or below a directory."""
+    """All mounts as one, or one mount's partition alone, or what lies at or below a directory. A directory above
+    several mounts has rows of each; sums over them (dir_summary, merge_cubes) tell it as one."""
     every = spark.read.parquet(path)
     every = every if mount is None else every.where(F.col("mount_path") == mount)
     return every if directory is None else every.where(F.startswith("dir", F.lit(directory)))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dirlens.operators import basedirs, rollup, tree, usage
+from dirlens.sources import files
 
 
 def _random_dirs(rng):
@@ -124,3 +125,43 @@ def test_unauthorised(spark):
     df = spark.createDataFrame([("/", [1, 2]), ("/a/", [2])], "dir string, gids array<long>")
     assert {r.dir: r.noauth for r in tree.mark_noauth(df, [1]).collect()} == {"/": False, "/a/": True}
     assert not tree.mark_noauth(df, None).where(F.col("noauth")).count()
+
+
+def _dataset(spark, rows):
+    """rows: (mount_path, path, size, time) of user 11 and group 1."""
+    zero = F.lit(0).cast("long")
+    df = spark.createDataFrame(rows, "mount_path string, path string, size long, atime long")
+    more = {"uid": F.lit(11).cast("long"), "gid": F.lit(1).cast("long"), "mtime": F.col("atime"), "ctime": F.col("atime"), "entry_type": F.lit("f"), "inode": zero, "nlink": F.lit(1).cast("long"), "device": zero, "apparent_size": F.col("size")}
+    return df.withColumns(more)
+
+
+def test_tree_over_two_stored_datasets(spark, tmp_path):
+    """Directories above both mounts are told as one; fixed values."""
+    ref = 20 * 365 * 86400
+    for mount, path, time in (("/a/b/c/d/", "/a/b/c/d/file.bam", 20), ("/a/b/c/e/", "/a/b/c/e/file2.bam", 15)):
+        files.write_dguta(rollup.dguta(_dataset(spark, [(mount, path, 1, time)]), ref, ("mount_path",)), str(tmp_path / "cube"), F.lit(100 if time == 20 else 200))
+    stored = files.union_sources(spark, str(tmp_path / "cube"))
+    summary = rollup.dir_summary(rollup.guta_filter(stored, mask=tree.FILES))
+    told = lambda df: sorted((r.dir, r["count"], r["size"], r.atime, r.mtime, r.uids, r.gids) for r in df.collect())
+    whole = ("/a/b/c/", 2, 2, 15, 20, [11], [1])
+    assert told(tree.where(summary, "/", 0)) == [whole]
+    assert told(tree.where(summary, "/", 1)) == [whole, ("/a/b/c/d/", 1, 1, 20, 20, [11], [1]), ("/a/b/c/e/", 1, 1, 15, 15, [11], [1])]
+    assert told(tree.dir_info(summary, "/a/b/")) == [("/a/b/", 2, 2, 15, 20, [11], [1]), whole]
+    assert sorted(map(tuple, files.mount_timestamps(stored).collect())) == [("/a/b/c/d/", 100), ("/a/b/c/e/", 200)]
+    # one dataset again, with two files more: the other one's rows of shared directories stay
+    again = [("/a/b/c/e/", f"/a/b/c/e/x/{n}.bam", 5, 30) for n in range(3)]
+    files.write_dguta(rollup.dguta(_dataset(spark, again), ref, ("mount_path",)), str(tmp_path / "cube"), F.lit(300))
+    summary = rollup.dir_summary(rollup.guta_filter(files.union_sources(spark, str(tmp_path / "cube")), mask=tree.FILES))
+    assert told(tree.where(summary, "/", 1)) == [("/a/b/c/", 4, 16, 20, 30, [11], [1]), ("/a/b/c/d/", 1, 1, 20, 20, [11], [1]), ("/a/b/c/e/x/", 3, 15, 30, 30, [11], [1])]
+
+
+def test_merged_cubes_of_datasets_equal_one_cube(spark):
+    """Of files without links across datasets, in one listing or in two; but for the directories each of them has."""
+    rng = random.Random(4)
+    rows = [(f"/{rng.choice('ab')}/", rng.choice(["", "c/", "c/d/", "tmp/"]), f"f{i}{rng.choice(['.bam', '.txt', '.log'])}", rng.randint(1, 99), rng.choice([-5, 0, 10**8, 5 * 10**8])) for i in range(120)]
+    df = _dataset(spark, [(m, f"{m}{d}{n}", size, t) for m, d, n, size, t in rows])
+    df = df.withColumn("inode", F.when(F.col("size") < 30, F.col("size") + F.when(F.col("mount_path") == "/a/", 1000).otherwise(0)).otherwise(0).cast("long")).withColumn("nlink", F.when(F.col("inode") > 0, 2).otherwise(1).cast("long"))
+    ref = 10**9
+    told = lambda c: sorted(tuple(r) for r in c.where("ft & 16384 = 0").select("dir", "gid", "uid", "ft", "age", "count", "size", "atime", "mtime", *rollup.HIST).collect())
+    one = rollup.dguta(df.drop("mount_path"), ref)
+    assert told(rollup.merge_cubes(rollup.dguta(df, ref, ("mount_path",)))) == told(one)
