@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import pieces, stored
 from .tokens import byte_letters
 
-CHUNK, NEAR, FAN, MOST_HELD = 1 << 16, 1 << 10, 16, 1 << 27
+CHUNK, NEAR, FAN, MOST_HELD, AT_ONCE = 1 << 16, 1 << 10, 16, 1 << 26, 1 << 18
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -130,6 +130,10 @@ class Aligner:
         parted = all(self._a(f" {x} {y}") == self._a(f" {x}") + self._a(f" {y}") for x in probe for y in probe)
         self.units = parted and not any(re.search("[^▁]▁", p) for p in plain)
         self.space = self.b.piece_to_id("▁")
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # how an id is written inside and at the end of its side of a group: A's, then B's
+        ids = [f"{i}{end}".encode() for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(n)]
+        self.written, self.written_sizes = ids, np.array(list(map(len, ids)), np.int64)
         self.forget()
 
     def _a(self, text: str) -> list[int]:
@@ -142,7 +146,7 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.text: list[str] = []
+        self.text, self.text_at = bytearray(), array("q", [0])
         self.numbers = array("q")  # per unit: whether it is whole, A's tokens, B's tokens, groups, links
         self.at, self.pairs, self.times = array("q", [0]), array("q"), array("q")
 
@@ -160,19 +164,78 @@ class Aligner:
         """Keep what is to know of units; beyond MOST_HELD bytes or so, of these alone."""
         if self.held > MOST_HELD:
             self.forget()
-        new = [u for u in units if u not in self.known]
-        for unit, (whole, a, a_ends, b, b_ends) in zip(new, self.tokens(new) if new else (), strict=True):
+        new, odd, size = [], [], 0
+        for unit in units:
+            if unit in self.known:
+                continue
+            # what can't stand before another unit, is long, or may be given back changed, is looked at alone
+            if len(unit) > NEAR or unit[-1].isspace() or "▁" in unit:
+                odd.append(unit)
+                continue
+            new.append(unit)
+            size += len(unit)
+            if size > AT_ONCE:
+                odd += self._learn_joined(new)
+                new, size = [], 0
+        odd += self._learn_joined(new) if new else []
+        for unit, (whole, a, a_ends, b, b_ends) in zip(odd, self.tokens(odd) if odd else (), strict=True):
             groups = fragment(a, a_ends, b, b_ends, at_start=True).groups if whole else []
             links: Counter = Counter()
             for _, x, y in groups:
                 add_links(links, x, y)
-            self.known[unit] = len(self.text)
-            self.text.append(";".join([group_text(x, y) for _, x, y in groups]))
-            self.numbers.extend((whole, len(a), len(b), len(groups), sum(links.values())))
-            self.held += 256 + 2 * len(unit) + len(self.text[-1]) + 16 * len(links)
-            self.pairs.extend(links.keys())
-            self.times.extend(links.values())
-            self.at.append(len(self.pairs))
+            text = "".join([f"{group_text(x, y)};" for _, x, y in groups]).encode()
+            pair, times = np.array(list(links.keys()), np.int64), np.array(list(links.values()), np.int64)
+            self._keep([unit], np.array([[whole, len(a), len(b), len(groups), times.sum()]]), text, np.array([len(text)]), pair, times, np.array([len(pair)]))
+
+    def _keep(self, units: list[str], numbers: np.ndarray, text: bytes, text_ends: np.ndarray, pair: np.ndarray, times: np.ndarray, pair_ends: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.text_at.frombytes((text_ends + len(self.text)).astype(np.int64).tobytes())
+        self.at.frombytes((pair_ends + len(self.pairs)).astype(np.int64).tobytes())
+        self.text += text
+        self.numbers.frombytes(numbers.astype(np.int64).tobytes())
+        self.pairs.frombytes(pair.astype(np.int64).tobytes())
+        self.times.frombytes(times.astype(np.int64).tobytes())
+        self.held += 200 * len(units) + sum(map(len, units)) + len(text) + 16 * len(pair)
+
+    def _learn_joined(self, units: list[str]) -> list[str]:
+        """Learn units as one text, in which they come out as they do alone; those to look at alone instead."""
+        joined = "".join(units)
+        raw = joined.encode()
+        a, b = np.array(self._a(joined), np.int64), np.array(self.b.encode(joined[1:]), np.int64)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in b.tolist()]) != raw:
+            return units
+        ends = np.cumsum([len(u.encode()) for u in units])
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        if not np.isin(ends, common, assume_unique=True).all():
+            return units
+        unit_of = np.searchsorted(ends, common)
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        n_a, n_b = np.bincount(a_group), np.bincount(b_group)
+        per_unit = lambda of: np.bincount(of, minlength=len(units))
+        # every A token with all B tokens of its group
+        many = n_b[a_group]
+        first_b = (np.cumsum(n_b) - n_b)[a_group]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first_b, many)
+        item, pair, times = summed(np.repeat(unit_of[a_group], many), np.repeat(a, many) << 32 | b[place], np.ones(len(place), np.int64))
+        # the groups as text: A's ids of a group, then B's
+        last_a, last_b = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        written = np.concatenate([a + n * last_a, 2 * n + b + m * last_b])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        written = written[order]
+        text = b"".join([self.written[i] for i in written.tolist()])
+        told = np.concatenate([unit_of[a_group], unit_of[b_group]])[order]
+        text_ends = np.cumsum(np.bincount(told, self.written_sizes[written], minlength=len(units)).astype(np.int64))
+        numbers = np.stack([np.ones(len(units)), per_unit(unit_of[a_group]), per_unit(unit_of[b_group]), per_unit(unit_of), np.bincount(unit_of[a_group], many, minlength=len(units))], axis=1)
+        self._keep(units, numbers, text, text_ends, pair, times, np.cumsum(per_unit(item)))
+        return []
+
+    def texts(self, unit: np.ndarray) -> bytes:
+        """The groups of consecutive units, joined by semicolons."""
+        text, at = self.text, self.text_at
+        return b"".join([text[at[u] : at[u + 1]] for u in unit.tolist()])[:-1]
 
     def told(self, unit: np.ndarray) -> np.ndarray:
         return np.frombuffer(self.numbers, np.int64).reshape(-1, 5)[unit] if len(unit) else np.zeros((0, 5), np.int64)
@@ -246,8 +309,8 @@ def _short_blocks(docs: DataFrame, byte_level: str, by_piece: str) -> DataFrame:
             bad = np.bincount(item, 1 - told[:, 0], minlength=n) > 0
             numbers = np.stack([np.bincount(item, told[:, k], minlength=n).astype(np.int64) for k in range(1, 5)], axis=1)
             numbers[bad] = 0
-            ends, text = np.cumsum(count), own.text
-            sha = ["" if bad[i] or not count[i] else hashlib.sha256(";".join([text[u] for u in unit[ends[i] - count[i] : ends[i]].tolist()]).encode()).hexdigest() for i in range(n)]
+            ends = np.cumsum(count)
+            sha = ["" if bad[i] or not count[i] else hashlib.sha256(own.texts(unit[ends[i] - count[i] : ends[i]])).hexdigest() for i in range(n)]
             good = ~bad[item]
             yield pa.RecordBatch.from_arrays(_block(block, batch.column(0).to_pylist(), numbers, own.links(item[good], unit[good]), sha), _names(_BLOCK))
             block += 1
@@ -319,7 +382,7 @@ def _chunk_blocks(cuts: DataFrame, byte_level: str, by_piece: str) -> DataFrame:
                     found = found + part
                 held = len(before[0].groups) if before else 0
                 texts = [group_text(a, b) for _, a, b in found.groups]
-                text = ";".join([*texts[:held], *[own.text[u] for u in unit.tolist()], *texts[held:]])
+                text = ";".join([*texts[:held], *([own.texts(unit).decode()] if middle else []), *texts[held:]])
                 links: Counter = Counter()
                 for _, a, b in found.groups:
                     add_links(links, a, b)
