@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 COUNTERS = ("opens", "reads", "bytes", "closes", "stats", "writes", "write_bytes")
 KEYS = {"opens": "opens", "reads": "reads", "bytes": "bytes", "closes": "closes", "stats": "stats", "writes": "writes", "write_bytes": "writeBytes"}
+CALLS = ("opens", "reads", "closes", "stats", "writes")
+#: Lines of a block, within which a window runs; only a row per block goes through a window over a whole file.
+BLOCK = 1 << 14
 _PAIR = r'([^\s=]+)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
@@ -27,27 +30,47 @@ def _time() -> Column:
     return F.unix_timestamp(F.try_to_timestamp(_at("t"), F.lit("yyyy-MM-dd'T'HH:mm:ssZ")))
 
 
-def _routed(parsed: DataFrame) -> DataFrame:
-    """Lines about system calls and error lines (bad), with the file they are of and its host.
+def named(parsed: DataFrame) -> DataFrame:
+    """Lines about system calls and error lines (bad), with the file they are of and the host they name, if any.
 
-    An event is of the file it names (its last component), else of its log; an error is of its log."""
+    An event is of the file it names (its last component), else of its log; an error is of its log. Row by row, so of
+    streams too."""
     bad = F.coalesce(_at("lvl"), F.lit("")) == "eror"
     own = parsed.where(bad | _at("msg").isNull() | _at("msg").isin("syscalls", "syscall logging"))
-    named = F.nullif(F.regexp_extract(F.coalesce(_at("file"), F.lit("")), "([^/]+)/*$", 1), F.lit(""))
-    file = F.when(bad, F.col("file")).otherwise(F.coalesce(named, F.col("file")))
+    told = F.nullif(F.regexp_extract(F.coalesce(_at("file"), F.lit("")), "([^/]+)/*$", 1), F.lit(""))
+    file = F.when(bad, F.col("file")).otherwise(F.coalesce(told, F.col("file")))
     host = F.when(~bad & (_at("host") != ""), _at("host"))
-    return fill_host(own.select("run", F.col("file").alias("log"), file.alias("file"), "line_no", "kv", bad.alias("bad"), host.alias("host")))
+    return own.select("run", F.col("file").alias("log"), file.alias("file"), "line_no", "kv", bad.alias("bad"), host.alias("host"))
+
+
+def _routed(parsed: DataFrame) -> DataFrame:
+    return fill_host(named(parsed))
 
 
 def fill_host(rows: DataFrame) -> DataFrame:
-    """A host holds for its file until an event names another; logs are read one after the other."""
-    w = Window.partitionBy("run", "file").orderBy("log", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("host", F.last("host", ignorenulls=True).over(w))
+    """A host holds for its file until an event names another; logs are read one after the other.
+
+    A file's lines are dealt out in blocks: each block's last host is carried over the blocks, then within each block,
+    so that one huge log is many tasks."""
+    keys, order = ["run", "file"], ["log", "block"]
+    own = rows.withColumn("block", F.floor(F.col("line_no") / BLOCK))
+    named = own.where("host IS NOT NULL").groupBy(*keys, *order).agg(F.max_by("host", "line_no").alias("last"))
+    blocks = own.select(*keys, *order).distinct().join(named, [*keys, *order], "left")
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, *order, F.last("last", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy(*keys, *order).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    out = own.join(carried, [*keys, *order]).withColumn("host", F.coalesce(F.last("host", ignorenulls=True).over(inside), "carried"))
+    return out.select(*rows.columns)
+
+
+def counted(routed: DataFrame) -> DataFrame:
+    """(run, file, line_no, time, host, counters) of routed lines that aren't errors."""
+    return routed.where("NOT bad").select("run", "file", "line_no", _time().alias("time"), "host", *[F.expr(f"try_cast(kv['{KEYS[c]}'] AS bigint)").alias(c) for c in COUNTERS])
 
 
 def events(parsed: DataFrame) -> DataFrame:
     """(run, file, line_no, time, host, counters) of lines about system calls that aren't errors."""
-    return _routed(parsed).where("NOT bad").select("run", "file", "line_no", _time().alias("time"), "host", *[F.expr(f"try_cast(kv['{KEYS[c]}'] AS bigint)").alias(c) for c in COUNTERS])
+    return counted(_routed(parsed))
 
 
 def errors(parsed: DataFrame) -> DataFrame:
@@ -68,20 +91,54 @@ def run_totals(ev: DataFrame, err: DataFrame) -> DataFrame:
     return out.withColumn("calls", F.col("opens") + F.col("reads") + F.col("closes") + F.col("stats")).withColumn("complete", F.col("errors") == 0)
 
 
-def minute_rates(ev: DataFrame) -> DataFrame:
-    """(run, minute, calls): each event's calls spread evenly over the minutes since its file's previous event, at
-    least one; minutes between without calls are 0."""
-    calls = sum((F.coalesce(c, F.lit(0)) for c in ("opens", "reads", "closes", "stats", "writes")), F.lit(0))
-    w = Window.partitionBy("run", "file").orderBy("time", "line_no")
-    own = ev.withColumn("minute", F.floor(F.col("time") / 60)).withColumn("calls", calls).withColumn("before", F.floor(F.lag("time").over(w) / 60))
-    first = F.least(F.col("minute"), F.coalesce(F.col("before") + 1, F.col("minute")))
-    parts = own.withColumn("n", F.col("minute") - first + 1).select("run", F.explode(F.sequence(first, F.col("minute"))).alias("minute"), (F.col("calls") / F.col("n")).alias("calls"))
-    sums = parts.groupBy("run", "minute").agg(F.sum("calls").alias("calls"))
-    ends = sums.groupBy("run").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
-    # a run's days are dealt out before its minutes, so that one odd time doesn't make all rows in one task
-    days = ends.select("run", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / 1440), F.floor(F.col("b") / 1440))).alias("day")).repartition("run", "day")
-    every = days.select("run", F.explode(F.sequence(F.greatest("a", F.col("day") * 1440), F.least("b", F.col("day") * 1440 + 1439))).alias("minute"))
-    return every.join(sums, ["run", "minute"], "left").withColumn("calls", F.coalesce("calls", F.lit(0.0)))
+def by_minute(ev: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Events summed up by file and minute: each counter, and those of the minute's first event alone (first, at).
+
+    Such sums of parts of the events merge (merged_minutes), so a stream can keep them batch by batch."""
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in COUNTERS}
+    own = ev.where("time IS NOT NULL").select(*keys, "file", F.floor(F.col("time") / 60).alias("minute"), F.struct("time", "line_no").alias("at"), *[v.alias(c) for c, v in counts.items()])
+    return own.groupBy(*keys, "file", "minute").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.min_by(F.struct(*COUNTERS), "at").alias("first"), F.min("at").alias("at"), F.count("*").alias("events"))
+
+
+def merged_minutes(parts: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """by_minute of the whole from by_minute of its parts."""
+    return parts.groupBy(*keys, "file", "minute").agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "events")], F.min_by("first", "at").alias("first"), F.min("at").alias("at"))
+
+
+def spread(minutes: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """(keys, minute, calls, counters) from by_minute, zero-filled: a minute's first event is spread evenly over the
+    minutes since its file's previous one, all others are of their own minute. The window over a file has a row per
+    minute, however many lines it has."""
+    before = F.lag("minute").over(Window.partitionBy(*keys, "file").orderBy("minute"))
+    own = minutes.withColumn("from", F.coalesce(before + 1, "minute"))
+    each = own.select("*", F.explode(F.sequence("from", "minute")).alias("m"))
+    part = lambda c: F.col(f"first.{c}") / (F.col("minute") - F.col("from") + 1) + F.when(F.col("m") == F.col("minute"), F.col(c) - F.col(f"first.{c}")).otherwise(0)
+    sums = each.select(*keys, F.col("m").alias("minute"), *[part(c).alias(c) for c in COUNTERS]).groupBy(*keys, "minute").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    return filled(sums, keys)
+
+
+def filled(sums: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Sums by minute with the minutes between that have none, and the rate of all calls."""
+    ends = sums.groupBy(*keys).agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
+    # days are dealt out before their minutes, so that one odd time doesn't make all rows in one task
+    days = ends.select(*keys, "a", "b", F.explode(F.sequence(F.floor(F.col("a") / 1440), F.floor(F.col("b") / 1440))).alias("day")).repartition(*keys, "day")
+    every = days.select(*keys, F.explode(F.sequence(F.greatest("a", F.col("day") * 1440), F.least("b", F.col("day") * 1440 + 1439))).alias("minute"))
+    out = every.join(sums, [*keys, "minute"], "left").fillna(0.0, list(COUNTERS))
+    return out.withColumn("calls", sum((F.col(c) for c in CALLS[1:]), F.col(CALLS[0])))
+
+
+def minute_rates(ev: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Each counter's rate in each minute of a run (or of a run's host, with keys run and host), and that of all calls.
+
+    What an event counts is spread evenly over the minutes since its file's previous event, at least one; minutes
+    between without calls are 0."""
+    return spread(by_minute(ev, keys), keys)
+
+
+def rate_maxima(rates: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """The most calls, and the most bytes read or written, in a minute, rounded up; 0 of nothing."""
+    most = rates.groupBy(*keys).agg(F.max("calls").alias("calls"), F.max(F.greatest("bytes", "write_bytes")).alias("bytes"))
+    return most.select(*keys, *[F.when(F.col(c) > 0, rounded_up(F.col(c))).otherwise(0.0).alias(c) for c in ("calls", "bytes")])
 
 
 def rounded_up(n: Column) -> Column:

@@ -63,6 +63,10 @@ S.CTE |= {
     "minutes": "SELECT run, file, line_no, time, CAST(floor(time / 60) AS BIGINT) AS minute, coalesce(opens, 0) + coalesce(reads, 0) + coalesce(stats, 0) + coalesce(writes, 0) AS calls, CAST(floor(lag(time) OVER (PARTITION BY run, file ORDER BY time, line_no) / 60) AS BIGINT) AS before FROM ev WHERE event_type <> 'error'",
     "spread_calls": "SELECT run, m AS minute, calls / (minute - least(minute, coalesce(before + 1, minute)) + 1) AS calls FROM (SELECT *, unnest(range(least(minute, coalesce(before + 1, minute)), minute + 1)) AS m FROM minutes)",
     "rates": "SELECT e.run, e.minute, coalesce(c.calls, 0) AS calls FROM (SELECT run, unnest(range(min(minute), max(minute) + 1)) AS minute FROM spread_calls GROUP BY run) e LEFT JOIN (SELECT run, minute, sum(calls) AS calls FROM spread_calls GROUP BY 1, 2) c ON c.run = e.run AND c.minute = e.minute",
+    "counted": "SELECT run, host, file, line_no, time, CAST(floor(time / 60) AS BIGINT) AS minute, CAST(floor(lag(time) OVER (PARTITION BY run, file ORDER BY time, line_no) / 60) AS BIGINT) AS before, coalesce(opens, 0) AS opens, coalesce(reads, 0) AS reads, coalesce(bytes, 0) AS bytes, 0 AS closes, coalesce(stats, 0) AS stats, coalesce(writes, 0) AS writes, coalesce(write_bytes, 0) AS write_bytes FROM ev WHERE event_type <> 'error'",
+    "spread_counts": "SELECT run, host, m, minute - least(minute, coalesce(before + 1, minute)) + 1 AS n, opens, reads, bytes, closes, stats, writes, write_bytes FROM (SELECT *, unnest(range(least(minute, coalesce(before + 1, minute)), minute + 1)) AS m FROM counted)",
+    "counter_sums": f"SELECT run, host, m AS minute, {', '.join(f'sum({c} / n) AS {c}' for c in logs.COUNTERS)} FROM spread_counts GROUP BY ALL",
+    "counter_rates": f"SELECT e.run, e.minute, {', '.join(f'coalesce(s.{c}, 0) AS {c}' for c in logs.COUNTERS)} FROM (SELECT run, unnest(range(min(minute), max(minute) + 1)) AS minute FROM counter_sums GROUP BY run) e LEFT JOIN (SELECT run, minute, {', '.join(f'sum({c}) AS {c}' for c in logs.COUNTERS)} FROM counter_sums GROUP BY 1, 2) s ON s.run = e.run AND s.minute = e.minute",
     "ui": "SELECT concat('u', user_id) AS \"user\", concat('s', day(ts)) AS session, CASE event_type WHEN 'click' THEN 'users' WHEN 'purchase' THEN 'disktree' ELSE 'groups' END AS mode, event_type, time, event_id FROM numbered",
     "ui_s": "SELECT \"user\", session, count(*) FILTER (mode = 'groups') AS groups, count(*) FILTER (mode = 'users') AS users, count(*) FILTER (mode = 'disktree') AS disktree, min(time) AS start, max(time) AS \"end\" FROM ui GROUP BY 1, 2",
     "ui_u": "SELECT \"user\", count(*) AS sessions, count(*) FILTER (groups > 0) AS groups, count(*) FILTER (users > 0) AS users, count(*) FILTER (disktree > 0) AS disktree FROM ui_s GROUP BY 1",
@@ -241,6 +245,20 @@ def _stream_minutes(s, d):
     return streams.run_log_minutes(own, files.scratch(s), files.scratch(s)).groupBy("run").agg(F.count("*").alias("minutes"), F.sum("events").alias("events"))
 
 
+def _stream_rates(s, d):
+    """The lines of each third of the time in a batch; a file's host and previous event are carried over."""
+    source, out, mark = files.scratch(s), files.scratch(s), files.scratch(s)
+    lines = _kept(s, log_lines(s, d).withColumn("t", F.regexp_extract("value", "^t=([^ ]+)", 1)))
+    for some in ("t < '2024-01-11'", "t >= '2024-01-11' AND t < '2024-01-21'", "t >= '2024-01-21'"):
+        lines.where(some).drop("t").write.mode("append").parquet(source)
+        streams.log_rates(s.readStream.schema(lines.drop("t").schema).parquet(source), out, mark).awaitTermination()
+    return streams.read_log_rates(s, out)
+
+
+def _milli(rates):
+    return rates.select("run", "minute", *[F.floor(C(c) * 1000 + 0.5).cast("long").alias(c) for c in ("calls", *logs.COUNTERS)])
+
+
 def _stream_sessions(s, d):
     e = _event_stream(s, d)
     state = F.when(C("event_type") == "click", '{"byUser":true}').when(C("event_type") == "purchase", '{"just":"disktree"}').otherwise("{}")
@@ -317,7 +335,14 @@ FROM numbered"""
 _EV = "run, file, line_no, time, opens, reads, bytes, closes, stats, writes, write_bytes"
 _told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
 
+_ALL_CALLS = "(opens + reads + closes + stats + writes)"
+_MILLI_SQL = "SELECT run, minute, " + ", ".join(f"CAST(floor({e} * 1000 + 0.5) AS BIGINT) AS {c}" for c, e in {"calls": _ALL_CALLS, **{c: c for c in logs.COUNTERS}}.items()) + " FROM counter_rates"
+_UP = "CASE WHEN {0} > 0 THEN ceil(10 * {0} / 10 ** floor(log10({0}))) * 10 ** floor(log10({0})) / 10 ELSE 0 END"
 QUERIES = {
+    "log_counter_rates": (lambda s, d: _milli(logs.minute_rates(_events(s, d))), with_blocks(_MILLI_SQL)),
+    "log_host_rates": (lambda s, d: logs.minute_rates(_events(s, d).where("host IS NOT NULL"), ("run", "host")).where("calls > 0").groupBy("run", "host").agg(F.count("*").alias("minutes"), F.round(F.sum("calls")).cast("long").alias("calls"), F.round(F.sum("bytes")).cast("long").alias("bytes")), with_blocks(f"SELECT run, host, count(*) AS minutes, CAST(round(sum({_ALL_CALLS})) AS BIGINT) AS calls, CAST(round(sum(bytes)) AS BIGINT) AS bytes FROM counter_sums WHERE host IS NOT NULL AND {_ALL_CALLS} > 0 GROUP BY 1, 2")),
+    "log_rate_maxima": (lambda s, d: logs.rate_maxima(logs.minute_rates(_events(s, d))).select("run", *[F.round(C(c) * 100).cast("long").alias(c) for c in ("calls", "bytes")]), with_blocks(f"SELECT run, CAST(round({_UP.format('c')} * 100) AS BIGINT) AS calls, CAST(round({_UP.format('b')} * 100) AS BIGINT) AS bytes FROM (SELECT run, max({_ALL_CALLS}) AS c, max(greatest(bytes, write_bytes)) AS b FROM counter_rates GROUP BY 1)")),
+    "stream_log_rates": (lambda s, d: _milli(_stream_rates(s, d)), with_blocks(_MILLI_SQL)),
     "where_root": (lambda s, d: flat(tree.where(_root_summary(s, d), "/", 2)).select(*TOLD), _where_sql("/", 2, f"SELECT {TOLD_SQL} FROM ends")),
     "dir_info_root": (lambda s, d: flat(tree.dir_info(_root_summary(s, d), "/")).select(*TOLD, "kind"), with_blocks(f"SELECT {TOLD_SQL}, CASE WHEN dir = '/' THEN 'current' ELSE 'child' END AS kind FROM kids WHERE dir = '/' OR parent_dir = '/'")),
     "merge_cubes": (lambda s, d: cells(rollup.merge_cubes(_stored_cube(s, d)).where(f"ft & {filetypes.DIR} = 0")), with_blocks(f"SELECT {CELLS_SQL} FROM cube WHERE ft & {filetypes.DIR} = 0")),
@@ -345,7 +370,7 @@ QUERIES = {
     "log_minute_rates": (lambda s, d: logs.minute_rates(_events(s, d)).select("run", "minute", F.floor(C("calls") * 1000 + 0.5).cast("long").alias("milli")), with_blocks("SELECT run, minute, CAST(floor(calls * 1000 + 0.5) AS BIGINT) AS milli FROM rates")),
     "log_rate_max": (lambda s, d: logs.minute_rates(_events(s, d)).groupBy("run").agg(F.max("calls").alias("m")).select("run", F.round(logs.rounded_up(C("m")) * 100).cast("long").alias("centi")), with_blocks("SELECT run, CAST(round(ceil(10 * m / 10 ** floor(log10(m))) * 10 ** floor(log10(m)) * 10) AS BIGINT) AS centi FROM (SELECT run, max(calls) AS m FROM rates GROUP BY 1)")),
     "log_error_preview": (lambda s, d: logs.error_preview(_errors(s, d)).select("run", "time", "message", C("i").cast("long").alias("i")), with_blocks("SELECT run, time, message, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY time, file, line_no) AS i, count(*) OVER (PARTITION BY run) AS n FROM err) WHERE n <= 7 OR i <= 3 OR i > n - 3")),
-    "log_merge_runs": (lambda s, d: _events(s, d).where("run IN ('r0', 'r1')").groupBy(F.concat_ws("/", "run", "file").alias("file")).agg(F.count("*").alias("n"), F.max("time").alias("last")), with_blocks("SELECT concat(run, '/', file) AS file, count(*) AS n, max(time) AS last FROM ev WHERE run IN ('r0', 'r1') AND event_type <> 'error' GROUP BY 1")),
+    "log_merge_runs": (lambda s, d: _events(s, d).groupBy(F.concat_ws("/", "run", "file").alias("file")).agg(F.count("*").alias("n"), F.max("time").alias("last")), with_blocks("SELECT concat(run, '/', file) AS file, count(*) AS n, max(time) AS last FROM ev WHERE event_type <> 'error' GROUP BY 1")),
     "scan_logs": (lambda s, d: files.scan_logs(s, _log_folders(s, d)).transform(logs.parse).groupBy("run", C("kv")["lvl"].alias("lvl")).agg(F.count("*").alias("n")), with_blocks("SELECT concat('run=', run) AS run, CASE WHEN event_type = 'error' THEN 'eror' ELSE 'info' END AS lvl, count(*) AS n FROM numbered GROUP BY 1, 2")),
     "scan_jobs": (lambda s, d: s.read.schema("id string, start_time string, end_time string, host string").json(_lines(s, jobs(s, d).select(F.to_json(F.struct("*"))))), "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_time, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) END AS end_time, concat('h', o_custkey % 5) AS host FROM orders"),
     "job_timeouts": (lambda s, d: logs.job_timeouts(jobs(s, d)), "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS time, concat('Timeout: ', o_orderkey) AS message, concat('h', o_custkey % 5) AS host FROM orders WHERE o_orderkey % 3 = 0"),
