@@ -84,7 +84,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = stored(_gone(docs.select("doc_id", "text"))).toDF(d, th, gone)
     own = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(th, F.xxhash64("text"))
     met = own.join(found, [d, th], "left")
-    text = F.expr(rf"IF({gone} IS NULL, text, array_join(filter({_LINES}, (l, i) -> NOT array_contains({gone}, i)), '\n'))")
+    # the runs of lines between dropped ones: each line is looked at once, however many go
+    first = "IF(k = 0, 0, g[k - 1] + 1)"
+    runs = f"flatten(transform(sequence(0, size(g)), k -> slice(x, {first} + 1, IF(k = size(g), size(x), g[k]) - {first})))"
+    left = f"transform(array(sort_array({gone})), g -> transform(array({_LINES}), x -> {runs})[0])[0]"
+    text = F.expr(rf"IF({gone} IS NULL, text, array_join({left}, '\n'))")
     n_lines = F.coalesce(F.expr(f"size({_LINES})"), F.lit(0)).alias("n_lines")
     n_dropped = F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped")
     return met.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines, n_dropped)

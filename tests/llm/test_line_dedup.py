@@ -101,3 +101,14 @@ def test_columns_of_any_name_pass_through(spark):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert dedup_lines(docs).columns == ["doc_id", "text", "lang", "n_lines", "n_dropped"] and dedup_lines(docs).count() == 0
+
+
+def test_many_dropped_lines_of_long_texts(spark):
+    """Linear in a text's lines: with a search among the dropped ones for each line this takes minutes."""
+    lines = [f"w{chr(97 + i % 26)}{'xyz'[i % 3]}{i // 7}q line that both texts have" for i in range(50_000)]
+    own = [f"only here {'abcdefghij'[i % 10]}" for i in range(5)]
+    second = own[:2] + lines[:25_000] + own[2:4] + lines[25_000:] + own[4:]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(second))], "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert got[1].n_dropped == 0 and got[1].text == "\n".join(lines)
+    assert got[2].text == "\n".join(own) and got[2].n_dropped == 50_000
