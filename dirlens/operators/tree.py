@@ -21,8 +21,11 @@ def _with_children(summary: DataFrame) -> DataFrame:
     return summary.join(sums, "dir", "left")
 
 
-def dir_info(summary: DataFrame, directory: str) -> DataFrame:
-    """The directory and its children: kind current or child."""
+def dir_info(summary: DataFrame, directory: str, cube: DataFrame | None = None) -> DataFrame:
+    """The directory and its children: kind current or child. Nothing, if nothing in it passes the summary's filter; an
+    error, if `cube` is given and has no such directory at all."""
+    if cube is not None and cube.where(F.col("dir") == directory).isEmpty():
+        raise ValueError(f"no such directory: {directory}")
     own = children_of(summary).where((F.col("dir") == directory) | (F.col("parent_dir") == directory))
     return own.withColumn("kind", F.when(F.col("dir") == directory, "current").otherwise("child"))
 

@@ -55,6 +55,27 @@ def with_name_lists(rows: DataFrame, names: DataFrame, key: str, ids: str, out:
     return rows.join(each, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
+def usage_order(by: str, reverse: bool = False) -> list[Column]:
+    """Order by a column of a usage table, or by percent_size or percent_inodes of the quota (without one: before all
+    others, and after them if reversed); of equals by base directory, which keeps its direction."""
+    kinds = {"percent_size": "size", "percent_inodes": "inodes"}
+    value = F.expr(f"try_divide(usage_{kinds[by]}, quota_{kinds[by]})") if by in kinds else F.col(by)
+    return [value.desc_nulls_last() if reverse else value.asc_nulls_first(), F.col("basedir"), F.col("gid")]
+
+
+def usage_page(rows: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
+    """A page of rows in an order, with their place; the last page if there are fewer."""
+    last = max(0, (rows.count() - 1) // size)
+    number = min(max(number, 0), last)
+    page = rows.orderBy(*order).offset(number * size).limit(size)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") + number * size)  # of one page
+
+
+def names_in_use(rows: DataFrame, column: str) -> DataFrame:
+    """The names of a column, once each, for a picker; empty ones are left out."""
+    return rows.where(F.col(column) != "").select(column).distinct()
+
+
 # ---- history ----
 
 def history_append(history: DataFrame, points: DataFrame) -> DataFrame:
@@ -73,13 +94,20 @@ def history_invalid(history: DataFrame, prefix: str) -> DataFrame:
     return history.where(~F.startswith("mount_path", F.lit(prefix))).select("gid", "mount_path").distinct()
 
 
+def history_counts(history: DataFrame) -> DataFrame:
+    """How many series and points there are."""
+    return history.agg(F.count_distinct("gid", "mount_path").alias("histories"), F.count("*").alias("points"))
+
+
 def history_clean(history: DataFrame, prefix: str) -> DataFrame:
     return history.where(F.startswith("mount_path", F.lit(prefix)))
 
 
 def history_of(history: DataFrame, gid: int, path: str) -> DataFrame:
-    """The series of a group on the mount that the path lies in, the longest of several."""
+    """The series of a group on the mount that the path lies in, the longest of several; none is an error."""
     own = history.where((F.col("gid") == gid) & F.startswith(F.lit(path), F.col("mount_path")))
+    if own.isEmpty():
+        raise ValueError(f"no history of group {gid} at {path}")
     longest = own.agg(F.max(F.length("mount_path")).alias("n"))
     return own.join(F.broadcast(longest), F.length("mount_path") == F.col("n"), "left_semi").orderBy("date")  # one row
 

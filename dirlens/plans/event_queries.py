@@ -205,8 +205,8 @@ def _supplier_dir():
 
 def _ui_table(s, d):
     path = files.scratch(s)
-    for half in (0, 1):
-        files.append_ui_events(ui(s, d).where(C("event_id") % 2 == half), path)
+    for half in (0, 1, 1):  # the second batch twice
+        files.append_ui_events(ui(s, d).where(C("event_id") % 2 == half), path, half)
     return path
 
 
@@ -339,6 +339,8 @@ _ALL_CALLS = "(opens + reads + closes + stats + writes)"
 _MILLI_SQL = "SELECT run, minute, " + ", ".join(f"CAST(floor({e} * 1000 + 0.5) AS BIGINT) AS {c}" for c, e in {"calls": _ALL_CALLS, **{c: c for c in logs.COUNTERS}}.items()) + " FROM counter_rates"
 _UP = "CASE WHEN {0} > 0 THEN ceil(10 * {0} / 10 ** floor(log10({0}))) * 10 ** floor(log10({0})) / 10 ELSE 0 END"
 QUERIES = {
+    "ui_intake": (lambda s, d: files.intake(ui(s, d).withColumn("session", F.when(C("event_id") % 5 > 0, F.concat("session", F.lit("-"), C("event_id") * 1_000_003)).otherwise(""))).select("event_id", "session"), with_blocks("SELECT event_id, substr(concat(session, '-', event_id * 1000003), 1, 14) AS session FROM ui WHERE event_id % 5 > 0")),
+    "top_timestamps": (lambda s, d: files.top_timestamps(_stored_cube(s, d)), with_blocks("SELECT regexp_extract(path, '^/([^/]+)', 1) AS top, max(length(regexp_extract(path, '^(/[^/]+/[^/]+/)', 1))) AS updated_at FROM stats GROUP BY 1")),
     "log_counter_rates": (lambda s, d: _milli(logs.minute_rates(_events(s, d))), with_blocks(_MILLI_SQL)),
     "log_host_rates": (lambda s, d: logs.minute_rates(_events(s, d).where("host IS NOT NULL"), ("run", "host")).where("calls > 0").groupBy("run", "host").agg(F.count("*").alias("minutes"), F.round(F.sum("calls")).cast("long").alias("calls"), F.round(F.sum("bytes")).cast("long").alias("bytes")), with_blocks(f"SELECT run, host, count(*) AS minutes, CAST(round(sum({_ALL_CALLS})) AS BIGINT) AS calls, CAST(round(sum(bytes)) AS BIGINT) AS bytes FROM counter_sums WHERE host IS NOT NULL AND {_ALL_CALLS} > 0 GROUP BY 1, 2")),
     "log_rate_maxima": (lambda s, d: logs.rate_maxima(logs.minute_rates(_events(s, d))).select("run", *[F.round(C(c) * 100).cast("long").alias(c) for c in ("calls", "bytes")]), with_blocks(f"SELECT run, CAST(round({_UP.format('c')} * 100) AS BIGINT) AS calls, CAST(round({_UP.format('b')} * 100) AS BIGINT) AS bytes FROM (SELECT run, max({_ALL_CALLS}) AS c, max(greatest(bytes, write_bytes)) AS b FROM counter_rates GROUP BY 1)")),

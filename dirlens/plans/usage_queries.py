@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dirlens.functions import ages, filetypes, formats, paths
-from dirlens.operators import basedirs, usage
+from dirlens.operators import basedirs, filters, usage
 
 from . import sql as S
 from . import views
@@ -119,7 +119,77 @@ def _page(s, d):
     return page.withColumn("place", F.row_number().over(Window.orderBy(F.desc("usage_size"), "basedir", "gid")).cast("long")).select("place", "gid", "basedir", "usage_size", "owner")
 
 
+def _listed(df, column):
+    return df.withColumn(column, F.split(column, ",").cast("array<long>"))
+
+
+def _members(s, d):
+    """Each user is in the groups of its customers' nations."""
+    return views.table(s, d, "customer").select(F.concat(F.lit("u"), C("c_custkey") % 97).alias("user"), C("c_nationkey").cast("long").alias("gid")).distinct()
+
+
+def _rights(s, d):
+    return filters.rights(_members(s, d).where("gid % 4 > 0 OR user < 'u3'"), views.owners(s, d).where("gid IN (4, 8)").select("gid"))
+
+
+def _requests(bases, odd):
+    """Every base directory of an age, asked for by two users."""
+    return bases.where("age = 3").select(F.explode(F.array(F.concat(F.lit("u"), C("id") % 97), F.concat(F.lit("u"), (C("id") * 7 + odd) % 97))).alias("user"), "id", "basedir", "age").distinct()
+
+
+def _group_subdirs_for(s, d):
+    leaf = _leaf(s, d)
+    bases = basedirs.basedirs(leaf, "gid")
+    return filters.allowed_subdirs(_requests(bases, 1), basedirs.subdirs(leaf, bases, "gid"), _rights(s, d)).select("user", "id", "basedir", "sub", "count", "size")
+
+
+def _user_subdirs_for(s, d):
+    leaf = _leaf(s, d)
+    bases = basedirs.basedirs(leaf, "uid")
+    own = views.stats(s, d).select("gid", F.explode(paths.ancestors(paths.parent(C("path"), C("entry_type")))).alias("dir"))
+    return filters.allowed_subdirs(_requests(bases, 2), basedirs.subdirs(leaf, bases, "uid"), _rights(s, d), own.groupBy("dir").agg(F.collect_set("gid").alias("gids"))).select("user", "id", "basedir", "sub", "count", "size")
+
+
+def _sorted_pages(s, d):
+    """Second pages by several columns in both directions, and the last one in place of one that isn't there."""
+    rows = usage.with_owner(_usage0(s, d), views.owners(s, d))
+    out = None
+    for by, reverse, number in (("usage_inodes", False, 1), ("percent_size", False, 1), ("percent_size", True, 1), ("owner", True, 1), ("mtime", True, 999)):
+        page = usage.usage_page(rows, usage.usage_order(by, reverse), 10, number).select(F.lit(f"{by} {reverse}").alias("sort"), "place", "gid", "basedir")
+        out = page if out is None else out.union(page)
+    return out
+
+
+def _sorted_sql():
+    each = []
+    for by, reverse, number in (("usage_inodes", False, 1), ("percent_size", False, 1), ("percent_size", True, 1), ("owner", True, 1), ("mtime", True, 999)):
+        value = "usage_size / nullif(quota_size, 0)" if by == "percent_size" else by
+        order = f"{value} {'DESC NULLS LAST' if reverse else 'NULLS FIRST'}, basedir, gid"
+        each.append(f"SELECT '{by} {reverse}' AS sort, place, gid, basedir FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS place, least({number}, (count(*) OVER () - 1) // 10) AS page FROM owned_usage) WHERE place > 10 * page AND place <= 10 * page + 10")
+    return " UNION ALL ".join(each)
+
+
+S.CTE |= {
+    "owned_usage": "SELECT u.*, coalesce(owner, '') AS owner FROM group_usage u LEFT JOIN owners USING (gid) WHERE age = 0",
+    "members": "SELECT DISTINCT concat('u', c_custkey % 97) AS \"user\", CAST(c_nationkey AS BIGINT) AS gid FROM customer WHERE c_nationkey % 4 > 0 OR concat('u', c_custkey % 97) < 'u3'",
+    "sees_all": "SELECT \"user\" FROM members WHERE gid IN (SELECT gid FROM owners WHERE gid IN (4, 8))",
+    "asked": "SELECT DISTINCT kind, unnest([concat('u', id % 97), concat('u', (id * 7 + CASE WHEN kind = 'gid' THEN 1 ELSE 2 END) % 97)]) AS \"user\", id, basedir, age FROM bases WHERE age = 3",
+    "dir_gids": f"SELECT DISTINCT gid, unnest({anc('dir')}) AS dir FROM files",
+    "sub_sums": "SELECT kind, id, age, basedir, sub, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM subs GROUP BY ALL",
+}
+_SUBS_FOR = "SELECT a.\"user\", a.id, a.basedir, s.sub, s.count, s.size FROM asked a JOIN sub_sums s USING (kind, id, basedir, age) WHERE kind = '{0}' AND a.\"user\" IN (SELECT \"user\" FROM members) AND (a.\"user\" IN (SELECT \"user\" FROM sees_all) OR EXISTS (SELECT 1 FROM members m WHERE m.\"user\" = a.\"user\" AND {1}))"
+_DAYS = f"greatest(0, floor(({REF} - mtime) / 86400))"
+
 QUERIES = {
+    "usage_filter_groups": (lambda s, d: _listed(usage.with_owner(group_usage(s, d), views.owners(s, d)), "uids").where(filters.usage_filter("group", REF, uids=(3, 7, 20, 31), owners=("PI_NATION_2", "PI_NATION_8", "PI_NATION_12", "PI_NATION_18"), size=filters.Range(1000, 10**10), days=filters.Range(None, 2500), age=2)).select("gid", "basedir", "owner", "usage_size", "mtime"), with_blocks(f"SELECT gid, basedir, owner, usage_size, mtime FROM group_usage JOIN owners USING (gid) WHERE list_has_any(string_split(uids, ','), ['3', '7', '20', '31']) AND owner IN ('PI_NATION_2', 'PI_NATION_8', 'PI_NATION_12', 'PI_NATION_18') AND usage_size BETWEEN 1000 AND 10000000000 AND {_DAYS} <= 2500 AND age = 2")),
+    "usage_filter_users": (lambda s, d: _listed(user_usage(s, d), "gids").where(filters.usage_filter("user", REF, uids=tuple(range(0, 97, 2)), gids=(1, 2, 8, 9), days=filters.Range(1245, 4000), age=1, text="nation")).select("uid", "basedir", "usage_size", "usage_inodes"), with_blocks(f"SELECT id AS uid, basedir, size AS usage_size, count AS usage_inodes FROM bases WHERE kind = 'uid' AND id % 2 = 0 AND list_has_any(others, [1, 2, 8, 9]) AND {_DAYS} BETWEEN 1245 AND 4000 AND age = 1 AND contains(basedir, 'nation')")),
+    "usage_sorted": (_sorted_pages, with_blocks(_sorted_sql())),
+    "group_subdirs_for": (_group_subdirs_for, with_blocks(_SUBS_FOR.format("gid", "m.gid = a.id"))),
+    "user_subdirs_for": (_user_subdirs_for, with_blocks(_SUBS_FOR.format("uid", "m.gid IN (SELECT gid FROM dir_gids g WHERE g.dir = a.basedir)"))),
+    "rights": (lambda s, d: _rights(s, d).withColumn("allowed", F.array_join(C("allowed").cast("array<string>"), ",")), with_blocks("SELECT \"user\", string_agg(gid, ',' ORDER BY gid) AS allowed, \"user\" IN (SELECT \"user\" FROM sees_all) AS \"all\" FROM members GROUP BY 1")),
+    "history_counts": (lambda s, d: usage.history_counts(views.history(s, d)), with_blocks("SELECT (SELECT count(*) FROM (SELECT DISTINCT gid, mount_path FROM history)) AS histories, count(*) AS points FROM history")),
+    "user_names": (lambda s, d: usage.names_in_use(usage.with_names(user_usage(s, d), _members(s, d).select(F.substring("user", 2, 9).cast("long").alias("id"), C("user").alias("name")).distinct(), "uid", "name", ""), "name"), with_blocks("SELECT DISTINCT concat('u', id) AS name FROM bases WHERE kind = 'uid'")),
+    "group_names": (lambda s, d: usage.names_in_use(usage.with_names(_usage0(s, d), views.table(s, d, "nation").select(C("n_nationkey").cast("long").alias("id"), C("n_name").alias("name")), "gid", "name", ""), "name"), with_blocks("SELECT DISTINCT n_name AS name FROM group_usage JOIN nation ON n_nationkey = gid WHERE age = 0")),
     "basedir_rule": (lambda s, d: basedirs.rule_for(views.stats(s, d).select(F.explode(paths.ancestors(paths.parent(C("path"), C("entry_type")))).alias("dir")).distinct(), rules(s, d)), with_blocks(f"SELECT dir, CAST(CASE WHEN starts_with(dir, '/asia/') THEN 3 WHEN starts_with(dir, '/africa/nation_1') THEN 4 ELSE 2 END AS INTEGER) AS mindirs FROM (SELECT DISTINCT unnest({anc('dir')}) AS dir FROM files)")),
     "basedirs_group": (lambda s, d: _told(_bases(s, d, "gid")), with_blocks(_BASES_SQL.format("gid"))),
     "basedirs_user": (lambda s, d: _told(_bases(s, d, "uid")), with_blocks(_BASES_SQL.format("uid"))),

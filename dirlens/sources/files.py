@@ -151,6 +151,12 @@ def mount_timestamps(cube: DataFrame) -> DataFrame:
     return cube.groupBy("mount_path").agg(F.max("updated_at").alias("updated_at"))
 
 
+def top_timestamps(cube: DataFrame) -> DataFrame:
+    """(top, updated_at): the latest time of each first component of the mounts."""
+    top = F.regexp_extract("mount_path", "^/([^/]*)", 1).alias("top")
+    return mount_timestamps(cube).groupBy(top).agg(F.max("updated_at").alias("updated_at"))
+
+
 def write_basedirs(path: str, usage: DataFrame, subdirs: DataFrame, history: DataFrame) -> None:
     """Three tables of base directories by mount_path: usage and subdirs of the mounts present are replaced, points of
     history that come after their series' last date are added."""
@@ -163,18 +169,31 @@ def write_basedirs(path: str, usage: DataFrame, subdirs: DataFrame, history: Dat
     new.write.mode("append").parquet(f"{path}/history")
 
 
-def append_ui_events(events: DataFrame, path: str) -> None:
-    """Adds events (user, session, state, time in epoch seconds) to a table with a partition per UTC day."""
-    events.withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time") / 86400).cast("int"))).write.mode("append").partitionBy("date").parquet(path)
+def intake(events: DataFrame) -> DataFrame:
+    """Events with their session's first 14 bytes; those without a session are turned away."""
+    cut = F.make_valid_utf8(F.substring(F.col("session").cast("binary"), 1, 14).cast("string"))
+    return events.where(F.col("session") != "").withColumn("session", cut)
+
+
+def append_ui_events(events: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Adds events (user, session, state, time in epoch seconds) to a table with a partition per UTC day.
+
+    A batch's rows have folders of their own in their days, so one that is written again takes its own place; a batch
+    without a name is always a new one."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time") / 86400).cast("int"))
+    rows = intake(events).withColumn("date", day).withColumn("batch", F.lit(str(uuid.uuid4().hex if batch is None else batch)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
 
 
 def scan_ui_events(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """The table's events, or those from one time to another, for which other days aren't read."""
+    if first is not None and last is not None and first > last:
+        raise ValueError("a time range must not end before it starts")
     day = lambda t: F.date_add(F.lit("1970-01-01").cast("date"), t // 86400)
     out = spark.read.parquet(path)
     out = out if first is None else out.where((F.col("date") >= day(first)) & (F.col("time") >= first))
     out = out if last is None else out.where((F.col("date") <= day(last)) & (F.col("time") <= last))
-    return out.drop("date")
+    return out.drop("date", "batch")
 
 
 # ---- datasets ----
