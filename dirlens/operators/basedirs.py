@@ -124,8 +124,17 @@ def glob_group(rows: DataFrame, rules: DataFrame, column: str = "path") -> DataF
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """p50, p95 and p99 by nearest rank."""
-    return rows.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)], F.count("*").alias("n"))
+    """p50, p95 and p99 by nearest rank; rows without a value don't count.
+
+    Equal values are summed up first; then ranks are running sums over a key's values in order, which Spark sorts with
+    spilling, so no map of a key's values is held."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.sum("__c").over(upto))
+    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    met = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))  # one row
+    picks = [F.min(F.when(F.col("__upto") >= F.ceil(F.col("n") * p / 100), F.col(value))).alias(f"p{p}") for p in (50, 95, 99)]
+    return met.groupBy(*keys).agg(*picks, F.first("n").alias("n"))
 
 
 def top_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

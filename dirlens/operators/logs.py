@@ -123,7 +123,9 @@ def filled(sums: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
     # days are dealt out before their minutes, so that one odd time doesn't make all rows in one task
     days = ends.select(*keys, "a", "b", F.explode(F.sequence(F.floor(F.col("a") / 1440), F.floor(F.col("b") / 1440))).alias("day")).repartition(*keys, "day")
     every = days.select(*keys, F.explode(F.sequence(F.greatest("a", F.col("day") * 1440), F.least("b", F.col("day") * 1440 + 1439))).alias("minute"))
-    out = every.join(sums, [*keys, "minute"], "left").fillna(0.0, list(COUNTERS))
+    own = sums.select(*[F.col(c).alias(f"__{c}") for c in (*keys, "minute")], *COUNTERS)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]  # a host may be unknown
+    out = every.join(own, [F.col("minute") == F.col("__minute"), *same], "left").select(*keys, "minute", *COUNTERS).fillna(0.0, list(COUNTERS))
     return out.withColumn("calls", sum((F.col(c) for c in CALLS[1:]), F.col(CALLS[0])))
 
 

@@ -78,6 +78,12 @@ def names_in_use(rows: DataFrame, column: str) -> DataFrame:
 
 # ---- history ----
 
+def one_per_date(points: DataFrame) -> DataFrame:
+    """Points of which a series has one for each date: of several the one of the greatest usage (then quota)."""
+    key, names = ["gid", "mount_path", "date"], ["usage_size", "usage_inodes", "quota_size", "quota_inodes"]
+    return points.groupBy(*key).agg(F.max(F.struct(*names)).alias("x")).select(*key, "x.*").select(*points.columns)
+
+
 def history_append(history: DataFrame, points: DataFrame) -> DataFrame:
     """history and those points that come after their series' last date."""
     last = history.groupBy("gid", "mount_path").agg(F.max("date").alias("last"))

@@ -182,7 +182,7 @@ _DAYS = f"greatest(0, floor(({REF} - mtime) / 86400))"
 
 QUERIES = {
     "usage_filter_groups": (lambda s, d: _listed(usage.with_owner(group_usage(s, d), views.owners(s, d)), "uids").where(filters.usage_filter("group", REF, uids=(3, 7, 20, 31), owners=("PI_NATION_2", "PI_NATION_8", "PI_NATION_12", "PI_NATION_18"), size=filters.Range(1000, 10**10), days=filters.Range(None, 2500), age=2)).select("gid", "basedir", "owner", "usage_size", "mtime"), with_blocks(f"SELECT gid, basedir, owner, usage_size, mtime FROM group_usage JOIN owners USING (gid) WHERE list_has_any(string_split(uids, ','), ['3', '7', '20', '31']) AND owner IN ('PI_NATION_2', 'PI_NATION_8', 'PI_NATION_12', 'PI_NATION_18') AND usage_size BETWEEN 1000 AND 10000000000 AND {_DAYS} <= 2500 AND age = 2")),
-    "usage_filter_users": (lambda s, d: _listed(user_usage(s, d), "gids").where(filters.usage_filter("user", REF, uids=tuple(range(0, 97, 2)), gids=(1, 2, 8, 9), days=filters.Range(1245, 4000), age=1, text="nation")).select("uid", "basedir", "usage_size", "usage_inodes"), with_blocks(f"SELECT id AS uid, basedir, size AS usage_size, count AS usage_inodes FROM bases WHERE kind = 'uid' AND id % 2 = 0 AND list_has_any(others, [1, 2, 8, 9]) AND {_DAYS} BETWEEN 1245 AND 4000 AND age = 1 AND contains(basedir, 'nation')")),
+    "usage_filter_users": (lambda s, d: _listed(user_usage(s, d), "gids").where(filters.usage_filter("user", REF, uids=tuple(range(0, 97, 2)), gids=(1, 2, 8, 9), days=filters.Range(170, 400), age=1, text="nation")).select("uid", "basedir", "usage_size", "usage_inodes"), with_blocks(f"SELECT id AS uid, basedir, size AS usage_size, count AS usage_inodes FROM bases WHERE kind = 'uid' AND id % 2 = 0 AND list_has_any(others, [1, 2, 8, 9]) AND {_DAYS} BETWEEN 170 AND 400 AND age = 1 AND contains(basedir, 'nation')")),
     "usage_sorted": (_sorted_pages, with_blocks(_sorted_sql())),
     "group_subdirs_for": (_group_subdirs_for, with_blocks(_SUBS_FOR.format("gid", "m.gid = a.id"))),
     "user_subdirs_for": (_user_subdirs_for, with_blocks(_SUBS_FOR.format("uid", "m.gid IN (SELECT gid FROM dir_gids g WHERE g.dir = a.basedir)"))),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirlens.functions import filetypes, formats, paths
+from dirlens.operators.usage import one_per_date
 
 STATS = "path string, size long, uid long, gid long, atime long, mtime long, ctime long, entry_type string, inode long, nlink long, device long, apparent_size long"
 _COLUMNS = [c.split()[0] for c in STATS.split(", ")]
@@ -159,13 +160,13 @@ def top_timestamps(cube: DataFrame) -> DataFrame:
 
 def write_basedirs(path: str, usage: DataFrame, subdirs: DataFrame, history: DataFrame) -> None:
     """Three tables of base directories by mount_path: usage and subdirs of the mounts present are replaced, points of
-    history that come after their series' last date are added."""
+    history that come after their series' last date are added, one for each date."""
     for name, rows in (("usage", usage), ("subdirs", subdirs)):
-        rows.repartitionByRange("mount_path", "kind", "age", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path", "kind").parquet(f"{path}/{name}")
+        rows.hint("rebalance", "mount_path", "kind", "age").sortWithinPartitions("mount_path", "kind", "age", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path", "kind").parquet(f"{path}/{name}")
     spark = history.sparkSession
     history.limit(0).write.mode("append").parquet(f"{path}/history")
     last = spark.read.schema(history.schema).parquet(f"{path}/history").groupBy("gid", "mount_path").agg(F.max("date").alias("last"))
-    new = history.join(last, ["gid", "mount_path"], "left").where("last IS NULL OR date > last").select(*history.columns)
+    new = one_per_date(history).join(last, ["gid", "mount_path"], "left").where("last IS NULL OR date > last").select(*history.columns)
     new.write.mode("append").parquet(f"{path}/history")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dirlens.operators import logs
+from dirlens.operators import logs, usage
 
 
 def log_minutes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -33,7 +33,7 @@ def append_history(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     def batch(points: DataFrame, i: int) -> None:
         spark, schema = points.sparkSession, "gid long, mount_path string, last long"
         known = spark.read.schema(schema).parquet(f"{path}/last/{i - 1}") if i else spark.createDataFrame([], schema)
-        new = points.dropDuplicates(["gid", "mount_path", "date"]).join(known, ["gid", "mount_path"], "left").where("last IS NULL OR date > last")
+        new = usage.one_per_date(points).join(known, ["gid", "mount_path"], "left").where("last IS NULL OR date > last")
         new.select(*points.columns).write.mode("overwrite").parquet(f"{path}/points/batch={i}")
         added = spark.read.schema(points.schema).parquet(f"{path}/points/batch={i}").select("gid", "mount_path", F.col("date").alias("last"))
         known.unionByName(added).groupBy("gid", "mount_path").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{path}/last/{i}")

@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SQL = catalogue.oracle_sql()
 #: Those that build the whole cube take seconds each; a few stand for all here.
 CUBE = [n for n, q in SQL.items() if "cube AS (" in q]
-NAMES = [n for n in SQL if n not in CUBE] + ["where_1", "dir_info", "file_locations"]
+NAMES = [n for n in SQL if n not in CUBE] + ["where_1", "dir_info", "file_locations", "where_root", "merge_cubes"]
 
 
 @pytest.fixture(scope="module")
