@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dirlens.functions import ages, filetypes, formats, paths
 from dirlens.operators import basedirs, filters, usage
+from dirlens.sources import files
 
 from . import sql as S
 from . import views
@@ -152,8 +153,9 @@ def _user_subdirs_for(s, d):
 
 def _sorted_pages(s, d):
     """Second pages by several columns in both directions, and the last one in place of one that isn't there."""
-    rows = usage.with_owner(_usage0(s, d), views.owners(s, d))
-    out = None
+    path, out = files.scratch(s), None
+    usage.with_owner(_usage0(s, d), views.owners(s, d)).write.parquet(path)
+    rows = s.read.parquet(path)
     for by, reverse, number in (("usage_inodes", False, 1), ("percent_size", False, 1), ("percent_size", True, 1), ("owner", True, 1), ("mtime", True, 999)):
         page = usage.usage_page(rows, usage.usage_order(by, reverse), 10, number).select(F.lit(f"{by} {reverse}").alias("sort"), "place", "gid", "basedir")
         out = page if out is None else out.union(page)

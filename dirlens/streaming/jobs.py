@@ -106,6 +106,8 @@ def carried(events: DataFrame, idle: int | None = None) -> DataFrame:
     when nothing has come for so long; that is for queries that run on, since timers keep a query alive. Lines of a batch may come in any order, a file's batches in order of their lines: an event that is earlier
     than a batch before is of its own minute alone. A batch's events of one file meet in a task, so the trigger bounds them."""
 
+    names, whole = [c.split()[0] for c in _CARRIED.split(", ")], ["line_no", "time", *logs.COUNTERS]
+
     def one(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -121,8 +123,7 @@ def carried(events: DataFrame, idle: int | None = None) -> DataFrame:
             before.iloc[0] = float("nan") if minute is None else minute
             timed["first_minute"] = (before + 1).where(before < own, own).astype("int64")
             minute = int(own.iloc[-1]) if minute is None else max(minute, int(own.iloc[-1]))
-            timed = timed[[c.split()[0] for c in _CARRIED.split(", ")]]
-            whole = [c for c in ("line_no", "time", *logs.COUNTERS)]
+            timed = timed[names]
             timed[whole] = timed[whole].astype("Int64")
             yield timed
         state.update((host, minute))
