@@ -4,7 +4,8 @@ Arrow batches of bounded size, vectorised word hashes, connected components."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,18 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by this Python worker for its next tasks. A worker keeps one thing at a time: whatever
+    it kept under another key goes first, so stages that follow each other in a session don't add up their caches."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     have = {c.lower() for c in df.columns}
@@ -70,7 +83,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        step = np.full(max(n, 2 * len(have)), _BASE if kind == "up" else _INV, np.uint64)
+        step = np.full(max(n, len(have) + len(have) // 8), _BASE if kind == "up" else _INV, np.uint64)
         step[0] = 1
         have = _powers[kind] = np.cumprod(step, dtype=np.uint64)
     return have[:n]

@@ -7,12 +7,13 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 MOST_CACHED = 700_000  # words that a worker keeps at most; then it starts afresh
 
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: What the tokenizer's own white space and Python's str.split() treat differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -90,7 +91,5 @@ class _Words(dict):
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for the file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder for the file, kept until the worker keeps something else."""
+    return kept(("encoder", path), lambda: Encoder(path))

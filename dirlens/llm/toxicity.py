@@ -18,6 +18,7 @@ table gives no rows. Other columns are not read, or pass through unchanged.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +30,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import kept, pieces
 
-MOST_LABELLED, MOST_UNITS, MOST_MEMO = 12_000, 5_000, 400_000
+MOST_LABELLED, MOST_UNITS, MOST_MEMO = 12_000, 5_000, 150_000
 LIMIT, TASKS = 0.7, 6  # of the score; that the bounded sample is dealt to
 STARTS = (4, 5)
 FEATURES = ("peak", "density", "hits_rate", "hits", "nearness", "second_person", "capitals", "upper_words", "punctuation", "shouting", "obfuscation", "digits", "length")
@@ -61,7 +62,7 @@ def units(token: str) -> tuple[list[str], bool]:
 
 
 class _Memo(dict):
-    """token -> weight and marks; at most MOST_MEMO tokens at a time."""
+    """token -> weight and marks; at most MOST_MEMO tokens at a time, some 45 MB."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -145,6 +146,7 @@ def _scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     if min(shares.get(0, 0), shares.get(1, 0)) == 0:
         return own.drop("text").withColumn("score", F.lit(float(shares.get(1, 0))))
     lexicons = spark.sparkContext.broadcast(_lexicons(sample))
+    fit = uuid.uuid4().hex
     schema = "features array<double>"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def _scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     rows.unpersist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(lexicons.value["all"])
+        memo = kept(("toxicity", fit), lambda: _Memo(lexicons.value["all"]))
         for batch in pieces(batches, "text"):
             rows = [features(t, memo) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "features"])
