@@ -97,32 +97,6 @@ def dupes_by_size(stats: DataFrame, least: int, mount: Column) -> DataFrame:
     return sets.join(often, "apparent_size")
 
 
-def glob_pattern(glob: Column) -> Column:
-    """A regex with a group for each wildcard: * within a name, ** anything."""
-    quoted = F.regexp_replace(glob, r"([.+?^$\[\](){}|\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\u0001")), F.lit("*"), F.lit("([^/]*?)")), F.lit("\u0001"), F.lit("(.*?)")), F.lit("$"))
-
-
-def glob_group(rows: DataFrame, rules: DataFrame, column: str = "path") -> DataFrame:
-    """rows with the `glob` group of their path, null if no rule (rules: glob, group_name) matches.
-
-    At the leftmost place where matching rules differ, a literal beats * and that beats **; of equal ones the rule with
-    fewer wildcards wins; two rules that are still equal are an error. Rules are a hand-written list."""
-    same = rules.groupBy("glob").count().where("count > 1")
-    if not same.isEmpty():
-        raise ValueError("ambiguous glob rules")
-    r = rules.select("glob", F.col("group_name").alias("glob_name"), glob_pattern(F.col("glob")).alias("re"), F.array_join(F.transform(F.regexp_extract_all("glob", F.lit(r"(\*\*|\*|[^*]+)"), F.lit(1)), lambda t: F.when(t == "**", "2").when(t == "*", "1").otherwise(F.regexp_replace(t, "(?s).", "0"))), "|").alias("shape"), (F.length("glob") - F.length(F.replace("glob", F.lit("*"), F.lit("")))).alias("stars"))
-    # a rule is looked at for the paths below the directory that its glob names before any wildcard
-    r = r.withColumn("__up", F.coalesce(F.nullif(F.regexp_extract("glob", "^([^*]*/)", 1), F.lit("")), F.lit("/")))
-    own = rows.select(F.col(column).alias("__p")).distinct().withColumn("__dir", F.regexp_replace("__p", "[^/]+$", ""))
-    near = own.select("__dir").distinct().withColumn("__up", F.explode(paths.ancestors(F.col("__dir")))).join(r, "__up").drop("__up")
-    met = own.join(near, "__dir").where(F.expr("regexp_like(__p, re)"))
-    # each wildcard stands for as many 1s or 2s as it matched characters
-    filled = F.expr("aggregate(split(shape, '[|]'), named_struct('s', '', 'k', 1), (a, t) -> IF(t IN ('1', '2'), named_struct('s', concat(a.s, repeat(t, length(regexp_extract(__p, re, a.k)))), 'k', a.k + 1), named_struct('s', concat(a.s, t), 'k', a.k)), a -> a.s)")
-    best = met.withColumn("line", filled).groupBy("__p").agg(F.min_by("glob_name", F.struct("line", "stars", "glob")).alias("glob_group"))
-    return rows.withColumn("__p", F.col(column)).join(best, "__p", "left").drop("__p")
-
-
 def nearest_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """p50, p95 and p99 by nearest rank; rows without a value don't count.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dirlens.functions import ages, filetypes, formats, paths
-from dirlens.operators import basedirs, filters, usage
+from dirlens.operators import basedirs, filters, globs, usage
 from dirlens.sources import files
 
 from . import sql as S
@@ -87,6 +87,24 @@ SELECT path, CASE
   WHEN regexp_matches(path, '^/.*[.]bam$') THEN 'bams' END AS glob_group
 FROM stats"""
 
+
+def _nation_rules(s, d):
+    """A rule for each nation wherever it is, for each of its segments, and for each kind of file and nation."""
+    n = F.lower("n_name")
+    rule = lambda g, name: F.struct(g.alias("glob"), name.alias("group_name"))
+    segments = views.table(s, d, "customer").select(F.lower("c_mktsegment").alias("segment")).distinct()
+    nations = views.table(s, d, "nation")
+    far = nations.select(rule(F.concat(F.lit("/**/"), n, F.lit("/**")), n).alias("x"))
+    near = nations.join(F.broadcast(segments)).select(rule(F.concat(F.lit("/*/"), n, F.lit("/"), "segment", F.lit("/**.txt")), F.concat(n, F.lit("_"), "segment")).alias("x"))
+    temp = nations.select(rule(F.concat(F.lit("/*/"), n, F.lit("/*/c*/**/tmp/**")), F.concat(n, F.lit("_tmp"))).alias("x"))
+    return far.union(near).union(temp).select("x.*")
+
+
+_NATION_SQL = """
+SELECT path, CASE WHEN path LIKE '%.txt' THEN concat(split_part(path, '/', 3), '_', split_part(path, '/', 4))
+  WHEN path LIKE '%/tmp/%' THEN concat(split_part(path, '/', 3), '_tmp') ELSE split_part(path, '/', 3) END AS glob_group
+FROM stats"""
+
 _BASES_SQL = "SELECT id, age, unit, basedir, count, size, atime, mtime, ft, array_to_string(others, ',') AS others FROM bases WHERE kind = '{}'"
 _SUBS_SQL = "SELECT id, age, basedir, sub, count(*) AS count, CAST(sum(size) AS BIGINT) AS size, max(CASE WHEN sub = '.' THEN base_mtime ELSE mtime END) AS mtime FROM subs WHERE kind = '{}' {} GROUP BY 1, 2, 3, 4"
 _POINTS = "date, usage_size, quota_size, usage_inodes, quota_inodes"
@@ -227,6 +245,7 @@ QUERIES = {
     "history_invalid": (lambda s, d: usage.history_invalid(views.history(s, d), "/a"), with_blocks("SELECT DISTINCT gid, mount_path FROM history WHERE NOT starts_with(mount_path, '/a')")),
     "history_clean": (lambda s, d: usage.history_clean(views.history(s, d), "/a"), with_blocks("SELECT * FROM history WHERE starts_with(mount_path, '/a')")),
     "dupes_by_size": (lambda s, d: basedirs.dupes_by_size(views.stats(s, d), 50_000, F.regexp_extract("path", "^(/[^/]+/)", 1)).withColumn("paths", F.array_join("paths", "|")), with_blocks("WITH sets AS (SELECT apparent_size, regexp_extract(path, '^(/[^/]+/)', 1) AS mount, CASE WHEN inode <> 0 THEN concat('i', inode) ELSE path END AS link_set, string_agg(path, '|' ORDER BY path) AS paths FROM stats WHERE size >= 50000 GROUP BY 1, 2, 3) SELECT s.*, n_sets FROM sets s JOIN (SELECT apparent_size, count(*) AS n_sets FROM sets GROUP BY 1 HAVING count(*) >= 2) USING (apparent_size)")),
-    "glob_group": (lambda s, d: basedirs.glob_group(views.stats(s, d).select("path"), _globrules(s, d)), with_blocks(_GLOB_SQL)),
+    "glob_group": (lambda s, d: globs.glob_group(views.stats(s, d).select("path"), _globrules(s, d)), with_blocks(_GLOB_SQL)),
+    "glob_group_nations": (lambda s, d: globs.glob_group(views.stats(s, d).select("path"), _nation_rules(s, d)), with_blocks(_NATION_SQL)),
     "latency_percentiles": (lambda s, d: basedirs.nearest_rank(views.table(s, d, "events").select("event_type", F.floor(C("value") * 1000).cast("long").alias("ms")), ["event_type"], "ms"), "SELECT event_type, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99, count(*) AS n FROM (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events) GROUP BY 1"),
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dirlens.functions import filetypes
-from dirlens.operators import basedirs, logs, usage
+from dirlens.operators import basedirs, globs, logs, usage
 from dirlens.sources import files
 
 # Globs and, for paths, the number of the glob that wins (None: no group).
@@ -61,7 +61,7 @@ PATHS = {
 
 def test_globs(spark):
     rules = spark.createDataFrame([(g, str(i)) for i, g in enumerate(GLOBS)], "glob string, group_name string")
-    got = basedirs.glob_group(spark.createDataFrame([(p,) for p in PATHS], "path string"), rules).collect()
+    got = globs.glob_group(spark.createDataFrame([(p,) for p in PATHS], "path string"), rules).collect()
     assert {r.path: r.glob_group and int(r.glob_group) for r in got} == PATHS
 
 
