@@ -9,6 +9,7 @@ from dirlens.functions import filetypes, formats, paths
 from dirlens.operators import basedirs, filters, logs, rollup, tree, usage
 from dirlens.sources import files
 from dirlens.streaming import jobs as streams
+from dirlens.streaming import live
 
 from . import sql as S
 from . import views
@@ -285,8 +286,8 @@ def _stream_ingest(s, d):
     partial = lambda rows: rollup.by_user_group_dir(_mounted(rows), keys=("version", "mount_path"))
     merge = lambda parts: parts.groupBy("uid", "gid", "dir", "mount_path").agg(F.sum("count").alias("count"), F.sum("size").alias("size"))
     stream = s.readStream.schema(s.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    streams.ingest(stream, partial, merge, out, files.scratch(s)).awaitTermination()
-    return s.read.parquet(f"{out}/table").select("uid", "gid", "dir", "count", "size")
+    live.ingest(stream, partial, merge, out, files.scratch(s)).awaitTermination()
+    return live.read_ingested(s, out).select("uid", "gid", "dir", "count", "size")
 
 
 _SUMS_SQL = f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({S.anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3"

@@ -199,7 +199,8 @@ def scan_ui_events(spark: SparkSession, path: str, first: int | None = None, las
 
 # ---- datasets ----
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The filesystem of a path, and the path as it knows it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -208,14 +209,14 @@ def publish(rows: DataFrame, root: str, name: str) -> None:
     """Writes a dataset beside its root's others and makes it visible at once, by its last step, a rename."""
     hidden = f"{root}/.{name}-{uuid.uuid4().hex}"
     rows.write.parquet(hidden)
-    fs, source = _fs(rows.sparkSession, hidden)
-    if not fs.rename(source, _fs(rows.sparkSession, f"{root}/{name}")[1]):
+    fs, source = file_system(rows.sparkSession, hidden)
+    if not fs.rename(source, file_system(rows.sparkSession, f"{root}/{name}")[1]):
         raise OSError(f"{name} could not be published in {root}")
 
 
 def dataset_names(spark: SparkSession, root: str) -> DataFrame:
     """The names of a root's complete datasets; the folder's listing is all that passes the driver."""
-    fs, p = _fs(spark, root)
+    fs, p = file_system(spark, root)
     names = [(x.getPath().getName(),) for x in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
     return spark.createDataFrame([x for x in names if not x[0].startswith(".")], "name string")
 
@@ -231,7 +232,7 @@ def drop_superseded(spark: SparkSession, root: str) -> list[str]:
     """Removes the datasets of which a later one is visible; their names."""
     gone = [r.name for r in superseded_datasets(dataset_names(spark, root)).collect()]
     for name in gone:
-        fs, p = _fs(spark, f"{root}/{name}")
+        fs, p = file_system(spark, f"{root}/{name}")
         fs.delete(p, True)
     return gone
 

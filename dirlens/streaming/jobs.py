@@ -41,26 +41,6 @@ def append_history(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest(stream: DataFrame, partial, merge, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table (path/table) of every mount's newest version from files that arrive in any number of batches.
-
-    partial: rows of a batch to sums with mount_path and version; merge: such sums of several batches to the table's
-    rows with mount_path. Sums of a batch have a folder of their own (path/parts), so a repeated batch replaces its
-    part; of the mounts that a batch touches, all parts of the newest version are merged and their partition replaced."""
-
-    def batch(rows: DataFrame, i: int) -> None:
-        spark = rows.sparkSession
-        partial(rows).write.mode("overwrite").partitionBy("mount_path").parquet(f"{path}/parts/batch={i}")
-        parts = spark.read.option("basePath", f"{path}/parts").parquet(f"{path}/parts")
-        touched = parts.where(F.col("batch") == i).select("mount_path").distinct()
-        own = parts.where(F.col("batch") <= i).join(touched, "mount_path", "left_semi")
-        newest = own.groupBy("mount_path").agg(F.max("version").alias("version"))
-        merged = merge(own.join(newest, ["mount_path", "version"], "left_semi").drop("batch"))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mount_path").parquet(f"{path}/table")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def log_calls(lines: DataFrame) -> DataFrame:
     """(run, ts, counters) of a stream of log lines (run, value) about system calls that aren't errors."""
     kv = logs.parse(lines)

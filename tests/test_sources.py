@@ -74,19 +74,6 @@ def test_history_stream_appends_only_later_points(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{out}/points").drop("batch").collect())) == sorted(map(tuple, h.collect()))
 
 
-def test_ingest_merges_batches_and_replaces_versions(spark, tmp_path):
-    source, out, mark = (str(tmp_path / n) for n in "soc")
-    schema = "mount_path string, version int, uid int"
-    batches = [[("/a/", 1, 1), ("/a/", 1, 2)], [("/a/", 1, 1), ("/b/", 5, 9)], [("/a/", 2, 7)], [("/a/", 2, 7), ("/a/", 1, 1)]]
-    want = [{("/a/", 1): 1, ("/a/", 2): 1}, {("/a/", 1): 2, ("/a/", 2): 1, ("/b/", 9): 1}, {("/a/", 7): 1, ("/b/", 9): 1}, {("/a/", 7): 2, ("/b/", 9): 1}]
-    for rows, now in zip(batches, want, strict=True):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        partial = lambda r: r.groupBy("mount_path", "version", "uid").agg(F.count("*").alias("n"))
-        merge = lambda p: p.groupBy("mount_path", "uid").agg(F.sum("n").alias("n"))
-        jobs.ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), partial, merge, out, mark).awaitTermination()
-        assert {(r.mount_path, r.uid): r.n for r in spark.read.parquet(f"{out}/table").collect()} == now
-
-
 def test_stored_cube_and_its_mounts(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "mount_path string, dir string, n int"
     files.write_dguta(spark.createDataFrame([("/a/", "/a/x/", 1), ("/b/", "/b/", 2)], schema), path, F.lit(10))
