@@ -5,6 +5,9 @@ row of every leaf group, which partial aggregation takes in; nothing is collecte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +103,63 @@ def merge_cubes(cube: DataFrame) -> DataFrame:
     return cube.groupBy("dir", *KEYS, "age").agg(*sums, least, F.max("mtime").alias("mtime"), *[F.sum(h).alias(h) for h in HIST])
 
 
-def directory_rollup(entries: DataFrame, directory: Column, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Any aggregates (Columns) of rows over every ancestor of their directory, those that don't merge too: so rows, not
-    sums, are dealt to the ancestors, and partial aggregation takes them in. What merges is best summed up first."""
+class Measure(NamedTuple):
+    """An aggregate with states: `leaf` of rows is one, `merge` of a column of states is one again, `finish` tells it."""
+
+    name: str
+    leaf: Column
+    merge: Callable[[Column], Column]
+    finish: Callable[[Column], Column] = lambda state: state
+
+
+def count(name: str) -> Measure:
+    return Measure(name, F.count("*"), F.sum)
+
+
+def total(name: str, column: Column) -> Measure:
+    return Measure(name, F.sum(column), F.sum)
+
+
+def least(name: str, column: Column) -> Measure:
+    return Measure(name, F.min(column), F.min)
+
+
+def greatest(name: str, column: Column) -> Measure:
+    return Measure(name, F.max(column), F.max)
+
+
+def average(name: str, column: Column) -> Measure:
+    """The mean of a column's values that aren't null; null without any."""
+    state = F.struct(F.sum(column.cast("double")).alias("sum"), F.count(column).alias("n"))
+    return Measure(name, state, lambda s: F.struct(F.sum(s["sum"]).alias("sum"), F.sum(s["n"]).alias("n")), lambda s: F.try_divide(s["sum"], s["n"]))
+
+
+def first_by(name: str, column: Column, order: Column) -> Measure:
+    """The value of the row that comes first in an order (rows of a null order last); of equals the least value."""
+    state = F.min(F.struct(order.isNull().alias("late"), order.alias("order"), column.alias("value")))
+    return Measure(name, state, F.min, lambda s: s["value"])
+
+
+def directory_rollup(entries: DataFrame, directory: Column, keys: list[str], measures: list[Measure], distinct: dict[str, Column] | None = None) -> DataFrame:
+    """Measures of rows, and numbers of `distinct` values (name: Column), over every ancestor of their directory.
+
+    Rows are summed up per own directory first; what is dealt out to the ancestors is a state for each directory, keys
+    and distinct values, however many rows there are. Values are counted by a shuffle on them, so no set is held.
+    Nulls are no values; rows without a directory are left out, no rows give none."""
+    told = {f"__d{i}": c for i, c in enumerate((distinct or {}).values())}
+    states = [f"__s{i}" for i in range(len(measures))]
+    rows = entries.withColumns({"__dir": directory} | told).where("__dir IS NOT NULL")
+    first, *more = [F.count("*").alias("__n"), *[m.leaf.alias(s) for m, s in zip(measures, states, strict=True)]]
+    leaf = rows.groupBy("__dir", *keys, *told).agg(first, *more)
+    above = leaf.select(F.explode(paths.ancestors(F.col("__dir"))).alias("__dir"), *keys, *told, *states)
+    first, *more = [F.count("*").alias("__n"), *[m.merge(F.col(s)).alias(s) for m, s in zip(measures, states, strict=True)], *[F.count_distinct(c).alias(c) for c in told]]
+    out = above.groupBy("__dir", *keys).agg(first, *more)
+    return out.select(F.col("__dir").alias("dir"), *keys, *[m.finish(F.col(s)).alias(m.name) for m, s in zip(measures, states, strict=True)], *[F.col(c).alias(n) for n, c in zip(distinct or {}, told, strict=True)])
+
+
+def directory_rollup_rows(entries: DataFrame, directory: Column, keys: list[str], aggs: list[Column]) -> DataFrame:
+    """Aggregates (Columns) that don't merge over every ancestor of their directory: so rows, not states, are dealt to
+    the ancestors. What merges is best given to directory_rollup."""
     return entries.withColumn("dir", F.explode(paths.ancestors(directory))).groupBy("dir", *keys).agg(*aggs)
 
 

@@ -66,6 +66,14 @@ def _where(n):
 
 _DIRECT = """SELECT k.* FROM kids k LEFT JOIN (SELECT parent_dir, sum(count) AS n FROM kids GROUP BY 1) c ON c.parent_dir = k.dir WHERE coalesce(c.n, 0) < k.count AND starts_with(k.dir, '/asia/')"""
 
+def _measures():
+    return [rollup.count("count"), rollup.total("size", C("size")), rollup.least("atime", C("atime")), rollup.greatest("mtime", C("mtime")), rollup.average("mean_size", C("size")), rollup.first_by("first_uid", C("uid"), C("path"))]
+
+
+_MEASURES_SQL = f"""
+SELECT d AS dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime, CAST(sum(size) AS DOUBLE) / count(size) AS mean_size, arg_min(uid, path) AS first_uid, count(DISTINCT uid) AS users, count(DISTINCT nullif(inode, 0)) AS inodes
+FROM (SELECT *, unnest({anc('dir')}) AS d FROM named) GROUP BY 1"""
+
 QUERIES = {
     "path_basename": (lambda s, d: _entries(s, d).select("path", paths.basename(C("path")).alias("name")), with_blocks("SELECT path, regexp_extract(path, '([^/]*/?)$', 1) AS name FROM entries")),
     "path_parent": (lambda s, d: _entries(s, d).select("path", paths.parent(C("path"), C("entry_type")).alias("dir")), with_blocks("SELECT path, dir FROM named")),
@@ -91,7 +99,9 @@ QUERIES = {
     "sanitise_times": (lambda s, d: views.stats(s, d).select("path", formats.sane_time(C("mtime") * (C("uid") + 1) * 100, F.lit(REF)).alias("mtime")), with_blocks(f"SELECT path, CASE WHEN m BETWEEN -62167219200 AND 253402300799 THEN m ELSE {REF} END AS mtime FROM (SELECT path, mtime * (uid + 1) * 100 AS m FROM stats)")),
     "by_group_user": (lambda s, d: rollup.by_group_user(views.stats(s, d)), with_blocks("SELECT gid, uid, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM stats GROUP BY 1, 2")),
     "by_user_group_dir": (lambda s, d: rollup.by_user_group_dir(views.stats(s, d)), with_blocks(f"SELECT uid, gid, dir, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM (SELECT uid, gid, size, unnest(({anc('dir')})[2:]) AS dir FROM files) GROUP BY 1, 2, 3")),
-    "directory_rollup": (lambda s, d: rollup.directory_rollup(_named(s, d), C("dir"), ["entry_type"], [F.max("size").alias("largest"), F.count_distinct("uid").alias("users")]), with_blocks(f"SELECT dir, entry_type, CAST(max(size) AS BIGINT) AS largest, count(DISTINCT uid) AS users FROM (SELECT entry_type, size, uid, unnest({anc('dir')}) AS dir FROM named) GROUP BY 1, 2")),
+    "directory_rollup": (lambda s, d: rollup.directory_rollup(_named(s, d), C("dir"), ["entry_type"], [rollup.greatest("largest", C("size"))], {"users": C("uid")}), with_blocks(f"SELECT dir, entry_type, CAST(max(size) AS BIGINT) AS largest, count(DISTINCT uid) AS users FROM (SELECT entry_type, size, uid, unnest({anc('dir')}) AS dir FROM named) GROUP BY 1, 2")),
+    "directory_rollup_measures": (lambda s, d: rollup.directory_rollup(_named(s, d), C("dir"), [], _measures(), {"users": C("uid"), "inodes": F.nullif("inode", F.lit(0))}), with_blocks(_MEASURES_SQL)),
+    "directory_rollup_rows": (lambda s, d: rollup.directory_rollup_rows(_named(s, d), C("dir"), ["entry_type"], [F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size)").alias("median")]), with_blocks(f"SELECT dir, entry_type, CAST(quantile_disc(size, 0.5) AS BIGINT) AS median FROM (SELECT entry_type, size, unnest({anc('dir')}) AS dir FROM named) GROUP BY 1, 2")),
     "dguta": (lambda s, d: cells(cube(s, d)), with_blocks(f"SELECT {CELLS_SQL} FROM cube")),
     "dguta_by_depth": (lambda s, d: _by_depth(cube(s, d)), with_blocks(f"SELECT CAST(length(dir) - length(replace(dir, '/', '')) - 1 AS INTEGER) AS depth, gid, CAST(ft AS BIGINT) AS ft, age, count(*) AS cells, count(DISTINCT dir) AS dirs, CAST(sum(count) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS size, min(atime) AS atime, max(mtime) AS mtime, {_HISTS} FROM cube GROUP BY 1, 2, 3, 4")),
     "dguta_hardlinks": (lambda s, d: rollup.hardlink_entries(rollup.enriched(_entries(s, d), REF)), with_blocks("SELECT d AS dir, inode, gid, uid, CAST(ft AS INTEGER) AS ft, size, atime, mtime FROM links")),
