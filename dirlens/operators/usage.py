@@ -79,9 +79,13 @@ def names_in_use(rows: DataFrame, column: str) -> DataFrame:
 # ---- history ----
 
 def one_per_date(points: DataFrame) -> DataFrame:
-    """Points of which a series has one for each date: of several the one of the greatest usage (then quota)."""
+    """Points of which a series has one for each date: of several the one of the greatest usage, then quota, then of
+    the greatest other columns, in their order."""
     key, names = ["gid", "mount_path", "date"], ["usage_size", "usage_inodes", "quota_size", "quota_inodes"]
-    return points.groupBy(*key).agg(F.max(F.struct(*names)).alias("x")).select(*key, "x.*").select(*points.columns)
+    rest = [c for c in names if c in points.columns] + [c for c in points.columns if c not in (*key, *names)]
+    if not rest:
+        return points.dropDuplicates(key)
+    return points.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__x")).select(*key, "__x.*").select(*points.columns)
 
 
 def history_append(history: DataFrame, points: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from dirlens.operators import filters, logs
+from dirlens.operators import filters, logs, usage
 from dirlens.plans import views
 from dirlens.sources import files
 from dirlens.streaming import jobs
@@ -164,3 +164,8 @@ def test_stream_sessions_are_merged_from_a_table(spark, tmp_path):
     got = jobs.run_ui_sessions(stream, str(tmp_path / "out"), str(tmp_path / "at"))
     assert (tmp_path / "out").exists()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs.sessions(events).collect()))
+
+
+def test_one_point_for_each_date(spark):
+    points = spark.createDataFrame([(1, "/a/", 5, 10, 1, "old"), (1, "/a/", 5, 20, 0, "new"), (1, "/a/", 6, 1, 1, None), (2, "/a/", 5, None, 1, "x"), (2, "/a/", 5, None, 1, "x")], "gid long, mount_path string, date long, usage_size long, usage_inodes long, x string")
+    assert sorted(tuple(r) for r in usage.one_per_date(points).collect()) == [(1, "/a/", 5, 20, 0, "new"), (1, "/a/", 6, 1, 1, None), (2, "/a/", 5, None, 1, "x")]
