@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from dirlens.operators import basedirs, rollup, tree, usage
+from dirlens.operators import basedirs, globs, rollup, tree, usage
 from dirlens.sources import files
 
 
@@ -104,10 +104,10 @@ def test_base_directory_holds_all_and_is_deepest(spark):
 def test_glob_precedence(spark):
     rules = [("/a/**", "all"), ("/a/*/c", "star"), ("/a/b/c", "exact"), ("/**.txt", "text"), ("/a/b*", "b")]
     df = spark.createDataFrame([(p,) for p in ("/a/b/c", "/a/x/c", "/a/x/y/c", "/q/r.txt", "/a/x.txt", "/a/bz", "/z")], "path string")
-    got = {r.path: r.glob_group for r in basedirs.glob_group(df, spark.createDataFrame(rules, "glob string, group_name string")).collect()}
+    got = {r.path: r.glob_group for r in globs.glob_group(df, spark.createDataFrame(rules, "glob string, group_name string")).collect()}
     assert got == {"/a/b/c": "exact", "/a/x/c": "star", "/a/x/y/c": "all", "/q/r.txt": "text", "/a/x.txt": "all", "/a/bz": "b", "/z": None}
     with pytest.raises(ValueError, match="ambiguous"):
-        basedirs.glob_group(df, spark.createDataFrame([("/a", "x"), ("/a", "y")], "glob string, group_name string"))
+        globs.glob_group(df, spark.createDataFrame([("/a", "x"), ("/a", "y")], "glob string, group_name string"))
 
 
 def test_forecasts(spark):
