@@ -165,3 +165,32 @@ def test_merged_cubes_of_datasets_equal_one_cube(spark):
     told = lambda c: sorted(tuple(r) for r in c.where("ft & 16384 = 0").select("dir", "gid", "uid", "ft", "age", "count", "size", "atime", "mtime", *rollup.HIST).collect())
     one = rollup.dguta(df.drop("mount_path"), ref)
     assert told(rollup.merge_cubes(rollup.dguta(df, ref, ("mount_path",)))) == told(one)
+
+
+def test_summaries_and_levels_equal_the_cube(spark):
+    """Without the cube between; and stored levels of datasets give the cube that merged cells give."""
+    ref = 10**9
+    df = spark.createDataFrame(_files(random.Random(5)), STATS)
+    told = lambda x: sorted(tuple(map(str, r)) for r in x.select(*sorted(x.columns)).collect())
+    cube = rollup.dguta(df, ref).cache()
+    for kw in ({}, {"mask": tree.FILES, "age": 3}, {"gids": [1], "uids": [0, 2], "mask": 32, "age": 11}):
+        assert told(rollup.summarise(df, ref, **kw)) == told(rollup.dir_summary(rollup.guta_filter(cube, **kw)))
+    sets = df.withColumn("mount_path", F.regexp_extract("path", "^(/[^/]*)", 1))
+    own = rollup.levels(sets, ref, ("mount_path",)).cache()
+    assert told(rollup.merge_cubes(own)) == told(rollup.merge_cubes(rollup.aged(own, ("mount_path",))))
+    assert told(rollup.dir_summary(rollup.at_age(own))) == told(rollup.dir_summary(rollup.guta_filter(rollup.aged(own, ("mount_path",)))))
+
+
+def test_links_are_apart_only_below_their_common_directory(spark):
+    """One row stands for all directories above; each directory had one before."""
+    rows = [(f"/a/b/c/{x}", 5, 1, 1, 10, 10, 0, "f", 7, 3, 0, 5) for x in ("d/x.bam", "d/y.bam", "e/f/z.txt")]
+    own = rollup._links(rollup.enriched(spark.createDataFrame(rows, STATS), 10**9)).collect()
+    assert sorted((r.dir, r.up) for r in own) == [("/a/b/c/", True), ("/a/b/c/d/", False), ("/a/b/c/e/", False), ("/a/b/c/e/f/", False)]
+
+
+def test_leaf_rows_meet_base_directories_before_ages(spark):
+    """Rows aren't dealt out by directory and age, 17 for each directory at most."""
+    df = spark.createDataFrame(_files(random.Random(6)), STATS)
+    leaf = basedirs.unit_files(df, spark.createDataFrame([("/", 1)], "prefix string, mindirs int"), 10**9).cache()
+    plan = basedirs.subdirs(leaf, basedirs.basedirs(leaf, "uid").cache(), "uid")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not [x for x in plan.splitlines() if "hashpartitioning(" in x and "dir#" in x.split("hashpartitioning(")[1].replace("basedir#", "")]
