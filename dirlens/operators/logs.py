@@ -15,11 +15,15 @@ _PAIR = r'([^\s=]+)=("(?:[^"\\]|\\.)*"|\S*)'
 
 def parse(lines: DataFrame) -> DataFrame:
     """lines (value, ...) with `kv`, a map of their keys and values; of a repeated key the last value counts."""
-    keys, values = F.regexp_extract_all("value", F.lit(_PAIR), F.lit(1)), F.regexp_extract_all("value", F.lit(_PAIR), F.lit(2))
-    plain = F.transform(values, lambda v: F.when(F.startswith(v, F.lit('"')), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v))
-    pairs = F.arrays_zip(keys.alias("k"), plain.alias("v"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(keys, i + 2, F.greatest(F.lit(0), F.size(keys))), lambda k: k == x["k"]))
-    return lines.where("trim(value) <> ''").withColumn("kv", F.map_from_entries(last))
+    own = lines.where("trim(value) <> ''").withColumn("__all", F.regexp_extract_all("value", F.lit(_PAIR), F.lit(0)))
+    key = lambda x: F.substring_index(x, "=", 1)
+    value = lambda x: F.substring(x, F.length(key(x)) + 2, F.length(x))
+    plain = lambda v: F.when(F.startswith(v, F.lit('"')), F.when(F.contains(v, F.lit("\\")), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(F.substring(v, F.lit(2), F.length(v) - 2))).otherwise(v)
+    own = own.withColumn("__k", F.transform("__all", key)).withColumn("__v", F.transform("__all", lambda x: plain(value(x))))
+    pairs = F.arrays_zip(F.col("__k").alias("k"), F.col("__v").alias("v"))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice("__k", i + 2, F.greatest(F.lit(0), F.size("__k"))), lambda k: k == x["k"]))
+    every = F.when(F.size(F.array_distinct("__k")) == F.size("__k"), pairs).otherwise(last)
+    return own.withColumn("kv", F.map_from_entries(every)).drop("__all", "__k", "__v")
 
 
 def _at(key: str) -> Column:
@@ -54,8 +58,8 @@ def fill_host(rows: DataFrame) -> DataFrame:
     so that one huge log is many tasks."""
     keys, order = ["run", "file"], ["log", "block"]
     own = rows.withColumn("block", F.floor(F.col("line_no") / BLOCK))
-    named = own.where("host IS NOT NULL").groupBy(*keys, *order).agg(F.max_by("host", "line_no").alias("last"))
-    blocks = own.select(*keys, *order).distinct().join(named, [*keys, *order], "left")
+    last = F.max(F.when(F.col("host").isNotNull(), F.struct("line_no", "host")))["host"]
+    blocks = own.groupBy(*keys, *order).agg(last.alias("last"))
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*keys, *order, F.last("last", ignorenulls=True).over(before).alias("carried"))
     inside = Window.partitionBy(*keys, *order).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

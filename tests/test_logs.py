@@ -147,3 +147,11 @@ def test_percentiles_by_rank(spark):
     for k in "abc":
         v = sorted(x for key, x in rows if key == k and x is not None)
         assert got[k] == (*[v[-(-len(v) * p // 100) - 1] for p in (50, 95, 99)], len(v))
+
+
+def test_lines_are_matched_once(spark):
+    """Keys and values come of one match of a line; keys and values of odd lines are as they were."""
+    lines = spark.createDataFrame([('t=1 msg="a \\"b\\" =c" k= k=2 x==y z', )], "value string")
+    parsed = logs.parse(lines)
+    assert parsed.columns == ["value", "kv"] and parsed.first().kv == {"t": "1", "msg": 'a "b" =c', "k": "2", "x": "=y"}
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
