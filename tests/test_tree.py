@@ -188,9 +188,12 @@ def test_links_are_apart_only_below_their_common_directory(spark):
     assert sorted((r.dir, r.up) for r in own) == [("/a/b/c/", True), ("/a/b/c/d/", False), ("/a/b/c/e/", False), ("/a/b/c/e/f/", False)]
 
 
-def test_leaf_rows_meet_base_directories_before_ages(spark):
+def test_leaf_rows_meet_base_directories_before_ages(spark, tmp_path):
     """Rows aren't dealt out by directory and age, 17 for each directory at most."""
     df = spark.createDataFrame(_files(random.Random(6)), STATS)
-    leaf = basedirs.unit_files(df, spark.createDataFrame([("/", 1)], "prefix string, mindirs int"), 10**9).cache()
-    plan = basedirs.subdirs(leaf, basedirs.basedirs(leaf, "uid").cache(), "uid")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" in plan and not [x for x in plan.splitlines() if "hashpartitioning(" in x and "dir#" in x.split("hashpartitioning(")[1].replace("basedir#", "")]
+    basedirs.unit_files(df, spark.createDataFrame([("/", 1)], "prefix string, mindirs int"), 10**9).write.parquet(str(tmp_path / "leaf"))
+    leaf = spark.read.parquet(str(tmp_path / "leaf"))
+    basedirs.basedirs(leaf, "uid").write.parquet(str(tmp_path / "bases"))
+    plan = basedirs.subdirs(leaf, spark.read.parquet(str(tmp_path / "bases")), "uid")._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split("hashpartitioning(")[1] for x in plan.splitlines() if "hashpartitioning(" in x]
+    assert keys and not [k for k in keys if " dir#" in k or k.startswith("dir#")]
