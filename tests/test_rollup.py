@@ -119,8 +119,9 @@ def test_types_are_worked_out_once(spark):
 
 
 def test_ancestors_of_odd_directories(spark):
+    # no directory counts as the root, as it always did
     odd = ["/", "/a/", "/a/b/c/", "//a//b/", "a/b/", "/a/b", "", None]
-    split = [None if d is None else ["/"] + ["/" + "/".join(p[: i + 1]) + "/" for i in range(len(p))] for d in odd for p in [[x for x in (d or "").split("/") if x]]]
+    split = [["/"] + ["/" + "/".join(p[: i + 1]) + "/" for i in range(len(p))] for d in odd for p in [[x for x in (d or "").split("/") if x]]]
     rows = spark.createDataFrame([(d,) for d in odd], "d string").select("d", paths.ancestors(F.col("d")).alias("a"), paths.ancestors(F.col("d"), 2).alias("two"), paths.top(F.col("d"), 1).alias("top"), paths.common(F.lit("/a/b/x/"), F.coalesce("d", F.lit("/"))).alias("common")).collect()
     assert [r.a for r in rows] == split
     assert [r.two for r in rows][1:4] == [["/a/"], ["/a/b/", "/a/b/c/"], ["/a/b/"]]
@@ -135,3 +136,16 @@ def test_types_by_endings_equal_their_patterns(spark):
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", filetypes.file_type(F.col("n")).alias("ft"), F.coalesce(filetypes.is_temp(F.col("n")), F.lit(False)).alias("temp"))
     got = sorted(map(tuple, rows.collect()))
     assert [x[1] for x in got] == first and [x[2] for x in got] == [bool(re.search(filetypes.TEMP_PATTERN, n.lower())) for n in names]
+
+
+def test_what_multiplies_rows_has_tasks_of_its_own(spark):
+    """Exchanges before ancestors and ages have a number of tasks that adaptive execution keeps; it put tasks together by
+    what they read, and their sums spilled."""
+    stats = spark.createDataFrame([(f"/a/b/c/d{i}/e/x.bam", 1, 1, 1, 1, 1, "f", 1, 1) for i in range(9)], "path string, size long, uid long, gid long, atime long, mtime long, entry_type string, inode long, nlink long")
+    stats = stats.withColumn("ctime", F.col("mtime"))
+    levels = rollup.levels(stats, 10**9)
+    told = lambda df: [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line and "inode" not in line]
+    n = str(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for df, least in ((rollup.dguta(stats, 10**9), 2), (rollup.aged(levels), 2), (rollup.merge_cubes(levels), 2), (levels, 1), (rollup.summarise(stats, 10**9), 1)):
+        assert len(told(df)) >= least and all(line.rstrip().endswith(f", {n}") for line in told(df))
+    assert sorted(map(tuple, rollup.dguta(stats, 10**9).collect())) == sorted(map(tuple, rollup.aged(levels).collect()))
